@@ -81,7 +81,7 @@ VERSIONS = {
 EVENTS = {
     "event_id": "event_id",
     "subscription_id": "user_id",
-    "at": "ts",
+    "seen_at": "ts",
     "day": "CAST(ts AS DATE)",
     "event": "event_type",
     "failed": "event_type = 'error'",
