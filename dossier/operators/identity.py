@@ -15,17 +15,10 @@ from .numbering import consecutive_ids
 IDENTITY = ["title_norm", "broker", "publish_date"]
 
 
-def _next_id(ids: DataFrame, column: str) -> DataFrame:
-    """One row with the first free id."""
-    return ids.agg((F.coalesce(F.max(column), F.lit(0)) + 1).alias("_base"))
-
-
 def _with_new_ids(rows: DataFrame, order: str, taken: DataFrame, column: str, name: str) -> DataFrame:
-    numbered = consecutive_ids(rows, order, F.lit(0), "_n")
-    # the right side is a one-row aggregate
-    return numbered.join(_next_id(taken, column)).withColumn(
-        name, F.col("_base") + F.col("_n")
-    ).drop("_base", "_n")
+    """Consecutive ids after the highest taken one, in ``order``."""
+    first = taken.agg(F.coalesce(F.max(column), F.lit(0)) + 1).scalar()
+    return consecutive_ids(rows, order, first, name)
 
 
 def merge_identities(files: DataFrame, live: DataFrame) -> DataFrame:

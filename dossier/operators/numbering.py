@@ -33,7 +33,7 @@ def numbered_within(
 
 
 def consecutive_ids(
-    rows: DataFrame, order: str, first_id: Column | int, name: str, block_rows: int = BLOCK_ROWS
+    rows: DataFrame, order: str, first_id: Column, name: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add consecutive ids from ``first_id`` on, in the order of a unique integer column."""
     placed = rows.withColumn("_block", F.floor(F.col(order) / block_rows))
@@ -44,10 +44,9 @@ def consecutive_ids(
         "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
     )
     inside = W.partitionBy("_block").orderBy(order)
-    first = first_id if isinstance(first_id, Column) else F.lit(first_id)
     return (
         placed.withColumn("_pos", F.row_number().over(inside))
         .join(offsets, "_block")
-        .withColumn(name, first + F.col("_offset") + F.col("_pos") - 1)
+        .withColumn(name, first_id + F.col("_offset") + F.col("_pos") - 1)
         .drop("_block", "_pos", "_offset")
     )

@@ -53,10 +53,9 @@ def report_list(t):
     rows = views.report_list(
         t.reports, broker="Broker 3", date_from="1996-01-01", date_to="2000-12-31", theme_links=theme_links
     )
-    total = rows.agg(F.count("*").alias("total"))
+    total = rows.agg(F.count("*")).scalar()
     shown = views.page(rows.select("id", "title", "broker", "publish_date"), views.NEWEST_FIRST, 20, 20, 100)
-    # one-row side: the total of the same filters
-    return shown.join(total).withColumn("publish_date", F.col("publish_date").cast("string"))
+    return shown.withColumn("total", total).withColumn("publish_date", F.col("publish_date").cast("string"))
 
 
 _FILES = "files AS (SELECT conv_id AS report_id, turn AS file_id, CASE WHEN role <> 'system' THEN length(text) % 7 END AS converted_at, text FROM conversations)"
@@ -201,7 +200,7 @@ def owner_scoping(t):
 def run_log(t):
     rows = views.run_log(t.log, event="error")
     shown = views.page(rows.select("event_id", "subscription_id", "day"), [F.desc("event_id")], 50, 10, 200)
-    return shown.join(rows.agg(F.count("*").alias("total"))).withColumn("day", F.col("day").cast("string"))
+    return shown.withColumn("total", rows.agg(F.count("*")).scalar()).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
