@@ -13,10 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import cut_lineage
 
 
 @F.pandas_udf("double")
-def similarity(names: pd.Series, keys: pd.Series) -> pd.Series:
+def _ratio(names: pd.Series, keys: pd.Series) -> pd.Series:
     """difflib ratio; the order of the arguments matters."""
     matcher = SequenceMatcher()
     out, last = [], None
@@ -30,6 +31,10 @@ def similarity(names: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# marked so that a filter on the score does not score every pair a second time
+similarity = _ratio.asNondeterministic()
+
+
 def _signature(names: DataFrame, side: str) -> DataFrame:
     """Numbered characters per name ('a', second 'a', ...): set overlap = multiset overlap."""
     chars = F.split(F.col("key"), "")
@@ -42,7 +47,7 @@ def _signature(names: DataFrame, side: str) -> DataFrame:
         ),
     )
     return names.select(
-        F.col("key").alias(side), F.length("key").alias(f"{side}_len"), numbered.alias("chars")
+        F.col("key").alias(side), F.length("key").alias(f"{side}_len"), F.explode(numbered).alias("token")
     )
 
 
@@ -59,42 +64,46 @@ def similar_pairs(names: DataFrame, dictionary: DataFrame, threshold: float) ->
     qualify meet, and a frequent character is spread over many keys.
     """
     left, right = _signature(names, "name"), _signature(dictionary, "entry")
-    frequency = (
-        left.select(F.explode("chars").alias("token"))
-        .unionByName(right.select(F.explode("chars").alias("token")))
+    # one row per character of the alphabet and repetition: small, however many names there are
+    rarity = (
+        left.select("token")
+        .unionByName(right.select("token"))
         .groupBy("token")
         .agg(F.count("*").alias("n"))
+        .select("token", F.row_number().over(W.orderBy("n", "token")).alias("rank"))
     )
 
     def ranked(rows: DataFrame, side: str) -> DataFrame:
         # regrouped per name: as many rows as the name has characters
-        by_rarity = (
-            rows.select(side, f"{side}_len", F.explode("chars").alias("token"))
-            .join(frequency, "token")
-            .groupBy(side, f"{side}_len")
-            .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
-            .select(side, f"{side}_len", F.col("s.token").alias(f"{side}_chars"))
-        )
         keep = F.col(f"{side}_len") - _least_overlap(F.col(f"{side}_len"), threshold) + 1
-        return by_rarity.withColumn(
-            f"{side}_prefix", F.slice(f"{side}_chars", F.lit(1), F.greatest(keep, F.lit(1)))
+        return (
+            rows.join(rarity, "token")
+            .groupBy(side, f"{side}_len")
+            .agg(F.array_sort(F.collect_list("rank")).alias(f"{side}_chars"))
+            .withColumn(f"{side}_prefix", F.slice(f"{side}_chars", F.lit(1), F.greatest(keep, F.lit(1))))
         )
 
-    a = ranked(left, "name")
-    b = ranked(right, "entry")
     shortest = _least_overlap(F.col("name_len"), threshold)
     longest = F.floor(F.col("name_len") * ((2 - threshold) / threshold) + 1e-9).cast("int")
-    a = a.select(
-        "*", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest)).alias("entry_len")
-    ).select("*", F.explode("name_prefix").alias("token"))
-    b = b.select("*", F.explode("entry_prefix").alias("token"))
+    a = (
+        ranked(left, "name")
+        .withColumn("entry_len", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest)))
+        .withColumn("rank", F.explode("name_prefix"))
+    )
+    b = ranked(right, "entry").withColumn("rank", F.explode("entry_prefix"))
     enough = F.ceil((F.col("name_len") + F.col("entry_len")) * (threshold / 2) - 1e-9)
-    met = a.join(b, ["token", "entry_len"]).where(
+    met = a.join(b, ["rank", "entry_len"]).where(
+        (F.size(F.array_intersect("name_chars", "entry_chars")) >= enough)
         # each pair is taken at its rarest common character only, so no distinct is needed
-        (F.get(F.array_intersect("name_prefix", "entry_prefix"), F.lit(0)) == F.col("token"))
-        & (F.size(F.array_intersect("name_chars", "entry_chars")) >= enough)
+        & (F.array_min(F.array_intersect("name_prefix", "entry_prefix")) == F.col("rank"))
+    )
+    # scoring is CPU work on few bytes: spread the pairs evenly instead of by size, and keep
+    # equal entries together, since the matcher indexes its second text
+    slots = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = (
+        met.select("name", "entry").repartition(slots, "name", "entry").sortWithinPartitions("entry")
     )
-    return met.select(
+    return spread.select(
         "name", "entry", similarity(F.col("name"), F.col("entry")).alias("score")
     ).where(F.col("score") >= threshold)
 
@@ -123,6 +132,7 @@ def fuzzy_stage(names: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, Dat
     The score of a code is its best over all its names. One code at 0.85 or more -> resolved,
     several -> multi_candidate; none -> no_hit with the three nearest codes above 0.5.
     """
+    names, dictionary = cut_lineage(names, "names"), cut_lineage(dictionary, "name-dictionary")
     keys = dictionary.select("key").distinct()
     codes = dictionary.withColumnRenamed("key", "entry")
 
@@ -133,7 +143,7 @@ def fuzzy_stage(names: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, Dat
             .agg(F.max("score").alias("score"))
         )
 
-    hits = best_codes(similar_pairs(names, keys, K.FUZZY_RATIO), codes)
+    hits = cut_lineage(best_codes(similar_pairs(names, keys, K.FUZZY_RATIO), codes), "fuzzy-hits")
     per_name = hits.groupBy("key").agg(F.count("*").alias("n"), F.min("code").alias("code"))
     found = per_name.select(
         "key",

@@ -39,10 +39,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that an iterative job survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark, "checkpoint"))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
+    """Write an intermediate result to the shared folder once and go on from the files.
+
+    Used where an expensive or iterated result feeds several consumers: nothing is computed
+    twice and a lost executor loses nothing.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
