@@ -44,7 +44,7 @@ THEMES = {
     "synonym": "p_name || ' ' || p_type",
     "merged_into_id": "CASE WHEN p_size > 38 AND p_size <= 44 AND p_partkey >= p_size THEN p_partkey - p_size ELSE NULL END",
     "seed_code": "'BK' || CAST(p_partkey AS VARCHAR(20))",
-    "source": "CASE WHEN p_retailprice > 1000 THEN 'seed_sw' ELSE 'seed_em' END",
+    "source": "CASE WHEN p_retailprice > 950 THEN 'seed_sw' ELSE 'seed_em' END",
 }
 
 # supplier as the security master, customer as a second list of securities and as authors
