@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from . import constants as K
 from .text import split_lines, strip
@@ -50,7 +51,7 @@ def _slug(text: Column) -> Column:
     return F.replace(kept, F.lit(" "), F.lit("-"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _distinct_slugs(slugs: pd.Series) -> pd.Series:
     def number(names):
         used: dict[str, int] = {}

@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import constants as K
 from .text import split_lines, strip
@@ -117,7 +118,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _DOTTED_QUAD = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _blocked_v6(hosts: pd.Series) -> pd.Series:
     def blocked(host):
         try:

@@ -9,7 +9,6 @@ from ..functions import constants as K
 from ..functions.fields import exchange_of, valid_code
 from ..functions.text import normalize_name
 
-_NO_TIME = F.lit("0001-01-01").cast("timestamp")
 INDUSTRY_FIELDS = ["l1_code", "l1_name", "l2_code", "l2_name", "l3_code", "l3_name", "effective_date"]
 
 
@@ -18,8 +17,9 @@ def latest_industry(rows: DataFrame, names: DataFrame) -> DataFrame:
 
     Industry codes outside the code table keep their prefixes as level codes, without names.
     """
+    no_time = F.lit("0001-01-01").cast("timestamp")
     order = F.struct(
-        "effective_date", F.coalesce("source_updated_at", _NO_TIME), "industry_code"
+        "effective_date", F.coalesce("source_updated_at", no_time), "industry_code"
     )
     latest = (
         rows.where(valid_code(F.col("code")))

@@ -11,12 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import constants as K
 from ..session import cut_lineage
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(names: pd.Series, keys: pd.Series) -> pd.Series:
     """difflib ratio; the order of the arguments matters."""
     matcher = SequenceMatcher()

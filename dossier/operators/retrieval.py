@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +52,15 @@ def refresh_postings(postings: DataFrame, touched: DataFrame, fresh: DataFrame)
     )
 
 
-def query_tokens(spark: SparkSession, text: str) -> list[str]:
-    """Distinct tokens of a search box entry, cut by the same rule as the index."""
-    row = spark.range(1).select(F.array_distinct(search_tokens(F.lit(text))).alias("t")).first()
-    return list(row["t"])
+def query_tokens(spark: SparkSession, text: str) -> list[tuple[str, bool]]:
+    """Distinct tokens of a search box entry, cut by the same rule as the index, each with a
+    flag that says it is a lone Han character."""
+    tokens = F.transform(
+        F.array_distinct(search_tokens(F.lit(text))),
+        lambda t: F.struct(t.alias("token"), t.rlike(r"^\p{IsHan}$").alias("lone")),
+    )
+    row = spark.range(1).select(tokens.alias("t")).first()
+    return [(item["token"], item["lone"]) for item in row["t"]]
 
 
 def matching_reports(postings: DataFrame, text: str) -> DataFrame | None:
@@ -63,25 +71,13 @@ def matching_reports(postings: DataFrame, text: str) -> DataFrame | None:
     tokens = query_tokens(postings.sparkSession, text)
     if not tokens:
         return None
-    lone = [t for t in tokens if len(t) == 1 and _is_han(t)]
-    whole = [t for t in tokens if t not in lone]
     token = F.col("token")
-    hits = [token == t for t in whole] + [token.contains(t) for t in lone]
-    wanted = token.isin(whole) if not lone else _any(hits)
+    hits = [token.contains(t) if lone else token == t for t, lone in tokens]
+    if any(lone for _, lone in tokens):
+        candidates = postings.where(reduce(or_, hits))
+    else:
+        # a list of literals reaches the parquet scan
+        candidates = postings.where(token.isin([t for t, _ in tokens]))
     flags = [F.bool_or(hit).alias(f"_h{i}") for i, hit in enumerate(hits)]
-    found = postings.where(wanted).groupBy("report_id").agg(*flags)
+    found = candidates.groupBy("report_id").agg(*flags)
     return found.where(" AND ".join(f"_h{i}" for i in range(len(hits)))).select("report_id")
-
-
-def _is_han(char: str) -> bool:
-    point = ord(char)
-    return 0x2E80 <= point <= 0x2FDF or 0x3005 <= point <= 0x303B or 0x3400 <= point <= 0x9FFF or (
-        0xF900 <= point <= 0xFAFF or 0x20000 <= point <= 0x3FFFF
-    )
-
-
-def _any(conditions):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out

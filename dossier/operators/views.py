@@ -68,7 +68,8 @@ def report_list(
     return rows
 
 
-NEWEST_FIRST = [F.desc("publish_date"), F.desc("id")]
+def newest_first() -> list[Column]:
+    return [F.desc("publish_date"), F.desc("id")]
 
 
 def report_targets(links: DataFrame, reports: DataFrame, master: DataFrame, matches: DataFrame) -> DataFrame:

@@ -16,14 +16,18 @@ from ..functions.text import normalize_theme_name, strip
 from ..session import cut_lineage
 from .identity import _with_new_ids
 
-_NO_NAMES = F.array().cast("array<string>")
+
+def _names(column: str) -> Column:
+    """A list column, empty instead of NULL."""
+    return F.coalesce(column, F.array().cast("array<string>"))
+
 
 
 def dictionary(themes: DataFrame) -> DataFrame:
     """key -> theme: names and synonyms of active themes beat names of pending ones; then the
     lowest id wins. Synonyms of pending themes do not match."""
     active = F.col("status") == "active"
-    names = F.when(active, F.concat(F.array("name"), F.coalesce("synonyms", _NO_NAMES))).otherwise(
+    names = F.when(active, F.concat(F.array("name"), _names("synonyms"))).otherwise(
         F.array("name")
     )
     keyed = (
@@ -286,10 +290,10 @@ def repoint_links(links: DataFrame, merges: DataFrame) -> DataFrame:
 def merged_synonyms(themes: DataFrame, merges: DataFrame) -> DataFrame:
     """Synonyms of merge targets: their own, then name and synonyms of each source in order."""
     numbered = lambda first: F.posexplode(first).alias("n", "name")
-    names = F.concat(F.array("name"), F.coalesce("synonyms", _NO_NAMES))
+    names = F.concat(F.array("name"), _names("synonyms"))
     targets = themes.join(merges.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
     own = targets.select(
-        F.col("id").alias("theme_id"), numbered(F.coalesce("synonyms", _NO_NAMES))
+        F.col("id").alias("theme_id"), numbered(_names("synonyms"))
     ).select("theme_id", F.struct(F.lit(-1).cast("long").alias("arrival"), "n").alias("position"), "name")
     brought = (
         merges.join(themes.select(F.col("id").alias("src"), names.alias("_names")), "src")
@@ -415,13 +419,13 @@ def industry_seeds(master: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def _ordered_words(themes: DataFrame, lists: list[Column]) -> DataFrame:
-    words = F.concat(*[F.coalesce(c, _NO_NAMES) for c in lists])
+    words = F.concat(*lists)
     return themes.select("id", F.posexplode(words).alias("position", "word"))
 
 
 def display_terms(themes: DataFrame) -> DataFrame:
     """Theme name and synonyms as written, each normalised term once, in order."""
-    words = _ordered_words(themes, [F.array("name"), F.col("synonyms")]).withColumn(
+    words = _ordered_words(themes, [F.array("name"), _names("synonyms")]).withColumn(
         "word", strip(F.coalesce("word", F.lit("")))
     ).where("word <> ''")
     return (
@@ -433,7 +437,7 @@ def display_terms(themes: DataFrame) -> DataFrame:
 
 def query_words(subscriptions: DataFrame) -> DataFrame:
     """Normalised name, synonyms and extra keywords, each once, the first eight in order."""
-    words = _ordered_words(subscriptions, [F.array("name"), F.col("synonyms"), F.col("keywords")])
+    words = _ordered_words(subscriptions, [F.array("name"), _names("synonyms"), _names("keywords")])
     keyed = (
         words.select("id", "position", normalize_theme_name(F.col("word")).alias("word"))
         .where("word <> ''")

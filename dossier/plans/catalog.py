@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES, runnable
 
-_MODULES = ["text_queries", "landing_queries", "extraction_queries", "identity_queries", "view_queries", "resolution_queries", "vocabulary_queries", "retrieval_queries"]
+_MODULES = ["text_queries", "landing_queries", "extraction_queries", "identity_queries", "view_queries", "resolution_queries", "vocabulary_queries", "retrieval_queries", "streaming_queries"]
 for _name in _MODULES:
     importlib.import_module(f".{_name}", __package__)
 

@@ -101,6 +101,11 @@ _SOURCES = {
 }
 
 
+def spark_columns(columns: dict[str, str]) -> list[str]:
+    """The expressions as Spark takes them: its REGEXP_REPLACE has no flags, it replaces all."""
+    return [f"{expr.replace(", 'g')", ')')} AS {col}" for col, expr in columns.items()]
+
+
 def ctes(*names: str) -> str:
     """``WITH`` clause with the named stand-ins for the check SQL."""
     parts = []
@@ -123,10 +128,7 @@ class Tables:
 
     def _standin(self, name: str) -> DataFrame:
         table, columns = _SOURCES[name]
-        exprs = [
-            f"{expr.replace(", '', 'g')", ", '')")} AS {col}" for col, expr in columns.items()
-        ]
-        return self.raw(table).selectExpr(*exprs)
+        return self.raw(table).selectExpr(*spark_columns(columns))
 
     @cached_property
     def reports(self) -> DataFrame:

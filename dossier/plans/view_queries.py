@@ -54,7 +54,7 @@ def report_list(t):
         t.reports, broker="Broker 3", date_from="1996-01-01", date_to="2000-12-31", theme_links=theme_links
     )
     total = rows.agg(F.count("*")).scalar()
-    shown = views.page(rows.select("id", "title", "broker", "publish_date"), views.NEWEST_FIRST, 20, 20, 100)
+    shown = views.page(rows.select("id", "title", "broker", "publish_date"), views.newest_first(), 20, 20, 100)
     return shown.withColumn("total", total).withColumn("publish_date", F.col("publish_date").cast("string"))
 
 
