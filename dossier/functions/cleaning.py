@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from . import constants as K
-from .text import split_lines, strip
+from .text import SPACE, split_lines, strip
 
-_NO_BODY = "(?U)" + "|".join(
-    [*K.FOOTER_LINES, rf"^(?=.{{1,{K.BARE_NUMBERS_BELOW - 1}}}$){K.BARE_NUMBERS}$"]
+# One anchored pattern: prose fails at its first character. The margin stands for the strip.
+_MARGIN = f"{SPACE}*"
+_NUMBERS_ONLY = r"[\d%.\-](?:{inner}{{0,{most}}}[\d%.\-])?".format(
+    inner=K.BARE_NUMBERS.rstrip("+"), most=K.BARE_NUMBERS_BELOW - 3
+)
+_NO_BODY = "(?U)^{m}(?:{lines}){m}$".format(
+    m=_MARGIN, lines="|".join([*(p[1:-1] for p in K.FOOTER_LINES), _NUMBERS_ONLY])
 )
 
 
@@ -21,7 +26,8 @@ def clean_markdown(markdown: Column) -> Column:
     text = F.regexp_replace(markdown, f"(?Us){K.PICTURE_TEXT}", "")
     text = F.regexp_replace(text, f"(?U){K.HIDDEN_FIELD}", "")
     text = F.regexp_replace(text, K.HIGHLIGHT_MARK, "")
-    return F.array_join(F.filter(split_lines(text), lambda line: ~strip(line).rlike(_NO_BODY)), "\n")
+    body = lambda line: ~(line.contains(K.DISCLAIMER) | line.rlike(_NO_BODY))
+    return F.array_join(F.filter(split_lines(text), body), "\n")
 
 
 def chunk_bodies(

@@ -47,8 +47,8 @@ NOISE_PARTS = [
 PICTURE_TEXT = r"<!--\s*Start of picture text\s*-->.*?<!--\s*End of picture text\s*-->\n?"
 HIDDEN_FIELD = r"\s*\[Table_\w+\]"
 HIGHLIGHT_MARK = r"</?mark>"
+DISCLAIMER = "请务必阅读正文之后的免责条款部分"  # anywhere in a line
 FOOTER_LINES = [
-    r"请务必阅读正文之后的免责条款部分",
     r"^[-—]*\s*\d+\s*[-—]*$",
     r"^资料来源[:：].*$",
     r"^图\s*[:：]?.{0,40}$",

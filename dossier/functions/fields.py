@@ -161,6 +161,7 @@ def url_class(url: Column) -> Column:
 def search_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; runs of Han characters become bigrams."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
+    plain_words = F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     words = F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
     runs = F.regexp_extract_all(lowered, F.lit(r"\p{IsHan}+"), F.lit(0))
     bigrams = F.flatten(
@@ -174,4 +175,4 @@ def search_tokens(text: Column) -> Column:
             ),
         )
     )
-    return F.concat(words, bigrams)
+    return F.when(lowered.rlike(r"\p{IsHan}"), F.concat(words, bigrams)).otherwise(plain_words)

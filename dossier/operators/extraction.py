@@ -10,10 +10,6 @@ from ..functions.text import blank_to_null, strip
 from .numbering import numbered_within
 
 
-def _kind(value: Column, path: str = "$") -> Column:
-    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-
-
 def repair_json(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``payload`` (an object variant) or ``error``.
 
@@ -28,7 +24,8 @@ def repair_json(responses: DataFrame, raw: str = "raw") -> DataFrame:
     ).otherwise(text)
     braces = F.nullif(F.regexp_extract("_text", r"(?s)\{.*\}", 0), F.lit(""))
     parsed = F.coalesce(F.try_parse_json("_text"), F.try_parse_json(braces))
-    is_object = F.coalesce(_kind(F.col("_parsed")).startswith("OBJECT"), F.lit(False))
+    # only an object reads as a struct, whatever fields it has
+    is_object = F.try_variant_get("_parsed", "$", "struct<x:variant>").isNotNull()
     return (
         responses.withColumn("_text", unfenced)
         .withColumn("_parsed", parsed)
@@ -38,89 +35,101 @@ def repair_json(responses: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def _text(value: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(value, path, "string"), F.lit(""))
+def _text(value: Column) -> Column:
+    return F.coalesce(value, F.lit(""))
 
 
-def _strict_bool(value: Column, path: str) -> Column:
+def _strict_bool(value: Column) -> Column:
     """True/False only for a JSON boolean, NULL for anything else."""
-    return F.when(_kind(value, path) == "BOOLEAN", F.try_variant_get(value, path, "boolean"))
+    return F.when(
+        F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")
+    )
 
 
-def _objects(value: Column, path: str) -> Column:
-    items = F.coalesce(
-        F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>")
+def objects(items: Column, fields_ddl: str) -> Column:
+    """The objects of a JSON list as structs of the given fields; other items are NULL."""
+    listed = F.coalesce(
+        F.try_variant_get(items, "$", "array<variant>"), F.array().cast("array<variant>")
     )
+    return F.transform(listed, lambda e: F.try_variant_get(e, "$", f"struct<{fields_ddl}>"))
+
+
+def _named(items: Column, fields_ddl: str) -> Column:
     return F.filter(
-        items,
-        lambda e: F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
-        & (strip(_text(e, "$.name")) != ""),
+        objects(items, f"name:string,{fields_ddl}"), lambda e: strip(_text(e["name"])) != ""
     )
 
 
+_PAYLOAD = (
+    "struct<broker:string,publish_date:string,report_type:string,title:string,summary:string,"
+    "risk_notes:string,rating:variant,targets:variant,themes:variant,authors:variant>"
+)
+
+
 def normalize_result(analyses: DataFrame, payload: str = "payload", body: str = "body") -> DataFrame:
     """Add the typed ``result``; what drifts in one field never fails the whole row.
 
     List fields that hold a bare number or ``true`` cannot be walked: ``schema_error`` is set.
     """
-    p, text = F.col(payload), F.col(body)
-    # a bad list field is any scalar but text, null, false and zero
+    p, text = F.col("_p"), F.col(body)
+    # a list field that is a bare number but zero, or true
     unwalkable = F.lit(False)
     for name in ("targets", "themes", "authors"):
-        scalar = F.try_variant_get(p, f"$.{name}", "double")
+        kind = F.schema_of_variant(p[name])
         unwalkable = unwalkable | (
-            _kind(p, f"$.{name}").rlike("^(?:BIGINT|DOUBLE|DECIMAL|BOOLEAN)") & (scalar != 0)
+            kind.rlike("^(?:BIGINT|DOUBLE|DECIMAL|BOOLEAN)")
+            & (F.try_variant_get(p[name], "$", "double") != 0)
         )
     prepared = (
-        analyses.withColumn("_anchored", fields.anchor_publish_date(text))
-        .withColumn("_extracted", fields.extracted_date(_text(p, "$.publish_date")))
+        analyses.withColumn("_p", F.try_variant_get(payload, "$", _PAYLOAD))
+        .withColumn("_anchored", fields.anchor_publish_date(text))
+        .withColumn("_extracted", fields.extracted_date(_text(p["publish_date"])))
+        .withColumn("_rating", F.try_variant_get(p["rating"], "$", "struct<action:string,maintained:variant>"))
         .withColumn("schema_error", F.when(F.coalesce(unwalkable, F.lit(False)), "schema_invalid"))
     )
-    code_of = lambda e: fields.normalize_code(_text(e, "$.code"))
+    coded = F.transform(
+        _named(p["targets"], "code:string,stance:string,view:string,has_forecast:variant"),
+        lambda e: F.struct(e.alias("e"), fields.normalize_code(_text(e["code"])).alias("code")),
+    )
     targets = F.transform(
-        _objects(p, "$.targets"),
-        lambda e: F.struct(
-            code_of(e).alias("code"),
-            strip(_text(e, "$.name")).alias("name"),
-            fields.map_stance(_text(e, "$.stance")).alias("stance"),
-            _text(e, "$.view").alias("view"),
-            F.coalesce(_strict_bool(e, "$.has_forecast"), F.lit(False)).alias("has_forecast"),
-            fields.code_source(code_of(e), text).alias("code_source"),
+        coded,
+        lambda c: F.struct(
+            c["code"].alias("code"),
+            strip(c["e"]["name"]).alias("name"),
+            fields.map_stance(_text(c["e"]["stance"])).alias("stance"),
+            _text(c["e"]["view"]).alias("view"),
+            F.coalesce(_strict_bool(c["e"]["has_forecast"]), F.lit(False)).alias("has_forecast"),
+            fields.code_source(c["code"], text).alias("code_source"),
         ),
     )
     themes = F.transform(
-        _objects(p, "$.themes"),
-        lambda e: F.struct(
-            strip(_text(e, "$.name")).alias("name"), _text(e, "$.reason").alias("reason")
-        ),
+        _named(p["themes"], "reason:string"),
+        lambda e: F.struct(strip(e["name"]).alias("name"), _text(e["reason"]).alias("reason")),
     )
     authors = F.transform(
-        _objects(p, "$.authors"),
-        lambda e: F.struct(
-            strip(_text(e, "$.name")).alias("name"),
-            blank_to_null(F.try_variant_get(e, "$.cert", "string")).alias("cert"),
-        ),
+        _named(p["authors"], "cert:string"),
+        lambda e: F.struct(strip(e["name"]).alias("name"), blank_to_null(e["cert"]).alias("cert")),
     )
     publish_date, source = fields.date_provenance(F.col("_anchored"), F.col("_extracted"))
     result = F.struct(
-        _text(p, "$.broker").alias("broker"),
+        _text(p["broker"]).alias("broker"),
         authors.alias("authors"),
         publish_date.alias("publish_date"),
-        fields.map_report_type(_text(p, "$.report_type")).alias("report_type"),
-        _text(p, "$.title").alias("title"),
-        _text(p, "$.summary").alias("summary"),
+        fields.map_report_type(_text(p["report_type"])).alias("report_type"),
+        _text(p["title"]).alias("title"),
+        _text(p["summary"]).alias("summary"),
         themes.alias("themes"),
         targets.alias("targets"),
         F.struct(
-            fields.map_action(F.try_variant_get(p, "$.rating.action", "string")).alias("action"),
-            _strict_bool(p, "$.rating.maintained").alias("maintained"),
+            fields.map_action(F.col("_rating.action")).alias("action"),
+            _strict_bool(F.col("_rating.maintained")).alias("maintained"),
         ).alias("rating"),
-        _text(p, "$.risk_notes").alias("risk_notes"),
+        _text(p["risk_notes"]).alias("risk_notes"),
         source.alias("publish_date_source"),
     )
     return prepared.withColumn(
         "result", F.when(F.col("schema_error").isNull(), result)
-    ).drop("_anchored", "_extracted")
+    ).drop("_p", "_anchored", "_extracted", "_rating")
 
 
 def merge_partials(partials: DataFrame, scalars: list[str]) -> DataFrame:

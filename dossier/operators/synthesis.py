@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.fields import normalize_code
 from ..functions.text import strip
-from .extraction import _kind, _text
+from .extraction import objects
 from .views import theme_reports
 
 
@@ -144,13 +144,13 @@ def known_codes(evidence: DataFrame, reports: DataFrame, links: DataFrame) -> Da
     return evidence.select("theme_id", "report_id").join(coded, "report_id").select("theme_id", "code").distinct()
 
 
-def _references(item: Column, n_reports: Column) -> Column:
+def _references(listed: Column, n_reports: Column) -> Column:
     """Citation numbers as whole numbers within 1..n, sorted, each once.
 
     Fractions are cut, ``true`` counts as 1, text must be a whole number.
     """
     refs = F.coalesce(
-        F.try_variant_get(item, "$.report_refs", "array<variant>"), F.array().cast("array<variant>")
+        F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>")
     )
 
     def whole(r: Column) -> Column:
@@ -172,29 +172,31 @@ def cited_items(answers: DataFrame, payload: str = "payload") -> DataFrame:
     ``answers``: theme_id, payload (variant), n_reports. Statements without text or without a
     valid citation are dropped.
     """
-    frames = []
-    for part, field in (("common_conclusions", "text"), ("consensus_targets", "name"), ("divergences", "text")):
-        items = F.coalesce(
-            F.try_variant_get(F.col(payload), f"$.{part}", "array<variant>"),
-            F.array().cast("array<variant>"),
+    said = "text:string,name:string,code:string,view:string,report_refs:variant"
+    lists = F.try_variant_get(
+        payload, "$", "struct<common_conclusions:variant,consensus_targets:variant,divergences:variant>"
+    )
+    none = F.lit(None).cast("string")
+
+    def statements(part: str) -> Column:
+        targets = part == "consensus_targets"
+        return F.filter(
+            F.transform(
+                objects(F.col("_lists")[part], said),
+                lambda e, i: F.struct(
+                    F.lit(part).alias("part"),
+                    i.alias("position"),
+                    strip(F.coalesce(e["name" if targets else "text"], F.lit(""))).alias("text"),
+                    (normalize_code(e["code"]) if targets else none).alias("code"),
+                    (F.coalesce(e["view"], F.lit("")) if targets else F.lit("")).alias("view"),
+                    _references(e["report_refs"], F.col("n_reports")).alias("refs"),
+                ),
+            ),
+            lambda s: (s["text"] != "") & (F.size(s["refs"]) > 0),
         )
-        item = F.col("item")
-        frame = (
-            answers.select("theme_id", "n_reports", F.posexplode(items).alias("position", "item"))
-            .where(F.coalesce(_kind(item).startswith("OBJECT"), F.lit(False)))
-            .select(
-                "theme_id",
-                F.lit(part).alias("part"),
-                "position",
-                strip(_text(item, f"$.{field}")).alias("text"),
-                (normalize_code(_text(item, "$.code")) if part == "consensus_targets" else F.lit(None).cast("string")).alias("code"),
-                (_text(item, "$.view") if part == "consensus_targets" else F.lit("")).alias("view"),
-                _references(item, F.col("n_reports")).alias("refs"),
-            )
-        )
-        frames.append(frame)
-    every = frames[0].unionByName(frames[1]).unionByName(frames[2])
-    return every.where((F.col("text") != "") & (F.size("refs") > 0))
+
+    every = F.concat(*[statements(p) for p in ("common_conclusions", "consensus_targets", "divergences")])
+    return answers.withColumn("_lists", lists).select("theme_id", F.inline(every))
 
 
 def keep_known_codes(items: DataFrame, codes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ _ANSWER = r"""CASE event
         CASE WHEN event IN ('signup', 'error') THEN '' ELSE CAST(k AS VARCHAR) END AS k FROM log""",
 )
 def repair_json(t):
-    repaired = extraction.repair_json(t.log.select("event_id", F.expr(_ANSWER).alias("raw")))
+    repaired = extraction.repair_json(t.spread(t.log).select("event_id", F.expr(_ANSWER).alias("raw")))
     return repaired.select(
         "event_id",
         text("error"),
@@ -46,7 +46,7 @@ _SAVED = r"""'{"broker":"' || broker || '","publish_date":' || CASE WHEN deleted
 
 
 def _results(t):
-    saved = t.reports.select(
+    saved = t.spread(t.reports).select(
         "id", F.expr(_SAVED).alias("raw"), F.expr("'code 9' || lpad(CAST(author_id AS STRING), 6, '0') || ' end'").alias("body")
     )
     return extraction.normalize_result(extraction.repair_json(saved))
@@ -96,7 +96,7 @@ def normalize_result(t):
 def code_source(t):
     """The labelled documents carry a code; it is looked up in the whole body."""
     coded = t.raw("labels").select("doc_id", F.lit(True).alias("labelled"))
-    joined = t.raw("documents").join(coded, "doc_id", "left")
+    joined = t.spread(t.raw("documents")).join(coded, "doc_id", "left")
     code = F.when(F.col("labelled"), F.concat(F.substring("source", 4, 9), F.lower("lang")))
     return joined.select(
         "doc_id",

@@ -133,7 +133,7 @@ _RESPONSE = r"""'{"code":0,"data":[{"reportId":' || event_id || ',"title":"<em>'
       CASE WHEN k > 10 THEN k - 10 ELSE -1 END AS pages, 'a' || CAST(k AS VARCHAR) || chr(10) || 'b' AS snippet FROM log""",
 )
 def search_references(t):
-    responses = t.log.select("event_id", F.expr(_RESPONSE).alias("payload"))
+    responses = t.spread(t.log).select("event_id", F.expr(_RESPONSE).alias("payload"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return connector.search_references(responses).select(
         "event_id",
@@ -187,7 +187,7 @@ def scanned_gate(t):
         count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars_raw FROM documents GROUP BY ALL""",
 )
 def output_gate(t):
-    gated = files.converted_bodies(t.raw("documents"), "text")
+    gated = files.converted_bodies(t.spread(t.raw("documents")), "text")
     return gated.groupBy("source", F.coalesce("error_code", F.lit("")).alias("error_code")).agg(
         F.count("*").alias("n"), F.sum("chars_raw").alias("chars_raw")
     )

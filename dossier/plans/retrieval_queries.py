@@ -26,7 +26,7 @@ _SUMMARY = "broker || ' summary in ' || lang"
 
 
 def postings(t, bodies=None):
-    rows = t.bodies if bodies is None else bodies
+    rows = t.spread(t.bodies if bodies is None else bodies)
     return retrieval.build_postings(
         rows.select(F.col("doc_id").alias("id"), "title"),
         rows.select(F.col("doc_id").alias("report_id"), "body"),
@@ -56,7 +56,7 @@ def conjunctive_match(t):
     ctes("bodies") + f" SELECT doc_id, len({_WORDS.format('body')}) AS n_tokens, md5(array_to_string({_WORDS.format('body')}, ' ')) AS tokens_md5 FROM bodies",
 )
 def tokens(t):
-    return t.bodies.select("doc_id", search_tokens(F.col("body")).alias("tokens")).select(
+    return t.spread(t.bodies).select("doc_id", search_tokens(F.col("body")).alias("tokens")).select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5")
     )
 
@@ -183,7 +183,7 @@ _CITED = r"""'{"common_conclusions":[{"text":" c' || k || ' ","report_refs":[2.7
     UNION ALL SELECT event_id, 'consensus_targets', 'm', '', '4' FROM base""",
 )
 def citations(t):
-    answers = t.log.select("event_id", "k", F.expr(_CITED).alias("raw"))
+    answers = t.spread(t.log).select("event_id", "k", F.expr(_CITED).alias("raw"))
     parsed = extraction.repair_json(answers).select(
         F.col("event_id").alias("theme_id"), "payload", F.lit(9).alias("n_reports")
     )

@@ -84,7 +84,7 @@ _NOISY = (
 )
 def clean_markdown(t):
     cleaned = cleaning.clean_markdown(F.expr(_NOISY))
-    return t.bodies.select("doc_id", cleaned.alias("body")).select(
+    return t.spread(t.bodies).select("doc_id", cleaned.alias("body")).select(
         "doc_id",
         F.length("body").cast("long").alias("n_chars"),
         F.md5(F.col("body").cast("binary")).alias("body_md5"),
@@ -114,7 +114,7 @@ _DATE_PARTS = (
         FROM orders""",
 )
 def anchor_publish_date(t):
-    orders = t.raw("orders").selectExpr("*", *_DATE_PARTS.replace(", CAST", "\nCAST").split("\n"))
+    orders = t.spread(t.raw("orders")).selectExpr("*", *_DATE_PARTS.replace(", CAST", "\nCAST").split("\n"))
     head = F.expr(_DATED_HEAD)
     return orders.select(
         "o_orderkey",
@@ -243,7 +243,7 @@ def strip_highlight_and_filename(t):
 )
 def chunk_bodies(t):
     chunks = cleaning.chunk_bodies(
-        t.raw("documents").select("doc_id", "text"), "text", max_chars=2000, size=1000, overlap=100
+        t.spread(t.raw("documents").select("doc_id", "text")), "text", max_chars=2000, size=1000, overlap=100
     )
     return chunks.select(
         "doc_id",
@@ -275,7 +275,7 @@ _OUTLINED = (
 )
 def heading_outline(t):
     outline = cleaning.heading_outline(
-        t.bodies.select("doc_id", F.expr(_OUTLINED).alias("md")), "doc_id", "md"
+        t.spread(t.bodies).select("doc_id", F.expr(_OUTLINED).alias("md")), "doc_id", "md"
     )
     return outline.withColumn("line_no", F.col("line_no").cast("long")).withColumn(
         "level", F.col("level").cast("long")

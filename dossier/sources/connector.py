@@ -9,58 +9,75 @@ from ..functions import constants as K
 from ..functions.text import strip, strip_highlight
 
 
-def _field(entry: Column, name: str, kind: str = "string") -> Column:
-    return F.try_variant_get(entry, f"$.{name}", kind)
+_ENTRY = (
+    "struct<reportId:string,title:string,orgName:string,industryName:string,pubTimeStr:string,"
+    "pubTime:variant,pageNum:variant,paragraphs:variant>"
+)
 
 
-def _is_number(entry: Column, name: str) -> Column:
-    kind = F.schema_of_variant(F.try_variant_get(entry, f"$.{name}", "variant"))
-    return kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)")
+def _number(value: Column) -> Column:
+    """A JSON number as double, NULL for text, booleans and the rest."""
+    is_number = F.schema_of_variant(value).rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return F.when(is_number, F.try_variant_get(value, "$", "double"))
+
+
+def _snippet(paragraphs: Column) -> Column:
+    none = F.array().cast("array<variant>")
+    texts = F.transform(
+        F.coalesce(F.try_variant_get(paragraphs, "$", "array<variant>"), none),
+        lambda p: F.try_variant_get(p, "$.content", "string"),
+    )
+    joined = F.array_join(
+        F.transform(F.filter(texts, lambda p: F.length(p) > 0), strip_highlight), "\n"
+    )
+    return F.nullif(F.left(joined, F.lit(K.SNIPPET_CHARS)), F.lit(""))
 
 
 def search_references(responses: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per usable entry of a search response, other columns kept.
 
-    Entries without id, title or a readable publish date are dropped.
+    Entries without id, title or a readable publish date are dropped, inside the list, so every
+    rule runs once per entry.
     """
     kept = [c for c in responses.columns if c != payload]
-    entry = F.col("entry")
-    listed = responses.select(
-        *kept,
-        F.posexplode(
-            F.try_variant_get(F.try_parse_json(F.col(payload)), "$.data", "array<variant>")
-        ).alias("position", "entry"),
+    listed = F.coalesce(
+        F.try_variant_get(F.try_parse_json(F.col(payload)), "$.data", "array<variant>"),
+        F.array().cast("array<variant>"),
     )
-    number = F.when(_is_number(entry, "pubTime"), _field(entry, "pubTime", "double"))
-    seconds = F.when(number > 1e12, number / 1000).otherwise(number)
-    moment = F.when(number > 0, F.timestamp_micros((seconds * 1_000_000).cast("long")))
-    printed = F.regexp_extract(
-        F.coalesce(_field(entry, "pubTimeStr"), F.lit("")), f"(?U){K.PAYLOAD_DATE}", 0
-    )
-    paragraphs = F.transform(
-        F.coalesce(
-            F.try_variant_get(entry, "$.paragraphs", "array<variant>"),
-            F.array().cast("array<variant>"),
-        ),
-        lambda p: F.try_variant_get(p, "$.content", "string"),
-    )
-    # an entry without any usable paragraph has no snippet, not an empty one
-    snippet = F.array_join(
-        F.transform(F.filter(paragraphs, lambda p: F.length(p) > 0), strip_highlight), "\n"
+
+    def timed(e: Column, i: Column) -> Column:
+        number = _number(e["pubTime"])
+        seconds = F.when(number > 1e12, number / 1000).otherwise(number)
+        return F.struct(
+            e.alias("e"),
+            i.alias("position"),
+            F.when(number > 0, F.timestamp_micros((seconds * 1_000_000).cast("long"))).alias("at"),
+        )
+
+    def reference(t: Column) -> Column:
+        e = t["e"]
+        printed = F.regexp_extract(
+            F.coalesce(e["pubTimeStr"], F.lit("")), f"(?U){K.PAYLOAD_DATE}", 0
+        )
+        pages = _number(e["pageNum"])
+        return F.struct(
+            t["position"].alias("position"),
+            strip(F.coalesce(e["reportId"], F.lit(""))).alias("external_id"),
+            strip_highlight(e["title"]).alias("title"),
+            F.coalesce(F.to_date(t["at"]), F.try_to_date(printed, "yyyy-M-d")).alias("publish_date"),
+            t["at"].alias("published_at"),
+            F.nullif(strip_highlight(e["orgName"]), F.lit("")).alias("broker"),
+            F.nullif(strip_highlight(e["industryName"]), F.lit("")).alias("industry"),
+            F.when(pages > 0, pages.cast("int")).alias("pages"),
+            _snippet(e["paragraphs"]).alias("snippet"),
+        )
+
+    entries = F.transform(listed, lambda v: F.try_variant_get(v, "$", _ENTRY))
+    refs = F.filter(
+        F.transform(F.transform(entries, timed), reference),
+        lambda r: (r["external_id"] != "") & (r["title"] != "") & r["publish_date"].isNotNull(),
     )
-    pages = F.when(_is_number(entry, "pageNum"), _field(entry, "pageNum", "double"))
-    return listed.select(
-        *kept,
-        "position",
-        strip(F.coalesce(_field(entry, "reportId"), F.lit(""))).alias("external_id"),
-        strip_highlight(_field(entry, "title")).alias("title"),
-        F.coalesce(F.to_date(moment), F.try_to_date(printed, "yyyy-M-d")).alias("publish_date"),
-        moment.alias("published_at"),
-        F.nullif(strip_highlight(_field(entry, "orgName")), F.lit("")).alias("broker"),
-        F.nullif(strip_highlight(_field(entry, "industryName")), F.lit("")).alias("industry"),
-        F.when(pages > 0, pages.cast("int")).alias("pages"),
-        F.nullif(F.left(snippet, F.lit(K.SNIPPET_CHARS)), F.lit("")).alias("snippet"),
-    ).where("external_id <> '' AND title <> '' AND publish_date IS NOT NULL")
+    return responses.select(*kept, F.inline(refs))
 
 
 def bad_responses(responses: DataFrame, payload: str = "payload") -> DataFrame:
