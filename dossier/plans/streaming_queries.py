@@ -128,7 +128,9 @@ _CLEANED = r"""array_to_string(list_filter(regexp_split_to_array(body, '\r\n|[\n
     SELECT report_id, field, count(*) AS occurrences, count(DISTINCT token) AS postings FROM w GROUP BY 1, 2""",
 )
 def body_index(t):
-    bodies = _stream(t, "documents", BODIES).select(
+    # one file is one task: deal its rows out before the cleaning
+    cores = t.spark.sparkContext.defaultParallelism
+    bodies = _stream(t, "documents", BODIES).repartition(cores).select(
         F.col("doc_id").alias("report_id"), "title", "body", F.expr(_SUMMARY).alias("summary")
     )
     folder = shared_folder(t.spark, "body-index")
