@@ -15,10 +15,12 @@ from .numbering import consecutive_ids
 IDENTITY = ["title_norm", "broker", "publish_date"]
 
 
-def _with_new_ids(rows: DataFrame, order: str, taken: DataFrame, column: str, name: str) -> DataFrame:
+def _with_new_ids(
+    rows: DataFrame, order: str, taken: DataFrame, column: str, name: str, ties: tuple[str, ...] = ()
+) -> DataFrame:
     """Consecutive ids after the highest taken one, in ``order``."""
     first = taken.agg(F.coalesce(F.max(column), F.lit(0)) + 1).scalar()
-    return consecutive_ids(rows, order, first, name)
+    return consecutive_ids(rows, order, first, name, ties)
 
 
 def merge_identities(files: DataFrame, live: DataFrame) -> DataFrame:
@@ -32,7 +34,9 @@ def merge_identities(files: DataFrame, live: DataFrame) -> DataFrame:
     )
     known = first.join(live.select("id", *IDENTITY), IDENTITY, "left")
     old = known.where("id IS NOT NULL").withColumnRenamed("id", "report_id")
-    new = _with_new_ids(known.where("id IS NULL").drop("id"), "first_arrival", live, "id", "report_id")
+    new = _with_new_ids(
+        known.where("id IS NULL").drop("id"), "first_arrival", live, "id", "report_id", tuple(IDENTITY)
+    )
     groups = old.withColumn("_was_live", F.lit(True)).unionByName(
         new.withColumn("_was_live", F.lit(False))
     )
@@ -73,7 +77,7 @@ def dispose_references(refs: DataFrame, live: DataFrame) -> DataFrame:
     first = (
         joined.where(can_fetch).groupBy(*IDENTITY).agg(F.min("position").alias("_first"))
     )
-    created = _with_new_ids(first, "_first", live, "id", "_new_id")
+    created = _with_new_ids(first, "_first", live, "id", "_new_id", tuple(IDENTITY))
     later = F.col("position") > F.col("_first")
     return (
         joined.join(created, IDENTITY, "left")
@@ -166,7 +170,7 @@ def link_tags(
     named = requests.withColumn("name", normalize_tag_name(F.col("raw_name"))).where("name <> ''")
     first = named.groupBy("name").agg(F.min("arrival").alias("_first"))
     unknown = first.join(tags.select("name"), "name", "left_anti")
-    new_tags = _with_new_ids(unknown, "_first", tags, "id", "id").select("id", "name")
+    new_tags = _with_new_ids(unknown, "_first", tags, "id", "id", ("name",)).select("id", "name")
     all_tags = tags.select("id", "name").unionByName(new_tags)
     new_links = (
         named.groupBy("report_id", "name")

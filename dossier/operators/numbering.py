@@ -33,9 +33,17 @@ def numbered_within(
 
 
 def consecutive_ids(
-    rows: DataFrame, order: str, first_id: Column, name: str, block_rows: int = BLOCK_ROWS
+    rows: DataFrame,
+    order: str,
+    first_id: Column,
+    name: str,
+    ties: tuple[str, ...] = (),
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add consecutive ids from ``first_id`` on, in the order of a unique integer column."""
+    """Add consecutive ids from ``first_id`` on, in the order of an integer column.
+
+    Where its values repeat, ``ties`` name the columns that decide.
+    """
     placed = rows.withColumn("_block", F.floor(F.col(order) / block_rows))
     sizes = placed.groupBy("_block").agg(F.count("*").alias("_size"))
     # one row per block of a million ids: small enough for a single ordered pass
@@ -43,7 +51,7 @@ def consecutive_ids(
     offsets = sizes.select(
         "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = W.partitionBy("_block").orderBy(order)
+    inside = W.partitionBy("_block").orderBy(order, *ties)
     return (
         placed.withColumn("_pos", F.row_number().over(inside))
         .join(offsets, "_block")

@@ -19,7 +19,7 @@ def select_evidence(links: DataFrame, reports: DataFrame, limit: int = K.EVIDENC
     The rank filter cuts each theme before the shuffle, the total comes from a two-step count,
     so a theme with a third of all reports costs no single task.
     """
-    pairs = theme_reports(links, reports)
+    pairs = theme_reports(links, reports, "publish_date")
     newest = W.partitionBy("theme_id").orderBy(F.desc("publish_date"), F.desc("report_id"))
     chosen = pairs.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= limit)
     totals = pairs.groupBy("theme_id").agg(F.count("*").alias("total"))

@@ -87,11 +87,13 @@ def target_search(master: DataFrame, needle: str, limit: int = 20) -> DataFrame:
     return page(master.where(hit & (F.col("name") != "")), [F.col("code")], limit, 0, 50)
 
 
-def theme_reports(links: DataFrame, reports: DataFrame) -> DataFrame:
-    """Distinct (theme, report) pairs over current versions, with what the list shows."""
-    pairs = current_links(links.select("report_id", "analysis_id", "theme_id"), reports)
-    shown = reports.select(F.col("id").alias("report_id"), "title", "broker", "publish_date")
-    return pairs.select("theme_id", "report_id").distinct().join(shown, "report_id")
+def theme_reports(links: DataFrame, reports: DataFrame, *columns: str) -> DataFrame:
+    """Distinct (theme, report) pairs over current versions with the named report columns.
+
+    The columns depend on the report alone, so one join brings them and the distinct stays exact.
+    """
+    joined = current_links(links.select("report_id", "analysis_id", "theme_id"), reports, *columns)
+    return joined.select("theme_id", "report_id", *columns).distinct()
 
 
 def theme_members(members: DataFrame, master: DataFrame, active_only: bool = False) -> DataFrame:

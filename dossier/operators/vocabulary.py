@@ -118,7 +118,7 @@ def settle_unknown(raw: DataFrame, themes: DataFrame) -> DataFrame:
         (~F.col("root_status").isin("active", "pending")).alias("revived"),
     )
     new = _with_new_ids(
-        known.where("holder IS NULL").select("key", "arrival", "raw_name"), "arrival", themes, "id", "theme_id"
+        known.where("holder IS NULL").select("key", "arrival", "raw_name"), "arrival", themes, "id", "theme_id", ("key",)
     ).select(
         "key", "arrival", "raw_name", "theme_id", F.lit(True).alias("created"), F.lit(False).alias("revived")
     )

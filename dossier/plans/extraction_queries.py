@@ -190,45 +190,45 @@ def author_projection(t):
     return extraction.author_projection(analyses).select("report_id", "seq", "name", text("cert"))
 
 
+# every line is one small extraction with two items
+_LINE = "l_orderkey * 10 + l_linenumber AS analysis_id, l_orderkey AS report_id"
+
+
 @query(
     "x8_theme_projection",
-    """SELECT analysis_id, CAST(seq AS INTEGER) AS seq, raw_name, reason FROM (
-       SELECT l_orderkey AS analysis_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq,
-         'T' || CAST(l_partkey AS VARCHAR) AS raw_name, l_returnflag AS reason FROM lineitem WHERE l_returnflag <> 'N')""",
+    """SELECT l_orderkey * 10 + l_linenumber AS analysis_id, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS seq, 'T' || CAST(l_suppkey AS VARCHAR) AS raw_name, '' AS reason, count(*) AS n FROM lineitem GROUP BY ALL
+       UNION ALL SELECT l_orderkey * 10 + l_linenumber, 0, 'T' || CAST(l_partkey AS VARCHAR), l_returnflag, count(*) FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL""",
 )
 def theme_projection(t):
-    """The lines of one order are gathered first: its themes are one bounded JSON list."""
-    named = F.expr(
-        "named_struct('o1', l_linenumber, 'o2', l_partkey, 'o3', l_suppkey, 'o4', l_extendedprice, "
-        "'name', CASE WHEN l_returnflag = 'N' THEN ' ' ELSE 'T' || l_partkey END, 'reason', l_returnflag)"
+    themes = (
+        "array(named_struct('name', CASE WHEN l_returnflag = 'N' THEN ' ' ELSE ' T' || l_partkey END, 'reason', l_returnflag), "
+        "named_struct('name', 'T' || l_suppkey, 'reason', CAST(NULL AS STRING))) AS themes"
     )
-    analyses = (
-        t.raw("lineitem")
-        .groupBy(F.col("l_orderkey").alias("analysis_id"))
-        .agg(F.sort_array(F.collect_list(named)).alias("themes"))
-        .withColumn("report_id", F.col("analysis_id"))
+    analyses = t.raw("lineitem").selectExpr(*_LINE.split(", "), themes)
+    # an order repeats line numbers, so equal rows are counted
+    return (
+        extraction.theme_projection(analyses)
+        .groupBy("analysis_id", "seq", "raw_name", "reason")
+        .agg(F.count("*").alias("n"))
     )
-    return extraction.theme_projection(analyses).drop("report_id")
 
 
 @query(
     "x9_target_projection",
-    """SELECT analysis_id, CAST(seq AS INTEGER) AS seq, code, stance FROM (
-       SELECT l_orderkey AS analysis_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq,
-         lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, l_returnflag AS stance FROM lineitem)""",
+    """SELECT l_orderkey * 10 + l_linenumber AS analysis_id, l_orderkey AS report_id, 0 AS seq, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, l_returnflag AS stance, count(*) AS n FROM lineitem GROUP BY ALL
+       UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_orderkey, 1, lpad(CAST(l_partkey AS VARCHAR), 6, '0'), l_linestatus, count(*) FROM lineitem GROUP BY ALL""",
 )
 def target_projection(t):
-    item = F.expr(
-        "named_struct('o1', l_linenumber, 'o2', l_partkey, 'o3', l_suppkey, 'o4', l_extendedprice, "
-        "'code', lpad(CAST(l_suppkey AS STRING), 6, '0'), 'stance', l_returnflag)"
+    targets = (
+        "array(named_struct('code', lpad(CAST(l_suppkey AS STRING), 6, '0'), 'stance', l_returnflag), "
+        "named_struct('code', lpad(CAST(l_partkey AS STRING), 6, '0'), 'stance', l_linestatus)) AS targets"
     )
-    analyses = (
-        t.raw("lineitem")
-        .groupBy(F.col("l_orderkey").alias("analysis_id"))
-        .agg(F.sort_array(F.collect_list(item)).alias("targets"))
-        .withColumn("report_id", F.col("analysis_id"))
+    analyses = t.raw("lineitem").selectExpr(*_LINE.split(", "), targets)
+    return (
+        extraction.target_projection(analyses)
+        .groupBy("analysis_id", "report_id", "seq", "code", "stance")
+        .agg(F.count("*").alias("n"))
     )
-    return extraction.target_projection(analyses).select("analysis_id", "seq", "code", "stance")
 
 
 @query(

@@ -129,7 +129,7 @@ def target_search(t):
     ctes("reports", "links") + f", {HEADS} SELECT DISTINCT theme_id, report_id, title, broker, CAST(publish_date AS VARCHAR) AS publish_date FROM current_links",
 )
 def theme_reports(t):
-    return views.theme_reports(t.links, t.reports).withColumn("publish_date", F.col("publish_date").cast("string"))
+    return views.theme_reports(t.links, t.reports, "title", "broker", "publish_date").withColumn("publish_date", F.col("publish_date").cast("string"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_theme_name
 from ..operators import vocabulary
+from ..operators.numbering import BLOCK_ROWS, numbered_within
 from .landing_queries import INDUSTRY, industry_names
 from .registry import query
 from .standins import ctes
@@ -20,11 +21,10 @@ _DICT_SQL = """dict AS (SELECT key, theme_id, theme_status FROM (SELECT *, row_n
 
 
 def themes(t):
-    from pyspark.sql import Window as W
-
-    number = F.row_number().over(W.partitionBy("name").orderBy("id"))
+    # numbered in id blocks: one name may belong to a third of all themes
+    numbered = numbered_within(t.themes, ["name"], [F.col("id")], F.floor(F.col("id") / BLOCK_ROWS), "_n")
     return (
-        t.themes.withColumn("_n", number)
+        numbered
         .select(
             "id",
             F.concat(F.replace("name", F.lit("#"), F.lit("")), F.lit(" v"), F.col("_n").cast("string")).alias("name"),
@@ -93,13 +93,9 @@ def settle_unknown(t):
     raw = _raw(t).groupBy("raw_name").agg(F.min("arrival").alias("arrival"))
     again = vocab.select(F.expr("1000000000 + id").alias("arrival"), F.col("name").alias("raw_name"))
     resolved = vocabulary.resolve_themes(raw.unionByName(again), vocabulary.dictionary(vocab))
-    # arrivals of the stand-in repeat, so equal ones are told apart by their key
-    unknown = resolved.where("theme_id IS NULL")
-    first = unknown.groupBy("key").agg(F.min("arrival").alias("a"), F.min_by("raw_name", "arrival").alias("raw_name"))
-    from pyspark.sql import Window as W
-
-    ordered = first.withColumn("arrival", F.row_number().over(W.orderBy("a", "key")).cast("long"))
-    return vocabulary.settle_unknown(ordered, vocab).select("key", "theme_id", "created", "revived")
+    return vocabulary.settle_unknown(resolved.where("theme_id IS NULL"), vocab).select(
+        "key", "theme_id", "created", "revived"
+    )
 
 
 @query(

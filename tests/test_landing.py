@@ -110,3 +110,25 @@ def test_search_words(spark):
     found = lambda q: sorted(r.report_id for r in retrieval.matching_reports(index, q).collect())
     assert found("算力") == [1, 2] and found("ai 深度") == [1] and found("芯") == [3] and found("算") == [1, 2] and found("算 ai 储") == [2]
     assert retrieval.matching_reports(index, "  ") is None
+
+
+def test_bucketed_tables_meet_without_exchange(spark, tmp_path):
+    from dossier.operators.views import current_links
+    from dossier.sources.snapshots import write_bucketed
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed LOCATION '{tmp_path}/db'")
+    links = spark.range(100).selectExpr("id % 20 AS report_id", "id % 40 AS analysis_id", "id AS theme_id")
+    reports = spark.range(20).selectExpr("id", "false AS deleted", "id AS current_analysis_id")
+    expected = current_links(links, reports).count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = current_links(
+            write_bucketed(links, "bucketed.links", ["report_id", "analysis_id"], 4),
+            write_bucketed(reports, "bucketed.reports", ["id", "current_analysis_id"], 4),
+        )
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == expected > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP DATABASE bucketed CASCADE")
