@@ -104,10 +104,11 @@ def settle_unknown(raw: DataFrame, themes: DataFrame) -> DataFrame:
     holders = themes.select(F.col("name_norm").alias("key"), F.col("id").alias("holder"))
     roots = chain_roots(themes).select(F.col("id").alias("holder"), "root_id")
     root_state = themes.select(F.col("id").alias("root_id"), F.col("status").alias("root_status"))
-    known = (
+    known = cut_lineage(
         first.join(holders, "key", "left")
         .join(roots, "holder", "left")
-        .join(root_state, "root_id", "left")
+        .join(root_state, "root_id", "left"),
+        "unknown-themes",
     )
     old = known.where("holder IS NOT NULL").select(
         "key",
@@ -133,11 +134,14 @@ def propose(proposals: DataFrame, themes: DataFrame) -> DataFrame:
     the name of a merged theme, which simply leads to the root.
     """
     named = proposals.select("arrival", strip(F.col("name")).alias("raw_name"))
-    resolved = resolve_themes(named, dictionary(themes))
+    resolved = cut_lineage(resolve_themes(named, dictionary(themes)), "proposals")
     settled = settle_unknown(resolved.where("theme_id IS NULL AND key <> ''"), themes)
     own_key = themes.select(F.col("id").alias("_settled"), F.col("name_norm").alias("_own"))
-    placed = settled.select("key", F.col("theme_id").alias("_settled"), "created", "revived").join(
-        own_key, "_settled", "left"
+    placed = cut_lineage(
+        settled.select("key", F.col("theme_id").alias("_settled"), "created", "revived").join(
+            own_key, "_settled", "left"
+        ),
+        "proposals",
     )
     # a root can be revived through several names; the first proposal does it
     openers = (
@@ -219,9 +223,13 @@ def union_synonyms(names: DataFrame, own: DataFrame) -> DataFrame:
 
     ``names``: theme_id, position, name in the wanted order; ``own``: theme_id, name.
     """
-    keyed = names.select(
-        "theme_id", "position", strip(F.coalesce("name", F.lit(""))).alias("synonym")
-    ).withColumn("key", normalize_theme_name(F.col("synonym"))).where("synonym <> ''")
+    # equal spellings meet before they are normalised
+    spelled = names.groupBy("theme_id", strip(F.coalesce("name", F.lit(""))).alias("synonym")).agg(
+        F.min("position").alias("position")
+    )
+    keyed = spelled.where("synonym <> ''").withColumn(
+        "key", normalize_theme_name(F.col("synonym"))
+    )
     mine = own.select("theme_id", normalize_theme_name(F.col("name")).alias("key"))
     return (
         keyed.groupBy("theme_id", "key")

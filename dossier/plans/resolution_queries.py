@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
 from ..operators import master, resolve
+from ..session import cut_lineage
 from .landing_queries import INDUSTRY, industry_names
 from .registry import query
 from .standins import ctes
@@ -161,7 +162,7 @@ _NAMES_SQL = f"""mentioned AS (SELECT DISTINCT {_PART_KEY.format("p_name || p_br
     UNION ALL SELECT key, '', 'candidate', 0, d.code FROM v JOIN dict d USING (key) WHERE n > 1""",
 )
 def exact_names(t):
-    dictionary = _dictionary(t)
+    dictionary = cut_lineage(_dictionary(t), "name-dictionary")
     verdicts, candidates = resolve.exact_stage(_mentioned(t), dictionary)
     sizes = dictionary.groupBy("key").agg(F.count("*").alias("n_codes"))
     shown = verdicts.join(sizes, "key").select("key", text("code"), text("reason"), "n_codes", F.lit("").alias("candidate"))
@@ -206,7 +207,9 @@ def _routed(t):
         F.col("p_partkey").alias("name_no"), normalize_name(F.expr("p_name || p_brand")).alias("key")
     )
     mentions = t.raw("lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _MENTION.items()]).join(names, "name_no")
-    verdicts, candidates = resolve.exact_stage(names.select("key").distinct(), _dictionary(t))
+    # the dictionary is a stored table: it feeds verdicts, candidates and hints
+    dictionary = cut_lineage(_dictionary(t), "name-dictionary")
+    verdicts, candidates = resolve.exact_stage(names.select("key").distinct(), dictionary)
     codes = t.raw("part").select(F.expr("lpad(CAST(p_partkey AS STRING), 6, '0')").alias("code"))
     return resolve.route_mentions(mentions, verdicts, codes), verdicts, candidates
 

@@ -30,22 +30,21 @@ SELECT c_custkey AS id, c_acctbal AS balance, c_name AS plain,
   CASE WHEN c_acctbal < 0 THEN '*ST ' WHEN c_acctbal < 2000 THEN 'ST' ELSE '' END || c_name ||
   CASE WHEN c_mktsegment = 'BUILDING' THEN '股份有限公司' WHEN c_mktsegment = 'MACHINERY' THEN '集团有限公司'
        WHEN c_mktsegment = 'FURNITURE' THEN ' 控股集团' ELSE '' END AS name
-FROM customer
+FROM {customer}
 UNION ALL
 SELECT -1 - s_suppkey, s_acctbal, s_name,
   CASE WHEN s_acctbal < 2000 THEN 'S*ST' ELSE '' END || s_name || CASE WHEN s_acctbal > 5000 THEN '有限公司' ELSE '公司' END
-FROM supplier
+FROM {supplier}
 """
 
 
 @query(
     "n3_normalize_company_name",
-    f"SELECT id, upper(plain) AS name_norm FROM ({_COMPANIES})",
+    f"SELECT id, upper(plain) AS name_norm FROM ({_COMPANIES.format(customer='customer', supplier='supplier')})",
 )
 def normalize_company_name(t):
-    for name in ("customer", "supplier"):
-        t.raw(name).createOrReplaceTempView(name)
-    return t.spark.sql(_COMPANIES).select(
+    companies = t.spark.sql(_COMPANIES, customer=t.raw("customer"), supplier=t.raw("supplier"))
+    return companies.select(
         "id", text.normalize_name(F.col("name")).alias("name_norm")
     )
 
