@@ -87,7 +87,7 @@ def retry_states(t):
 
 @query("w4_retry_stream", ctes("log") + _STREAK_SQL + f" SELECT {_STATE} FROM st")
 def retry_stream(t):
-    rounds = _rounds(_stream(t, "events", EVENTS)).withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    rounds = _rounds(_stream(t, "events", EVENTS))
     states = discovery.retry_stream(rounds, shared_folder(t.spark, "retries"))
     return states.select("event_id", "event", "attempt", "consecutive_failures", "alert")
 

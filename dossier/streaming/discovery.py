@@ -87,9 +87,11 @@ def _outcome(streak: Column) -> list[Column]:
     ]
 
 
-def retry_states(log: DataFrame) -> DataFrame:
+def retry_states(log: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """State of the retry rule after every round, for a whole log at once.
 
+    ``carry`` holds (subscription_id, streak) as earlier logs left it.
+
     The length of a failure streak is the distance to the last success. It is found per
     (subscription, day) first; one row per day then carries the last success forward, so a
     subscription with a third of all rounds is spread over its days.
@@ -109,10 +111,17 @@ def retry_states(log: DataFrame) -> DataFrame:
         .withColumn("_ok_before", F.max(F.col("_before") + F.col("_day_last")).over(earlier))
         .select("subscription_id", "_day", "_before", "_ok_before")
     )
+    if carry is None:
+        carried = carried.withColumn("_carry", F.lit(0))
+    else:
+        carried = carried.join(
+            carry.select("subscription_id", F.col("streak").alias("_carry")), "subscription_id", "left"
+        )
+    # without a success so far the streak reaches back into the earlier logs
     streak = (
         F.col("_before")
         + F.col("_pos")
-        - F.coalesce(F.col("_before") + F.col("_last"), F.col("_ok_before"), F.lit(0))
+        - F.coalesce(F.col("_before") + F.col("_last"), F.col("_ok_before"), -F.col("_carry"), F.lit(0))
     )
     return (
         placed.join(carried, ["subscription_id", "_day"])
@@ -128,8 +137,36 @@ def next_run(event: Column, attempt: Column, at: Column, interval_hours: Column)
     return at + F.make_dt_interval(secs=seconds)
 
 
+def retry_stream(stream: DataFrame, folder: str, checkpoint: str | None = None) -> DataFrame:
+    """The retry rule as a stream; batches come in time order.
+
+    A batch is evaluated like a log, with the streaks the batch before left. Those are stored as a
+    table per batch, so a subscription with a third of all rounds never meets in one task.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        read = lambda part, n: spark.read.parquet(f"{folder}/{part}/batch={n}")
+        carry = read("carry", batch_id - 1) if batch_id > 0 else None
+        keep_batch(retry_states(batch, carry), f"{folder}/states", batch_id)
+        last = F.max_by("streak", F.struct("seen_at", "event_id")).alias("_last")
+        left = read("states", batch_id).groupBy("subscription_id").agg(last)
+        if carry is not None:
+            left = left.join(carry, "subscription_id", "full_outer").withColumn(
+                "_last", F.coalesce("_last", "streak")
+            )
+        keep_batch(left.select("subscription_id", F.col("_last").alias("streak")), f"{folder}/carry", batch_id)
+
+    run_available(stream, handle, checkpoint=checkpoint)
+    return stream.sparkSession.read.parquet(f"{folder}/states")
+
+
 class RetryRule(StatefulProcessor):
-    """Keeps one number per subscription: the failures in a row so far."""
+    """Keeps one number per subscription: the failures in a row so far.
+
+    The rounds one trigger brings for a subscription are ordered in memory, so the trigger bounds
+    them (``files_per_batch``); :func:`retry_stream` has no such limit.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._streak = handle.getValueState("streak", "failures long")
@@ -147,8 +184,10 @@ class RetryRule(StatefulProcessor):
         pass
 
 
-def retry_stream(stream: DataFrame, folder: str, checkpoint: str | None = None) -> DataFrame:
-    """The retry rule as a stream with state per subscription; batches come in time order."""
+def stateful_retry_stream(
+    stream: DataFrame, folder: str, checkpoint: str | None = None
+) -> DataFrame:
+    """The retry rule with keyed state instead of stored streaks, for short triggers."""
     spark = stream.sparkSession
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",

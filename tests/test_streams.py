@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators.retrieval import build_postings
@@ -52,14 +53,15 @@ def test_retry_rule_in_one_pass(spark):
     assert shown(discovery.retry_states(spark.createDataFrame(rows, ROUND))) == want
 
 
-def test_retry_rule_as_stream(spark):
+@pytest.mark.parametrize("run", [discovery.retry_stream, discovery.stateful_retry_stream])
+def test_retry_rule_as_stream(spark, run):
     rows = rounds(200)
     folder, out, checkpoint = (shared_folder(spark, p) for p in ("rounds", "states", "stream"))
     stream = lambda: runs.file_stream(spark, folder, "*.parquet", spark.createDataFrame([], ROUND).schema, 1)
     spark.createDataFrame(rows[:120], ROUND).coalesce(1).write.parquet(folder)
-    discovery.retry_stream(stream(), out, checkpoint)
+    run(stream(), out, checkpoint)
     spark.createDataFrame(rows[120:], ROUND).coalesce(1).write.mode("append").parquet(folder)
-    assert shown(discovery.retry_stream(stream(), out, checkpoint)) == simulate(rows)
+    assert shown(run(stream(), out, checkpoint)) == simulate(rows)
 
 
 def test_next_run(spark):
