@@ -251,7 +251,7 @@ def seed_verdicts(t):
     + f""", {_THEMES_SQL}, {_SEED_VERDICT_SQL}, {MEMBERS}, imp AS (SELECT * FROM final WHERE verdict IN ('created', 'kept', 'renamed')),
     listed AS (SELECT DISTINCT theme_id, target_code FROM imp JOIN (SELECT l_partkey AS position, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS target_code FROM lineitem WHERE l_linestatus = 'O'
        UNION ALL SELECT 1000000 + l_partkey, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') FROM lineitem WHERE l_linestatus = 'F') USING (position))
-    SELECT theme_id, target_code, coalesce(source, 'seed') AS source, CAST(coalesce(joined_at, DATE '2024-05-01') AS VARCHAR) AS joined_at,
+    SELECT CAST(theme_id AS BIGINT) AS theme_id, target_code, coalesce(source, 'seed') AS source, CAST(coalesce(joined_at, DATE '2024-05-01') AS VARCHAR) AS joined_at,
       CASE WHEN is_active IS NULL THEN true WHEN source = 'seed' AND theme_id IN (SELECT theme_id FROM imp) THEN l.theme_id IS NOT NULL ELSE is_active END AS is_active
     FROM members FULL JOIN listed l USING (theme_id, target_code)""",
 )

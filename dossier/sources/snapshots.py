@@ -12,6 +12,11 @@ def write_snapshot(rows: DataFrame, folder: str) -> str:
     return folder
 
 
+def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once; empty for every table whose key is an invariant."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def write_bucketed(rows: DataFrame, table: str, keys: list[str], buckets: int) -> DataFrame:
     """Write as a table clustered by the join keys of the views.
 
