@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U = np.uint64
+#: 64-bit words of the parity sketch of a set.
+_SKETCH = 8
 #: Up to this Hamming distance the signatures are subsets of parts, beyond it single parts.
 _ENUMERATED = 7
 
@@ -107,6 +109,18 @@ def _set_keys(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _parities(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Per set 512 bits, each the parity of the elements hashed to it.
+
+    Two sets that differ in d elements differ in at most d bits, so the sketch rules a pair out
+    without error.
+    """
+    rows, width = len(offs) - 1, 64 * _SKETCH
+    bit = (C.mix(values + U(77)) >> U(40)).astype(np.int64) % width
+    odd = np.bincount(np.repeat(np.arange(rows), np.diff(offs)) * width + bit, minlength=rows * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, width), axis=1).view(np.int64)
+
+
 def _sets(batch: pa.RecordBatch):
     data, offs = C.buffers(batch.column("text"))
     for a, b in C.pieces(offs):
@@ -115,18 +129,21 @@ def _sets(batch: pa.RecordBatch):
 
 
 def set_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a key that is equal for equal shingle sets (NULL for the empty set)."""
+    """doc_id, n_shingles, a key that is equal for equal shingle sets (NULL for the empty set), sketch p0..p7."""
+    sketch = [f"p{i}" for i in range(_SKETCH)]
 
     def run(batches):
         for batch in batches:
             for a, b, values, at in _sets(batch):
                 n = np.diff(at)
+                parity = _parities(values, at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(_set_keys(values, at), mask=n == 0)],
-                    ["doc_id", "n_shingles", "key"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(_set_keys(values, at), mask=n == 0)]
+                    + [pa.array(np.ascontiguousarray(parity[:, i])) for i in range(_SKETCH)],
+                    ["doc_id", "n_shingles", "key", *sketch],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, " + ", ".join(f"{c} long" for c in sketch))
 
 
 def _signature_rows(docs: DataFrame, num: int, den: int) -> DataFrame:
@@ -166,16 +183,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    size = F.length("elements")
-    left = sets.select(F.col("key").alias("a"), F.col("elements").alias("x"), size.alias("n"))
-    right = sets.select(F.col("key").alias("b"), F.col("elements").alias("y"), size.alias("m"))
-    sized = (
-        pairs.join(left.select("a", "n"), "a").join(right.select("b", "m"), "b")
-        .where((den * F.least("n", "m") >= num * F.greatest("n", "m")))
+    left = sets.select(F.col("key").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("key").alias("b"), F.col("elements").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _possible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches do not rule out."""
+    names = ["n_shingles", *(f"p{i}" for i in range(_SKETCH))]
+    left = sizes.select(F.col("key").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names))
+    right = sizes.select(F.col("key").alias("b"), *(F.col(c).alias(f"b_{c}") for c in names))
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names[1:]), F.lit(0))
+    small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
+    return (
+        pairs.join(left, "a").join(right, "b")
+        .where((den * small >= num * large) & ((den + num) * apart <= (den - num) * (small + large)))
         .select("a", "b")
     )
-    joined = sized.join(left.select("a", "x"), "a").join(right.select("b", "y"), "b")
-    return joined.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -188,10 +212,11 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
 
     Exact: (1) equal sets collapse to one key; (2) PartEnum signatures bring every similar pair
     of keys together; (3) of each signature only keys met by another key are kept, with the
-    smallest key of the group as pivot; (4) candidates are verified on the whole sets in three
-    rounds: one pivot per key, then every pivot of another component, then every remaining pair
-    of keys that share a signature and still lie in different components. Families of near
-    copies collapse in the first two rounds, so no round emits the pairs within a family.
+    smallest key of the group as pivot; (4) sizes and parity sketches rule candidates out, the
+    others are verified on the whole sets in three rounds: one pivot per key, then every pivot of
+    another component, then every remaining pair of keys that share a signature and still lie in
+    different components. Families of near copies collapse in the first two rounds, so no round
+    emits the pairs within a family.
     """
     from pyspark.sql import Window
 
@@ -204,11 +229,16 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
         .where("lo < hi").select("sig", "key", "lo").distinct(),
         "shared-signatures",
     )
-    alive = keys.join(shared.select("key").distinct(), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sets = C.stored(_set_rows(base.join(alive, "doc_id")), "sets")
+    sizes = keys.where("key is not null").drop("doc_id").dropDuplicates(["key"])
+    pivots = C.stored(_possible(shared.where("lo < key").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), sizes, num, den), "pivots")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        first = keys.join(used, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+        return C.stored(_set_rows(base.join(first, "doc_id")), "sets")
 
-    parents = shared.where("lo < key").groupBy("key").agg(F.min("lo").alias("lo"))
-    tested = C.stored(parents.select(F.col("lo").alias("a"), F.col("key").alias("b")), "tested")
+    sets = sets_of(pivots)
+    tested = C.stored(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tested")
     links = C.stored(_verified(tested, sets, num, den), "links")
     roots = C.stored(C.components(links), "roots")
 
@@ -216,8 +246,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
         own = roots.select(F.col("node").alias(key), F.col("root").alias(root))
         return df.join(own, key, "left").withColumn(root, F.coalesce(root, key))
 
-    pivots = shared.where("lo < key").select("lo", "key").distinct()
-    apart = rooted(rooted(pivots, "lo", "r"), "key", "s").where("r <> s").select(F.col("lo").alias("a"), F.col("key").alias("b"))
+    apart = rooted(rooted(pivots, "a", "r"), "b", "s").where("r <> s").select("a", "b")
     second = C.stored(apart.join(tested, ["a", "b"], "left_anti"), "tested")
     more = C.stored(_verified(second, sets, num, den), "links")
     tested, links = tested.union(second), links.union(more)
@@ -229,11 +258,12 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     one = open_.select("sig", F.col("key").alias("a"), F.col("r").alias("ra"))
     two = open_.select("sig", F.col("key").alias("b"), F.col("r").alias("rb"))
     rest = one.join(two, "sig").where("a < b and ra <> rb").select("a", "b").distinct()
-    third = C.stored(rest.join(tested, ["a", "b"], "left_anti"), "tested")
-    links = links.union(_verified(third, sets, num, den))
-    final = C.components(links)
+    third = C.stored(_possible(rest.join(tested, ["a", "b"], "left_anti"), sizes, num, den), "tested")
+    if not third.isEmpty():
+        links = links.union(C.stored(_verified(third, sets_of(third), num, den), "links"))
+        roots = C.components(links)
 
-    placed = keys.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
