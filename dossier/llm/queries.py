@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import jaccard_join
+from . import bpe, jaccard_join, language, quality
+
+
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(C.table(spark, sf_dir, "documents"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(C.table(spark, sf_dir, "documents"))
 
 
+def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(C.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_jaccard_join,)
+    f.__name__: f for f in (op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles)
 }
 ORACLES: dict[str, str] = {}
