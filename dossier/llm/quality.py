@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -18,7 +19,7 @@ CALIBRATION_ROWS = 3000
 #: Bytes of a dictionary, and of what one row may give to it.
 DICTIONARY_BYTES = 256 << 10
 SHARE_BYTES = 1024
-LEVEL = 3
+LEVEL = 7
 THRESHOLD = 0.3
 
 
@@ -26,15 +27,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Raw content dictionary: an even share of every text."""
-    out, share = [], max(64, min(SHARE_BYTES, DICTIONARY_BYTES // max(1, len(texts))))
-    for n, text in enumerate(texts):
-        at = (n * 7919) % max(1, len(text) - share + 1)
-        out.append(text[at : at + share])
-    return b"\n".join(out)[:DICTIONARY_BYTES]
-
-
 def _compressor(content: bytes):
     if len(content) < 8:
         return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
@@ -43,19 +35,22 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def difference(text: bytes, good, bad) -> tuple[float, int]:
-    """Normalised compressed-size difference (above 0: nearer to good texts) over all blocks, and the length."""
+def sizes(text: bytes, good, bad) -> tuple[int, int, int]:
+    """Bytes of a text, and what its blocks take with the good and with the bad dictionary."""
     g = b = 0
     for at in range(0, len(text), BLOCK):
         part = text[at : at + BLOCK]
         g += len(good.compress(part))
         b += len(bad.compress(part))
-    return ((b - g) / max(b, g, 1), len(text))
+    return len(text), g, b
 
 
-def features(d: np.ndarray, n: np.ndarray) -> np.ndarray:
+def features(n: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Normalised compressed-size difference (above 0: nearer to good texts) and compression, each also by length."""
     size = np.log1p(n)
-    return np.stack([np.ones_like(d), d, d * size, size], axis=1)
+    d = (b - g) / np.maximum(np.maximum(b, g), 1)
+    r = np.minimum(g, b) / np.maximum(n, 1)
+    return np.stack([np.ones_like(d), d, d * size, size, r, r * size], axis=1)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -71,48 +66,68 @@ def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float]]:
-    """Dictionaries and calibration from a bounded sample of labelled rows outside the held-out fold.
+def _measured(df: DataFrame, good_bytes: bytes, bad_bytes: bytes, column: str) -> DataFrame:
+    """``df`` with one more column, the three sizes of its text; all other columns pass as they are."""
+
+    def run(batches):
+        good, bad = _compressor(good_bytes), _compressor(bad_bytes)
+        for batch in batches:
+            data, offs = C.buffers(batch.column("text"))
+            out = np.zeros((batch.num_rows, 3), np.int64)
+            for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                out[r] = sizes(data[a:b].tobytes(), good, bad)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * batch.num_rows + 1, 3), pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, column])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.LongType()))]))
+
 
-    At most DICTIONARY_ROWS rows a class feed the dictionaries and CALIBRATION_ROWS others the
-    calibration, weighted back to the frequency of the classes among all labelled rows.
+def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, list[float], float]:
+    """Dictionaries, calibration and share of good rows, from labelled rows outside the held-out fold.
+
+    A bounded sample: of each class the DICTIONARY_ROWS rows that come first by a hash of doc_id
+    give SHARE_BYTES characters each to the dictionary, the next CALIBRATION_ROWS their sizes to
+    the calibration, whose odds are then set to those of all labelled rows.
     """
-    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
     marked = marked.where(~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
-    rows: dict[int, list[bytes]] = {}
+    counts = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
+    texts = docs.where("text is not null and text <> ''").select("doc_id", "text")
+    share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
+    flat = [float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0, 0.0, 0.0, 0.0]
+    if not counts.get(0) or not counts.get(1):
+        return b"", b"", flat, share
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    drawn = marked.select("doc_id", "y", F.row_number().over(order).alias("n")).where(F.col("n") <= DICTIONARY_ROWS + CALIBRATION_ROWS)
+    cut = {y: min(DICTIONARY_ROWS, max(1, counts[y] // 2)) for y in (0, 1)}
+    first = F.col("n") <= F.when(F.col("y") == 1, cut[1]).otherwise(cut[0])
+    # at most 2 * (DICTIONARY_ROWS + CALIBRATION_ROWS) short rows
+    sample = C.stored(texts.join(F.broadcast(drawn), "doc_id").withColumn("first", first), "labelled-sample")
+    room = F.greatest(F.length("text") - SHARE_BYTES + 1, F.lit(1))
+    shares = (
+        sample.where("first")
+        .select("y", "n", F.col("text").substr((F.pmod(F.xxhash64("doc_id"), room) + 1).cast("int"), F.lit(SHARE_BYTES)).alias("part"))
+        .orderBy("n", "part").collect()
+    )
+    content = {}
     for y in (0, 1):
-        # few columns until the sample is drawn: texts are read for its rows alone
-        chosen = marked.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_ROWS + CALIBRATION_ROWS).select("doc_id")
-        found = docs.where("text is not null and text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, 40_000).alias("text"))
-        rows[y] = [r.text.encode() for r in sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: (hash_order(r.doc_id), r.doc_id))]
-    parts = {}
-    for y, texts in rows.items():
-        cut = min(DICTIONARY_ROWS, len(texts) // 2 or len(texts))
-        parts[y] = (texts[:cut], texts[cut:])
-    content = {y: _dictionary(p[0]) for y, p in parts.items()}
-    good, bad = _compressor(content[1]), _compressor(content[0])
-    d, n, y, weight = [], [], [], []
-    for label, (_, texts) in parts.items():
-        for text in texts:
-            x = difference(text, good, bad)
-            d.append(x[0])
-            n.append(x[1])
-            y.append(label)
-    share = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0)) if counts else 0.5
-    d, n, y = np.array(d, float), np.array(n, float), np.array(y, float)
-    if 0 < y.sum() < len(y):
-        w = calibrate(features(d, n), y)
-        # from the sample's odds to the odds among all labelled rows
-        w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    else:
-        w = np.zeros(4)
-        w[0] = np.log((share + 1e-3) / (1 - share + 1e-3))
-    return content[1], content[0], [*w.tolist(), share]
-
-
-def hash_order(doc_id: int) -> int:
-    return int(C.mix(np.array([doc_id], np.int64).view(np.uint64))[0])
+        own = [r.part.encode() for r in shares if r.y == y]
+        each = max(64, DICTIONARY_BYTES // max(1, len(own)))
+        content[y] = b"\n".join(x[:each] for x in own)[:DICTIONARY_BYTES]
+    rows = _measured(sample.where("not first"), content[1], content[0], "sizes").select("y", "sizes").collect()
+    y = np.array([r.y for r in rows], float)
+    if not 0 < y.sum() < len(y):
+        return content[1], content[0], flat, share
+    w = calibrate(features(*np.array([r.sizes for r in rows], float).T), y)
+    w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+    return content[1], content[0], w.tolist(), share
+
+
+def _probability(sizes: Column, w: list[float], share: float) -> Column:
+    n, g, b = (sizes[i].cast("double") for i in range(3))
+    size, d, r = F.log1p(n), (b - g) / F.greatest(b, g, F.lit(1.0)), F.least(g, b) / F.greatest(n, F.lit(1.0))
+    x = F.lit(w[0]) + w[1] * d + w[2] * d * size + w[3] * size + w[4] * r + w[5] * r * size
+    return F.when(n > 0, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))).otherwise(F.lit(share))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -123,25 +138,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     on). The whole text is compressed in blocks. NULL and empty texts get the share of good rows;
     without labels of both classes every text gets that share; an empty table gives no rows.
     """
-    good_bytes, bad_bytes, w = train(docs, labels)
-    weights, share = np.array(w[:-1]), w[-1]
-
-    def run(batches):
-        good, bad = _compressor(good_bytes), _compressor(bad_bytes)
-        for batch in batches:
-            data, offs = C.buffers(batch.column("text"))
-            raw = data.tobytes()
-            d, n = zip(*(difference(raw[a:b], good, bad) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()))) if batch.num_rows else ((), ())
-            n = np.array(n, float)
-            p = 1 / (1 + np.exp(-np.clip(features(np.array(d, float), n) @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.where(n > 0, p, share))], ["doc_id", "score"])
-
+    good, bad, w, share = train(docs, labels)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = own.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    scored = _measured(own, good, bad, "sizes").select("doc_id", _probability(F.col("sizes"), w, share).alias("score"))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
-    kept = score_documents(docs, labels).where("predicted = 1").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: documents that the classifier rejects go; the others pass with all their columns."""
+    good, bad, w, share = train(docs, labels)
+    column = "_sizes" + "_" * max(map(len, docs.columns))
+    return _measured(docs, good, bad, column).where(_probability(F.col(column), w, share) >= THRESHOLD).drop(column)
