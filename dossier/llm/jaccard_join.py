@@ -16,6 +16,8 @@ from . import common as C
 U = np.uint64
 #: 64-bit words of the parity sketch of a set.
 _SKETCH = 8
+#: Keys of a signature beyond which it counts as crowded.
+HOT = 16
 #: Up to this Hamming distance the signatures are subsets of parts, beyond it single parts.
 _ENUMERATED = 7
 
@@ -43,27 +45,31 @@ def layout(low: int, k: int) -> tuple[int, int]:
     """Number of parts and number of parts that may be empty without notice.
 
     With k + 1 + e parts at least e + 1 parts of a similar pair are equal, so one equal part
-    holds elements if either set has at most e empty parts. Sets with more (rare: e lies above
-    the mean by 2.5 deviations) also carry the signatures of their empty parts.
+    holds elements if either set has at most e empty parts. Sets with more (rare: e lies two
+    above the mean by 2.5 deviations) also carry the signatures of their empty parts.
     """
     e = 0
     while e < 2 * k:
         n = k + 1 + e
         p = (1 - 1 / n) ** low
-        if e >= n * p + 2.5 * math.sqrt(n * p * (1 - p)):
+        if e >= 2 + n * p + 2.5 * math.sqrt(n * p * (1 - p)):
             break
         e += 1
     return k + 1 + e, e
 
 
-def signatures(values: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature of every set (rows of distinct hashes)."""
+def signatures(values: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, signature and note of every signature of the sets (rows of distinct hashes).
+
+    note = band << 20 | 1 + s: any s parts that hold elements can be left out, and one of the
+    others is still equal in every similar set; 0 below the shift where none can.
+    """
     sizes = np.diff(offs)
     members: dict[tuple[int, int, int], list[int]] = {}
     for r, size in enumerate(sizes.tolist()):
         for band in bands(size, num, den):
             members.setdefault(band, []).append(r)
-    rows, sigs = [], []
+    rows, sigs, notes = [], [], []
     for (number, low, k), own in members.items():
         own = np.array(own)
         if k == 0:
@@ -85,6 +91,7 @@ def signatures(values: np.ndarray, offs: np.ndarray, num: int, den: int) -> tupl
         if k <= _ENUMERATED:
             for c, chosen in enumerate(itertools.combinations(range(parts), parts - k)):
                 rows.append(own)
+                notes.append(np.full(len(own), number << 20))
                 sigs.append(C.mix(sums[:, list(chosen)].sum(axis=1) + U((number << 20) + c + 1)))
         else:
             empty = np.ones(sums.size, bool)
@@ -93,10 +100,11 @@ def signatures(values: np.ndarray, offs: np.ndarray, num: int, den: int) -> tupl
             keep = ~empty | (empty.sum(axis=1) > spare)[:, None]
             r, p = np.nonzero(keep)
             rows.append(own[r])
+            notes.append((number << 20) + np.maximum(0, (~empty).sum(axis=1) - k)[r])
             sigs.append(C.mix(C.mix(sums[r, p]) + U(number << 32) + p.astype(U)))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(rows), np.concatenate(sigs)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(notes)
 
 
 def _set_keys(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -150,12 +158,12 @@ def _signature_rows(docs: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, _, values, at in _sets(batch):
-                row, sig = signatures(values, at, num, den)
-                keys = _set_keys(values, at)[row]
+                row, sig, note = signatures(values, at, num, den)
+                columns = sig.view(np.int64), _set_keys(values, at)[row], note.astype(np.int32)
                 for i in range(0, len(sig), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + (1 << 17)].view(np.int64)), pa.array(keys[i : i + (1 << 17)])], ["sig", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in columns], ["sig", "key", "note"])
 
-    return docs.select("text").mapInArrow(run, "sig long, key long")
+    return docs.select("text").mapInArrow(run, "sig long, key long, note int")
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
@@ -188,18 +196,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _not_ruled_out(num: int, den: int):
+    """Condition on the sizes and parity sketches a_*, b_* of a pair that every similar pair meets."""
+    apart = sum((F.bit_count(F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))) for i in range(_SKETCH)), F.lit(0))
+    small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
+    return (den * small >= num * large) & ((den + num) * apart <= (den - num) * (small + large))
+
+
+def _named(sizes: DataFrame, side: str) -> DataFrame:
+    names = ["n_shingles", *(f"p{i}" for i in range(_SKETCH))]
+    return sizes.select(F.col("key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names))
+
+
 def _possible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that sizes and parity sketches do not rule out."""
-    names = ["n_shingles", *(f"p{i}" for i in range(_SKETCH))]
-    left = sizes.select(F.col("key").alias("a"), *(F.col(c).alias(f"a_{c}") for c in names))
-    right = sizes.select(F.col("key").alias("b"), *(F.col(c).alias(f"b_{c}") for c in names))
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names[1:]), F.lit(0))
-    small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .where((den * small >= num * large) & ((den + num) * apart <= (den - num) * (small + large)))
-        .select("a", "b")
-    )
+    return pairs.join(_named(sizes, "a"), "a").join(_named(sizes, "b"), "b").where(_not_ruled_out(num, den)).select("a", "b")
+
+
+def _rest(placed: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of keys in different components that share a signature and are not ruled out.
+
+    placed: sig, key, note, r (component). A signature of more than HOT keys mostly spells a
+    passage that many texts share. A key whose crowded signatures in a band are no more than the
+    parts it can leave out (its note) meets every similar key under another signature, so it stays
+    away from the crowded ones; only keys made up of such passages compare there.
+    """
+    band = F.col("note").bitwiseAND(F.lit(~0xFFFFF))
+    groups = placed.groupBy("sig").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.count("*").alias("n")).where("r1 < r2")
+    open_ = placed.join(groups.select("sig", "n"), "sig").withColumn("band", band).withColumn("spare", F.col("note") - F.col("band"))
+    crowded = open_.where(F.col("n") > HOT)
+    bound = crowded.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("spare").alias("s")).where("c >= s").select("key", "band")
+    left = C.stored(open_.where(F.col("n") <= HOT).select("sig", "key", "r").union(crowded.join(bound, ["key", "band"], "left_semi").select("sig", "key", "r")), "rest")
+    still = left.groupBy("sig").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 < r2").select("sig")
+    left = left.join(still, "sig", "left_semi")
+    one = left.withColumnsRenamed({"key": "a", "r": "ra"}).join(_named(sizes, "a"), "a")
+    two = left.withColumnsRenamed({"key": "b", "r": "rb"}).join(_named(sizes, "b"), "b")
+    met = one.join(two, (one["sig"] == two["sig"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _not_ruled_out(num, den))
+    return met.select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -215,7 +248,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     smallest key of the group as pivot; (4) sizes and parity sketches rule candidates out, the
     others are verified on the whole sets in three rounds: one pivot per key, then every pivot of
     another component, then every remaining pair of keys that share a signature and still lie in
-    different components. Families of near copies collapse in the first two rounds, so no round
+    different components (see ``_rest``). Families of near copies collapse in the first two rounds, so no round
     emits the pairs within a family.
     """
     from pyspark.sql import Window
@@ -225,8 +258,8 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     group = Window.partitionBy("sig")
     shared = C.stored(
         _signature_rows(base, num, den)
-        .select("sig", "key", F.min("key").over(group).alias("lo"), F.max("key").over(group).alias("hi"))
-        .where("lo < hi").select("sig", "key", "lo").distinct(),
+        .select("sig", "key", "note", F.min("key").over(group).alias("lo"), F.max("key").over(group).alias("hi"))
+        .where("lo < hi").select("sig", "key", "note", "lo").distinct(),
         "shared-signatures",
     )
     sizes = keys.where("key is not null").drop("doc_id").dropDuplicates(["key"])
@@ -252,13 +285,8 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     tested, links = tested.union(second), links.union(more)
     roots = C.stored(C.components(links), "roots")
 
-    placed = rooted(shared.select("sig", "key"), "key", "r")
-    mixed = placed.groupBy("sig").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.count("*").alias("n")).where("r1 < r2 and n > 2").select("sig")
-    open_ = placed.join(mixed, "sig")
-    one = open_.select("sig", F.col("key").alias("a"), F.col("r").alias("ra"))
-    two = open_.select("sig", F.col("key").alias("b"), F.col("r").alias("rb"))
-    rest = one.join(two, "sig").where("a < b and ra <> rb").select("a", "b").distinct()
-    third = C.stored(_possible(rest.join(tested, ["a", "b"], "left_anti"), sizes, num, den), "tested")
+    rest = _rest(rooted(shared.select("sig", "key", "note"), "key", "r"), sizes, num, den)
+    third = C.stored(rest.join(tested, ["a", "b"], "left_anti"), "tested")
     if not third.isEmpty():
         links = links.union(C.stored(_verified(third, sets_of(third), num, den), "links"))
         roots = C.components(links)
