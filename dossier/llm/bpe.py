@@ -17,7 +17,7 @@ from . import common as C
 # fixed values of the vocabulary's format
 WORD_END = "</w>"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-#: Words remembered by a task before the memory is emptied.
+#: Stretches without white space remembered by a task before the memory is emptied.
 REMEMBERED = 200_000
 
 
@@ -51,6 +51,8 @@ class Codec:
         self.letters = byte_letters()
         self.pretoken = regex.compile(PRETOKEN)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
+        self.space = regex.compile(r"\p{White_Space}+")
+        self.odd = regex.compile("[\x1c-\x1f]")
         self.pairs = np.zeros(0, np.int64)  # pairs of tokens tested so far, in order
         self.stands = np.zeros(0, bool)  # whether the two stay apart when merged together
         self.ids: dict[str, bytes] = {}
@@ -108,15 +110,12 @@ class Codec:
             self.pairs, self.stands = pairs[order], stands[order]
         return self.stands[np.searchsorted(self.pairs, codes)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words not met before: proposals for all, one vectorised test, merging for the rest."""
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-            self.shown.clear()
+    def encoded(self, words: list[str]) -> dict[str, list[int]]:
+        """Tokens of distinct words: proposals for all, one vectorised test, merging for the rest."""
         letters = self.letters
         spelled = ["".join([letters[b] for b in w.encode("utf-8")]) for w in words]
         proposals = [self.greedy(s) for s in spelled]
-        sizes = np.array([len(p) if p else 0 for p in proposals])
+        sizes = np.array([len(p) if p else 0 for p in proposals], np.int64)
         flat = np.array([t for p in proposals if p for t in p], np.int64)
         owner = np.repeat(np.arange(len(words)), sizes)
         good = sizes > 0
@@ -127,49 +126,53 @@ class Codec:
             who = np.r_[owner[1:][inner], owner[lone]]
             good[who[~self.compatible(codes)]] = False
         self.proposed += len(words)
-        for word, text, tokens, ok in zip(words, spelled, proposals, good.tolist()):
-            if not ok:
-                self.failed += 1
-                tokens = [self.vocab[t] for t in self.merged(self.split(text + WORD_END))]
-            self.ids[word] = np.array(tokens, "<u4").tobytes()
-            self.shown[word] = " ".join([self.token[t] for t in tokens])
-
-    def words(self, text: str) -> list[str]:
-        """Pre-tokens of a text; strings of special tokens stand for themselves."""
-        if not any(s in text for s in self.special):
-            return self._plain(text)
-        out = []
-        for part in self.cut.split(text):
-            if part in self.special:
-                out.append(part)
-            elif part:
-                out += self._plain(part)
-        return out
-
-    def _plain(self, text: str) -> list[str]:
+        self.failed += int((~good).sum())
+        return {
+            w: p if ok else [self.vocab[t] for t in self.merged(self.split(s + WORD_END))]
+            for w, s, p, ok in zip(words, spelled, proposals, good.tolist())
+        }
+
+    def learn(self, chunks: set[str]) -> None:
+        """Ids and decoded form of chunks (stretches without white space) not met before."""
+        split = {c: self.pretoken.findall(c) for c in chunks}
+        tokens = self.encoded(sorted({w for ws in split.values() for w in ws}))
+        for chunk, ws in split.items():
+            own = [t for w in ws for t in tokens[w]]
+            self.ids[chunk] = np.array(own, "<u4").tobytes()
+            self.shown[chunk] = " ".join([self.token[t] for t in own])
+
+    def chunks(self, text: str) -> list[str]:
+        """Stretches without white space, normalised; pre-tokens never cross them."""
         if not text.isascii():
             # lower-casing letter by letter knows no final sigma
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.pretoken.findall(text.lower())
+        text = text.lower()
+        # str.split also cuts at U+001C to U+001F, which are no white space here
+        return self.space.split(text) if self.odd.search(text) else text.split()
+
+    def parts(self, text: str) -> list[tuple[str, bool]]:
+        """A text cut at the strings of special tokens."""
+        return [(p, p in self.special) for p in self.cut.split(text) if p]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian 32-bit numbers, and the decoded text, of every text."""
-        for s, i in self.special.items():
-            self.ids[s], self.shown[s] = np.array([i], "<u4").tobytes(), s
-        split = [self.words(t) for t in texts]
-        known = self.ids
-        fresh = {w for ws in split for w in ws if w not in known}
-        if fresh:
-            self.learn(sorted(fresh))
-            # the memory may have been emptied meanwhile
-            lost = {w for ws in split for w in ws if w not in known}
-            for s in lost & self.special.keys():
-                self.ids[s], self.shown[s] = np.array([self.special[s]], "<u4").tobytes(), s
-            rest = sorted(lost - self.special.keys())
-            if rest:
-                self.learn(rest)
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+            self.shown.clear()
         ids, shown = self.ids, self.shown
-        return [b"".join([ids[w] for w in ws]) for ws in split], [" ".join([shown[w] for w in ws]) for ws in split]
+        special = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
+        marked = {n: self.parts(t) for n, t in enumerate(texts) if any(s in t for s in special)}
+        split = [[] if n in marked else self.chunks(t) for n, t in enumerate(texts)]
+        cut = {n: [(p, None if is_special else self.chunks(p)) for p, is_special in own] for n, own in marked.items()}
+        fresh = {c for cs in split for c in cs if c not in ids}
+        fresh |= {c for own in cut.values() for _, cs in own for c in cs or () if c not in ids}
+        self.learn(fresh)
+        out_ids = [b"".join([ids[c] for c in cs]) for cs in split]
+        out_shown = [" ".join([shown[c] for c in cs if ids[c]]) if "" in cs else " ".join([shown[c] for c in cs]) for cs in split]
+        for n, own in cut.items():
+            out_ids[n] = b"".join([special[p] if cs is None else b"".join([ids[c] for c in cs]) for p, cs in own])
+            out_shown[n] = " ".join([x for p, cs in own for x in ([p] if cs is None else [shown[c] for c in cs if ids[c]])])
+        return out_ids, out_shown
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, whole: bool = False) -> DataFrame:
