@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import bpe, jaccard_join, language, quality
+from . import bpe, fingerprint, jaccard_join, language, quality, suffix_dedup
+
+
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(C.table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(C.table(spark, sf_dir, "documents"))
 
 
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +35,6 @@ def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles)
+    f.__name__: f for f in (op2_fingerprint, op4_suffix_dedup, op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles)
 }
 ORACLES: dict[str, str] = {}
