@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import bpe, fingerprint, jaccard_join, language, quality, suffix_dedup
+from . import bpe, decontamination, fingerprint, jaccard_join, language, pii, quality, suffix_dedup
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +22,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(C.table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(C.table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
+
+
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
 
@@ -35,6 +43,6 @@ def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fingerprint, op4_suffix_dedup, op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles)
+    f.__name__: f for f in (op1_decontamination, op2_fingerprint, op4_suffix_dedup, op6_pii_surrogates, op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles)
 }
 ORACLES: dict[str, str] = {}
