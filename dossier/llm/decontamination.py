@@ -21,6 +21,10 @@ BLOCK = 16
 ITEMS = 5000
 
 
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[b for b in range(128) if not chr(b).isalnum()]] = 32
+
+
 def _windows(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
@@ -31,12 +35,17 @@ def _windows(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _words(data: np.ndarray, offs: np.ndarray):
+    """Words between white space or ASCII punctuation, so that marks stuck to a word change nothing."""
+    return C.words(_SPACED[data], offs)
+
+
 def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the question and of the answer: the last sentence, or the last quarter of a single one."""
     data = np.frombuffer(text.encode(), np.uint8)
-    start, end, _, h = C.words(data, np.array([0, len(data)]))
+    start, end, _, h = _words(data, np.array([0, len(data)]))
     raw = data.tobytes()
-    ends = [i for i in range(len(h) - 1) if raw[end[i] - 1 : end[i]] in (b".", b"?", b"!")]
+    ends = [i for i in range(len(h) - 1) if raw[end[i] : end[i] + 1] in (b".", b"?", b"!")]
     cut = ends[-1] + 1 if ends else len(h) - max(1, len(h) // 4)
     return h[:cut], h[cut:]
 
@@ -150,11 +159,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
     In: doc_id, text; item_id, text. Every passage of every whole text is a query; the items that
     score ``threshold`` of their own score or more are verified on the five-word shingles of
-    question and answer (a shorter part as one). NULL, empty and white texts or items match nothing;
+    question and answer (a shorter part as one). Words are runs of letters and digits. NULL texts and texts or items without words match nothing;
     repeated documents give repeated rows, equal items one row each; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tests = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    tests = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
     count = tests.count()
     shards = max(1, math.ceil(count / ITEMS))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -169,7 +178,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 data, offs = C.buffers(batch.column("text"))
                 ids = batch.column("doc_id").to_pylist()
                 for a, b in C.pieces(offs):
-                    _, _, row, h = C.words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                    _, _, row, h = _words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                     at = np.searchsorted(row, np.arange(b - a + 1))
                     rows = [
                         (ids[a + r], index.ids[item], *rest)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import bpe, decontamination, fingerprint, jaccard_join, language, pii, quality, suffix_dedup
+from . import bpe, compact_windows, decontamination, fingerprint, jaccard_join, language, pii, quality, quotations, suffix_dedup
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,19 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(C.table(spark, sf_dir, "documents"))
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(C.table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(C.table(spark, sf_dir, "documents"))
 
 
+def op5_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as mail that quotes two turns back, linked and stripped again."""
+    return quotations.conversations(quotations.quoted_mail(C.table(spark, sf_dir, "conversations")))
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(C.table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
 
@@ -43,6 +52,6 @@ def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_fingerprint, op4_suffix_dedup, op6_pii_surrogates, op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles)
+    f.__name__: f for f in (op1_decontamination, op2_fingerprint, op3_compact_windows, op4_suffix_dedup, op5_quotations, op6_pii_surrogates, op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles)
 }
 ORACLES: dict[str, str] = {}
