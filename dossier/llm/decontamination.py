@@ -69,6 +69,13 @@ class Index:
             own = weight.sum()
             for t, w in zip(at.tolist(), (weight / own if own else weight).tolist()):
                 postings[t].append((n, w))
+        # what the overlap check will ask for: some shingle of a question, or a whole short item
+        self.marks = {}
+        for question, answer in self.parts:
+            part = question if len(question) else answer
+            w = min(C.WORDS, len(part))
+            self.marks.setdefault(w, []).append(_windows(part, w))
+        self.marks = {w: np.unique(np.concatenate(x)) for w, x in self.marks.items() if w}
         self.docs = [[n for n, _ in p] for p in postings]
         self.weights = [[w for _, w in p] for p in postings]
         self.most = np.array([max(w) for w in self.weights], float)
@@ -127,8 +134,13 @@ class Index:
         """Item, best score, question and answer overlap of the items that a text's passages leak.
 
         A passage is two longest items long and starts one after the other, so that every item
-        lies inside one. Passages whose best possible score is too low are left out at once.
+        lies inside one. Passages whose best possible score is too low, or that hold no shingle of any
+        question (at ``overlap`` above 0), are left out at once.
         """
+        spots = [np.flatnonzero(np.isin(_windows(h, w), x)) for w, x in self.marks.items()]
+        spots = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+        if not len(spots):
+            return []
         at = np.minimum(np.searchsorted(self.vocabulary, h), max(0, len(self.vocabulary) - 1))
         known = np.flatnonzero(self.vocabulary[at] == h) if len(self.vocabulary) else np.zeros(0, np.int64)
         if not len(known):
@@ -140,7 +152,11 @@ class Index:
         passage, term = code // len(self.vocabulary), code % len(self.vocabulary)
         bound = np.bincount(passage, self.most[term])
         best: dict[int, tuple[float, float, float]] = {}
-        for p in np.flatnonzero(bound >= threshold - 1e-9).tolist():
+        # a passage without a question shingle cannot pass the overlap check, whatever it scores
+        marked = np.zeros(len(h) // span + 2, bool)
+        marked[spots // span] = True
+        marked[np.maximum(spots // span - 1, 0)] = True
+        for p in np.flatnonzero((bound >= threshold - 1e-9) & marked[: len(bound)]).tolist():
             a, b = np.searchsorted(passage, [p, p + 1])
             words = h[p * span : (p + 2) * span]
             for item, score in self.search(term[a:b].tolist(), threshold):
