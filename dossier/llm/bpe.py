@@ -61,12 +61,19 @@ class Codec:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Exact merging: again and again the leftmost pair of the lowest rank."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best, at = min((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:])))
-            if best == 1 << 30:
+        symbols, rank, none = list(symbols), self.rank.get, 1 << 30
+        ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
+            at = ranks.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank((symbols[at], symbols[at + 1]), none)
+            if at:
+                ranks[at - 1] = rank((symbols[at - 1], symbols[at]), none)
         return symbols
 
     @staticmethod
