@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     of keys together; (3) of each signature only keys met by another key are kept, with the
     smallest key of the group as pivot; (4) sizes and parity sketches rule candidates out, the
     others are verified on the whole sets in three rounds: one pivot per key, then every pivot of
-    another component, then every remaining pair of keys that share a signature and still lie in
+    another component and the group's largest and preceding key, then every remaining pair of keys that share a signature and still lie in
     different components (see ``_rest``). Families of near copies collapse in the first two rounds, so no round
     emits the pairs within a family.
     """
@@ -258,8 +258,8 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     group = Window.partitionBy("sig")
     shared = C.stored(
         _signature_rows(base, num, den)
-        .select("sig", "key", "note", F.min("key").over(group).alias("lo"), F.max("key").over(group).alias("hi"))
-        .where("lo < hi").select("sig", "key", "note", "lo").distinct(),
+        .select("sig", "key", "note", F.min("key").over(group).alias("lo"), F.max("key").over(group).alias("hi"), F.lag("key").over(group.orderBy("key")).alias("prev"))
+        .where("lo < hi").withColumn("prev", F.when(F.col("prev") < F.col("key"), F.col("prev"))).groupBy("sig", "key", "note", "lo", "hi").agg(F.max("prev").alias("prev")),
         "shared-signatures",
     )
     sizes = keys.where("key is not null").drop("doc_id").dropDuplicates(["key"])
@@ -285,6 +285,15 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
     tested, links = tested.union(second), links.union(more)
     roots = C.stored(C.components(links), "roots")
 
+    # two more partners of every key: the largest key of the group and the one before it
+    other = shared.select(F.explode(F.array(F.struct(F.col("key").alias("a"), F.col("hi").alias("b")), F.struct(F.col("prev").alias("a"), F.col("key").alias("b")))).alias("e")).select("e.a", "e.b").where("a < b")
+    other = rooted(rooted(other, "a", "r"), "b", "s").where("r <> s").select("a", "b").distinct()
+    fourth = C.stored(_possible(other.join(tested, ["a", "b"], "left_anti"), sizes, num, den), "tested")
+    if not fourth.isEmpty():
+        links = links.union(C.stored(_verified(fourth, sets_of(fourth), num, den), "links"))
+        roots = C.stored(C.components(links), "roots")
+        tested = tested.union(fourth)
+
     rest = _rest(rooted(shared.select("sig", "key", "note"), "key", "r"), sizes, num, den)
     third = C.stored(rest.join(tested, ["a", "b"], "left_anti"), "tested")
     if not third.isEmpty():
