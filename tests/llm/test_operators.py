@@ -1,0 +1,215 @@
+"""Operators against brute force, libraries and hand-made edge rows."""
+
+import collections
+import hashlib
+import random
+import re
+import struct
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dossier.llm import bpe, compact_windows, decontamination, fingerprint, jaccard_join, language, pii, quality, quotations, suffix_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, root string, key string, score double"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "anea", "thing"]) + rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n))
+
+
+def rows():
+    rng = random.Random(5)
+    base = prose(rng, 120)
+    long = prose(rng, 4000)
+    near = base.split()
+    near[60] = "changed"
+    texts = [None, "", "  \n", "one", "One", "a b c d", base, base, base + " tail", " ".join(near), long, long, prose(rng, 90) + " " + base[:600], "ab" * 900, "x" * 2000]
+    return [(i * 3, t, ("en", "fr", None)[i % 3], "src0", None, "clash", "clash", 1.0) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i * 3, i % 2, 0) for i in range(12)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_components_equal_brute_force(docs):
+    sets = {r[0]: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())(words(r[1])) for r in rows()}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {k: (len(s), root[k]) for k, s in sets.items()}
+
+
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(3)
+    for size in (4, 5, 6, 9, 14, 20, 30, 45, 90, 200, 700):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+            drop = rng.integers(0, len(a) // 9 + 1)
+            b = np.unique(np.r_[a[drop:], rng.integers(0, 1 << 62, int(len(a) // 9 - drop)).astype(np.uint64)])
+            same = len(np.intersect1d(a, b))
+            if 5 * same >= 4 * (len(a) + len(b) - same):
+                row, sig, _ = jaccard_join.signatures(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), 4, 5)
+                assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        s = rng.integers(97, 97 + int(rng.integers(1, 5)), int(rng.integers(1, 300))).astype(np.uint8)
+        text, width = s.tobytes(), int(rng.integers(1, 9))
+        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        count = collections.Counter(text[i : i + width] for i in range(len(text) - width + 1))
+        assert suffix_dedup.repeated_starts(s, width).tolist() == [i + width <= len(text) and count[text[i : i + width]] > 1 for i in range(len(text))]
+
+
+@pytest.mark.parametrize("crowded", [2000, 1])
+def test_removed_bytes_equal_brute_force(docs, crowded, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    texts = {r[0]: (r[1] or "").encode() for r in rows()}
+    count = collections.Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    for k, t in texts.items():
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if count[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        spans = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]])) if len(t) else 0
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_bpe_equals_the_library(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    odd = ["", "  ", "Σίσυφος ΟΔΟΣ", "İstanbul ß ﬁ", "a\x1cb\x85c", "<|startoftext|>Hi<|endoftext|>x", "你好 １２３ ½", "don't I'LL 's", "x" * 500, "🤷‍♂️🏽 !!!", "\u0000\u0001", "ab​cd­ef"] + [r[1] or "" for r in rows()]
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for r in bpe.encode_documents(df, whole=True).collect():
+        ids = tok.encode(odd[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == struct.pack(f"<{len(ids)}I", *ids)
+        assert r.decoded == tok.decode(ids, skip_special_tokens=False)
+
+
+def test_fingerprints_estimate_resemblance(docs):
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    texts = [(r[0], r[1] or "") for r in rows()]
+    for n, (k, t) in enumerate(texts):
+        after = texts[(n + 1) % len(texts)][1]
+        m = len(t) // 4
+        edited = t[: len(t) - m] + after[:m]
+        assert got[k].n_chars == len(t) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
+        if t == after:
+            assert got[k].near_next == 1 and got[k].fingerprint == got[(n + 1) % len(texts) * 3].fingerprint
+
+
+def test_merged_parts_equal_the_whole(spark):
+    rng = random.Random(2)
+    a, b = prose(rng, 300), prose(rng, 200)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a)], "id long, text string").select("id", fingerprint.sketch(F.col("text")).alias("s"))
+    got = {r.id: r.s for r in fingerprint.merge_parts(df, "id", "s").collect()}
+    parts = {r.id: r.s for r in df.where("id = 2").collect()}
+    assert got[2] == parts[2] and len(got[1]) == fingerprint.K
+
+
+def test_wand_equals_full_scoring():
+    rng = random.Random(7)
+    index = decontamination.Index([(i, prose(rng, 30)) for i in range(60)])
+    for _ in range(50):
+        terms = sorted(rng.sample(range(len(index.vocabulary)), 40))
+        full = collections.Counter()
+        for t in terms:
+            for item, w in zip(index.docs[t], index.weights[t]):
+                full[item] += w
+        for limit in (0.1, 0.25, 0.4):
+            assert {i for i, _ in index.search(terms, limit)} == {i for i, s in full.items() if s >= limit - 1e-9}
+
+
+def test_leaked_items_are_found(spark, docs):
+    rng = random.Random(11)
+    items = [(i, prose(rng, 20) + ". " + prose(rng, 7) + ".") for i in range(30)] + [(99, None), (100, " "), (101, "...")]
+    leaks = [(1, prose(rng, 200) + " " + items[4][1] + " " + prose(rng, 50)), (2, items[5][1].upper()), (3, items[6][1].split(".")[0]), (4, None), (5, "")]
+    df = spark.createDataFrame(leaks, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 4), (2, 5)}
+    assert decontamination.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_surrogates_are_distinct_and_coreferent(spark):
+    text = "Mail ann@x.org or Ann@X.org, call +1 (499) 555-6503, 8.196.197.208, card 4041894974608795, Mrs. Smith."
+    df = spark.createDataFrame([(1, text), (2, "ann@x.org and bob@x.org"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df, count="n").collect()}
+    assert got[3].text is None and got[4].text == "" and got[1].n == 6 and got[2].n == 2
+    assert not any(x in got[1].text for x in ("ann@x.org", "555-6503", "8.196.197.208", "4041894974608795", "Smith"))
+    first, second = re.findall(r"\S+@[\w.]+\w", got[2].text)
+    assert first in got[1].text and first != second and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1].text)
+
+
+def test_quotes_are_linked_and_cut(spark):
+    mails = [(1, 0, "Hello all"), (1, 1, "Yes\n> Hello  ALL"), (1, 2, "No\n> Yes\n> > Hello all"), (1, 3, "> never written\nok"), (1, 4, None), (None, 1, "x")]
+    got = {r.turn: r for r in quotations.conversations(spark.createDataFrame(mails, "conv_id long, turn long, text string")).collect()}
+    assert [(got[t].reply_to, got[t].root, got[t].depth, got[t].body) for t in range(5)] == [(None, 0, 0, "Hello all"), (0, 0, 1, "Yes"), (1, 0, 2, "No"), (None, 3, 0, "ok"), (None, 4, 0, "")]
+    assert (got[2].n_quotes, got[2].n_linked, got[3].n_quotes, got[3].n_linked) == (2, 2, 1, 0)
+
+
+def test_compact_windows_hold_every_minimum():
+    v = np.random.default_rng(4).integers(0, 1 << 62, 200).astype(np.uint64)
+    h, first, centre, last = compact_windows.windows(v, 0, 10)
+    hashed = compact_windows.C.mix(v ^ np.uint64(0xC0FFEE))
+    for i in range(191):
+        c = i + int(hashed[i : i + 10].argmin())
+        at = np.flatnonzero(centre == c)
+        assert len(at) == 1 and first[at[0]] <= i and last[at[0]] >= i + 9
+
+
+def test_repeated_passage_is_found(spark):
+    rng = random.Random(9)
+    shared = prose(rng, 60)
+    df = spark.createDataFrame([(1, prose(rng, 80) + " " + shared), (2, shared + " " + prose(rng, 100)), (3, prose(rng, 150)), (4, None), (5, "")], "doc_id long, text string")
+    assert {frozenset((r.doc_id, r.other_id)) for r in compact_windows.passages(df).collect()} == {frozenset((1, 2))}
+
+
+def test_scores_and_languages_are_defined_everywhere(docs, labels):
+    scored = quality.score_documents(docs, labels).collect()
+    assert len(scored) == len(rows()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in scored)
+    named = {r.doc_id: r for r in language.identify(docs).collect()}
+    assert len(named) == len(rows()) and named[0].lang_pred == "und" and named[3].lang_pred == "und" and all(0 <= r.score <= 1 for r in named.values())
+
+
+def test_empty_tables(none, labels):
+    assert jaccard_join.jaccard_components(none).count() == 0
+    assert fingerprint.fingerprints(none).count() == 0
+    assert suffix_dedup.remove_repeats(none).count() == 0
+    assert quality.score_documents(none, labels).count() == 0
+    assert language.identify(none).count() == 0
+    assert bpe.encode_documents(none).count() == 0
+    assert pii.replace(none).count() == 0
+    assert compact_windows.passages(none).count() == 0
+
+
+def test_stages_keep_the_columns(docs, labels):
+    assert jaccard_join.keep_one(docs).columns == docs.columns
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    assert pii.replace(docs).columns == docs.columns
