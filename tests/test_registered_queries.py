@@ -28,7 +28,8 @@ def test_equals_sql(spark, con, name):
 
 
 def test_only_the_fuzzy_query_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"e7_fuzzy_names"}
+    plain = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if n != "pipeline" and not n.startswith("op")}
+    assert plain == {"e7_fuzzy_names"}
 
 
 def test_entry_is_a_stable_top_list(spark):
