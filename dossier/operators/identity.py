@@ -23,9 +23,12 @@ def _with_new_ids(
     return consecutive_ids(rows, order, first, name, ties)
 
 
-def merge_identities(files: DataFrame, live: DataFrame) -> DataFrame:
+def merge_identities(files: DataFrame, live: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Attach each incoming file to a report.
 
+    ``ids``: every id ever given, deleted reports included, so that no new report takes one of
+    theirs; without it the live reports count as all.
+
     ``files``: arrival, title, identity columns; ``live``: id, identity columns (unique).
     Files with one new identity make one report that shows the first title.
     """
@@ -35,7 +38,7 @@ def merge_identities(files: DataFrame, live: DataFrame) -> DataFrame:
     known = first.join(live.select("id", *IDENTITY), IDENTITY, "left")
     old = known.where("id IS NOT NULL").withColumnRenamed("id", "report_id")
     new = _with_new_ids(
-        known.where("id IS NULL").drop("id"), "first_arrival", live, "id", "report_id", tuple(IDENTITY)
+        known.where("id IS NULL").drop("id"), "first_arrival", live if ids is None else ids, "id", "report_id", tuple(IDENTITY)
     )
     groups = old.withColumn("_was_live", F.lit(True)).unionByName(
         new.withColumn("_was_live", F.lit(False))

@@ -122,7 +122,7 @@ def bridge_vote(constituents: DataFrame, classification: DataFrame, prefix_chars
     tally = votes.groupBy("index_code").agg(
         F.sum("n").alias("votes"),
         F.max("n").alias("top"),
-        F.max_by("prefix", F.struct("n", -F.col("prefix").cast("int"))).alias("winner"),
+        F.min(F.struct((-F.col("n")).alias("votes"), "prefix"))["prefix"].alias("winner"),
     )
     all_indexes = constituents.select("index_code").distinct()
     share = F.col("top") / F.col("votes")
