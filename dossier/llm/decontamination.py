@@ -76,6 +76,9 @@ class Index:
             w = min(C.WORDS, len(part))
             self.marks.setdefault(w, []).append(_windows(part, w))
         self.marks = {w: np.unique(np.concatenate(x)) for w, x in self.marks.items() if w}
+        self.seen = {w: np.zeros(1 << 20, bool) for w in self.marks}
+        for w, x in self.marks.items():
+            self.seen[w][x >> U(44)] = True
         self.docs = [[n for n, _ in p] for p in postings]
         self.weights = [[w for _, w in p] for p in postings]
         self.most = np.array([max(w) for w in self.weights], float)
@@ -130,6 +133,16 @@ class Index:
             c[0], c[1] = (docs[at], at) if at < len(docs) else (-1, at)
         cursors[:] = [c for c in cursors if c[0] >= 0]
 
+    def marked(self, h: np.ndarray) -> np.ndarray:
+        """Places in a run of words (of any number of texts) where a shingle of some question starts."""
+        spots = []
+        for w, x in self.marks.items():
+            own = _windows(h, w)
+            # the first bits rule nearly all places out, the rest is looked up
+            maybe = np.flatnonzero(self.seen[w][own >> U(44)])
+            spots.append(maybe[np.isin(own[maybe], x)])
+        return np.concatenate(spots) if spots else np.zeros(0, np.int64)
+
     def matches(self, h: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """Item, best score, question and answer overlap of the items that a text's passages leak.
 
@@ -137,8 +150,7 @@ class Index:
         lies inside one. Passages whose best possible score is too low, or that hold no shingle of any
         question (at ``overlap`` above 0), are left out at once.
         """
-        spots = [np.flatnonzero(np.isin(_windows(h, w), x)) for w, x in self.marks.items()]
-        spots = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+        spots = self.marked(h)
         if not len(spots):
             return []
         at = np.minimum(np.searchsorted(self.vocabulary, h), max(0, len(self.vocabulary) - 1))
@@ -196,9 +208,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 for a, b in C.pieces(offs):
                     _, _, row, h = _words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                     at = np.searchsorted(row, np.arange(b - a + 1))
+                    # texts without any question shingle give no rows; a shingle across two texts only adds a candidate
                     rows = [
                         (ids[a + r], index.ids[item], *rest)
-                        for r in range(b - a)
+                        for r in np.unique(row[index.marked(h)]).tolist()
                         for item, *rest in index.matches(h[at[r] : at[r + 1]], threshold, overlap)
                     ]
                     if rows:
