@@ -67,7 +67,6 @@ HIGHLIGHT_TAG = r"(?i)</?em[^>]*>"
 PAYLOAD_DATE = r"(\d{4})-(\d{1,2})-(\d{1,2})"
 FILENAME_ILLEGAL = r'[\\/:*?"<>|\r\n\t]+'
 DOWNLOAD_KEYS = ["pdfurl", "url", "fileurl", "downloadurl"]
-SNIPPET_CHARS = 2000
 FILENAME_CHARS = 80
 
 # Thresholds.

@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .registry import ORACLES, QUERIES, runnable
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runnable("a1_reports_per_theme")(spark, sf_dir)
+    every = runnable("a1_reports_per_theme")(spark, sf_dir)
+    return every.orderBy(F.desc("report_count"), "theme_id").limit(20)

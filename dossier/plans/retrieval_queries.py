@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.constants import EVIDENCE_REPORTS
 from ..functions.fields import search_tokens
 from ..operators import extraction, retrieval, synthesis
 from .registry import query
@@ -86,7 +87,7 @@ def index_refresh(t):
     return refreshed.groupBy("report_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
 
 
-_LIMIT = 5
+_LIMIT = EVIDENCE_REPORTS
 _EVIDENCE = f"""{HEADS}, pairs AS (SELECT DISTINCT theme_id, report_id, publish_date FROM current_links),
  evidence AS (SELECT theme_id, position, report_id, total, total > {_LIMIT} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY publish_date DESC, report_id DESC) AS position,
    count(*) OVER (PARTITION BY theme_id) AS total FROM pairs) WHERE position <= {_LIMIT})"""
@@ -98,7 +99,6 @@ def _evidence(t):
 
 @query("y1_evidence_selection", ctes("reports", "links") + f", {_EVIDENCE} SELECT theme_id, position, report_id, total, truncated FROM evidence")
 def evidence_selection(t):
-    """Five reports per theme here, so that the limit bites at every scale; sixty by default."""
     return _evidence(t).withColumn("position", F.col("position").cast("long"))
 
 

@@ -281,12 +281,11 @@ def report_detail(t):
 @query(
     "a1_reports_per_theme",
     ctes("reports", "links", "themes")
-    + f", {HEADS} SELECT theme_id, name, count(DISTINCT report_id) AS report_count FROM current_links JOIN themes ON id = theme_id GROUP BY theme_id, name ORDER BY report_count DESC, theme_id LIMIT 20",
+    + f", {HEADS} SELECT theme_id, name, count(DISTINCT report_id) AS report_count FROM current_links JOIN themes ON id = theme_id GROUP BY theme_id, name",
 )
 def reports_per_theme(t):
     counts = coverage.reports_per_theme(t.links, t.reports)
-    named = counts.join(t.themes.select(F.col("id").alias("theme_id"), "name"), "theme_id")
-    return named.orderBy(F.desc("report_count"), "theme_id").limit(20)
+    return counts.join(t.themes.select(F.col("id").alias("theme_id"), "name"), "theme_id")
 
 
 @query(

@@ -30,7 +30,7 @@ def _snippet(paragraphs: Column) -> Column:
     joined = F.array_join(
         F.transform(F.filter(texts, lambda p: F.length(p) > 0), strip_highlight), "\n"
     )
-    return F.nullif(F.left(joined, F.lit(K.SNIPPET_CHARS)), F.lit(""))
+    return F.nullif(joined, F.lit(""))
 
 
 def search_references(responses: DataFrame, payload: str = "payload") -> DataFrame:
@@ -88,13 +88,10 @@ def bad_responses(responses: DataFrame, payload: str = "payload") -> DataFrame:
     ).select(
         "*",
         F.try_variant_get(parsed, "$.code", "string").alias("code"),
-        F.left(
-            F.coalesce(
-                F.try_variant_get(parsed, "$.msg", "string"),
-                F.try_variant_get(parsed, "$.message", "string"),
-                F.lit(""),
-            ),
-            F.lit(200),
+        F.coalesce(
+            F.try_variant_get(parsed, "$.msg", "string"),
+            F.try_variant_get(parsed, "$.message", "string"),
+            F.lit(""),
         ).alias("message"),
     )
 

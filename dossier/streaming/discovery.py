@@ -51,18 +51,19 @@ REFERENCE = ["connector_id", "external_id"]
 def first_sightings(stream: DataFrame, folder: str, checkpoint: str | None = None) -> DataFrame:
     """Exact rule without a time bound: a reference counts once, however late it comes again.
 
-    Every batch keeps its first arrivals that no earlier batch has; the stored batches are the
-    state, so it lives in files and not in executors. Result: key, arrival, sightings, batch.
+    Every batch stores the arrivals and counts of its references and reads nothing stored before;
+    they are summed on reading, so sightings in later batches count too. The state lives in files
+    and not in executors. Result: key, first arrival, all sightings, first batch.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy(*REFERENCE).agg(F.min("arrival").alias("arrival"), F.count("*").alias("sightings"))
-        if batch_id > 0:
-            known = batch.sparkSession.read.parquet(folder).where(F.col("batch") < batch_id)
-            first = first.join(known.select(*REFERENCE), REFERENCE, "left_anti")
-        keep_batch(first, folder, batch_id)
+        seen = batch.groupBy(*REFERENCE).agg(F.min("arrival").alias("arrival"), F.count("*").alias("sightings"))
+        keep_batch(seen, folder, batch_id)
 
     run_available(stream.select(*REFERENCE, "arrival"), handle, checkpoint=checkpoint)
-    return stream.sparkSession.read.parquet(folder)
+    stored = stream.sparkSession.read.parquet(folder)
+    return stored.groupBy(*REFERENCE).agg(
+        F.min("arrival").alias("arrival"), F.sum("sightings").alias("sightings"), F.min("batch").alias("batch")
+    )
 
 
 def bounded_first_sightings(stream: DataFrame, at: str) -> DataFrame:
@@ -205,16 +206,15 @@ def stateful_retry_stream(
 
 
 def daily_quota(stream: DataFrame, at: str, downloads: str, folder: str, checkpoint: str | None = None) -> DataFrame:
-    """Downloads per UTC day. Every batch stores the days it changed; the latest value counts."""
-    days = (
-        stream.withWatermark(at, f"{K.CURSOR_OVERLAP_HOURS} hour")
-        .groupBy(F.window(at, "1 day").alias("w"))
-        .agg(F.sum(downloads).alias("downloads"))
-        .select(F.to_date("w.start").alias("day"), "downloads")
-    )
-    run_available(days, lambda batch, n: keep_batch(batch, folder, n), mode="update", checkpoint=checkpoint)
+    """Downloads per UTC day, however late they come: every batch stores its own sum per day."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        days = batch.where(F.col(at).isNotNull()).groupBy(F.to_date(at).alias("day"))
+        keep_batch(days.agg(F.sum(downloads).alias("downloads")), folder, batch_id)
+
+    run_available(stream, handle, checkpoint=checkpoint)
     stored = stream.sparkSession.read.parquet(folder)
-    return stored.groupBy("day").agg(F.max_by("downloads", "batch").alias("downloads"))
+    return stored.groupBy("day").agg(F.sum("downloads").alias("downloads"))
 
 
 # ---- bodies to index -----------------------------------------------------------------------

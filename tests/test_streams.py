@@ -91,6 +91,7 @@ def test_first_sightings_over_batches(spark):
     assert sorted((r.connector_id, r.external_id, r.arrival, r.batch) for r in got.collect()) == sorted(
         [("c", str(i), i, 0) for i in range(7)] + [("c", "7", 25, 1), ("c", "8", 26, 1), ("d", "1", 41, 1)]
     )
+    assert sum(r.sightings for r in got.collect()) == len(first + later)
 
 
 def test_bounded_first_sightings(spark):
@@ -114,6 +115,10 @@ def test_quota_over_batches(spark):
     spark.createDataFrame([(at(1, 23), 4), (at(2, 1), 8)], schema).coalesce(1).write.mode("append").parquet(folder)
     got = discovery.daily_quota(stream(), "seen_at", "n", out, checkpoint)
     assert sorted((str(r.day), r.downloads) for r in got.collect()) == [("2024-01-01", 7), ("2024-01-02", 8)]
+    # a day counts in full however late its rows come
+    spark.createDataFrame([(at(1, 4), 16)], schema).coalesce(1).write.mode("append").parquet(folder)
+    got = discovery.daily_quota(stream(), "seen_at", "n", out, checkpoint)
+    assert sorted((str(r.day), r.downloads) for r in got.collect()) == [("2024-01-01", 23), ("2024-01-02", 8)]
 
 
 def test_body_index_follows_the_latest_body(spark):
