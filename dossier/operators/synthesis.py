@@ -157,7 +157,7 @@ def _references(listed: Column, n_reports: Column) -> Column:
         kind = F.schema_of_variant(r)
         number = F.try_variant_get(r, "$", "double")
         return (
-            F.when(kind == "STRING", strip(F.try_variant_get(r, "$", "string")).try_cast("bigint"))
+            F.when(kind == "STRING", F.translate(strip(F.try_variant_get(r, "$", "string")), "０１２３４５６７８９", "0123456789").try_cast("bigint"))
             .when(kind == "BOOLEAN", F.try_variant_get(r, "$", "boolean").cast("bigint"))
             .when(kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
         )

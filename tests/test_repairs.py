@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from dossier.operators.extraction import repair_json
 from dossier.operators.identity import merge_identities
 from dossier.operators.master import bridge_vote
+from dossier.operators.synthesis import cited_items
 
 
 def test_vote_with_letters_in_the_code(spark):
@@ -17,3 +19,8 @@ def test_new_report_takes_no_deleted_id(spark):
     reports = spark.createDataFrame([(1, "x", "b", "2024-01-01", False), (7, "y", "b", "2024-01-01", True)], "id long, title_norm string, broker string, publish_date string, deleted boolean")
     got = merge_identities(files, reports.where(~F.col("deleted")), reports).first()
     assert got.report_id == 8
+
+
+def test_citation_in_full_width_digits(spark):
+    df = spark.createDataFrame([(1, '{"common_conclusions":[{"text":"a","report_refs":["２"," 1２ ",3]}]}', 12)], "theme_id int, raw string, n_reports int")
+    assert cited_items(repair_json(df)).first().refs == [2, 3, 12]
