@@ -106,11 +106,11 @@ def next_run(t):
 
 @query(
     "w6_daily_quota",
-    ctes("log") + " SELECT CAST(day AS VARCHAR) AS day, CAST(sum(k) AS BIGINT) AS downloads FROM log WHERE event = 'view' GROUP BY 1",
+    ctes("log") + " SELECT CAST(day AS VARCHAR) AS day, CAST(sum(k) AS BIGINT) AS downloads FROM log GROUP BY 1",
 )
 def daily_quota(t):
-    views = _stream(t, "events", EVENTS).where("event = 'view'").select(F.col("seen_at").cast("timestamp").alias("seen_at"), "k")
-    days = discovery.daily_quota(views, "seen_at", "k", shared_folder(t.spark, "quota"))
+    rounds = _stream(t, "events", EVENTS).select(F.col("seen_at").cast("timestamp").alias("seen_at"), "k")
+    days = discovery.daily_quota(rounds, "seen_at", "k", shared_folder(t.spark, "quota"))
     return days.withColumn("day", F.col("day").cast("string"))
 
 
@@ -128,9 +128,7 @@ _CLEANED = r"""array_to_string(list_filter(regexp_split_to_array(body, '\r\n|[\n
     SELECT report_id, field, count(*) AS occurrences, count(DISTINCT token) AS postings FROM w GROUP BY 1, 2""",
 )
 def body_index(t):
-    # one file is one task: deal its rows out before the cleaning
-    cores = t.spark.sparkContext.defaultParallelism
-    bodies = _stream(t, "documents", BODIES).repartition(cores).select(
+    bodies = _stream(t, "documents", BODIES).select(
         F.col("doc_id").alias("report_id"), "title", "body", F.expr(_SUMMARY).alias("summary")
     )
     folder = shared_folder(t.spark, "body-index")
