@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 PIECE = 1 << 20
 WORDS = 5
 U = np.uint64
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ODD = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -28,7 +29,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once to the folder named by ``spark.checkpoint.dir`` and go on from the files.
 
     The folder must be one that driver and executors share. Only where the setting is missing
-    (tests) a temporary folder is set.
+    (tests) a temporary folder is set. The shuffle files of the job are dropped when the table is
+    written, as later jobs read the table alone.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,7 +38,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
         base = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -155,11 +155,19 @@ def set_keys(docs: DataFrame) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """sig, key, note; a set met again within a task is left out, as its rows would be the same."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for _, _, values, at in _sets(batch):
-                row, sig, note = signatures(values, at, num, den)
-                columns = sig.view(np.int64), _set_keys(values, at)[row], note.astype(np.int32)
+                keys = _set_keys(values, at)
+                fresh = [i for i, k in enumerate(keys.tolist()) if k not in seen and not seen.add(k)]
+                keys, count = keys[fresh], np.diff(at)[fresh]
+                start = np.r_[0, np.cumsum(count)]
+                values = values[np.repeat(at[fresh] - start[:-1], count) + np.arange(start[-1])]
+                row, sig, note = signatures(values, start, num, den)
+                columns = sig.view(np.int64), keys[row], note.astype(np.int32)
                 for i in range(0, len(sig), 1 << 17):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in columns], ["sig", "key", "note"])
 
