@@ -54,9 +54,36 @@ def objects(items: Column, fields_ddl: str) -> Column:
     return F.transform(listed, lambda e: F.try_variant_get(e, "$", f"struct<{fields_ddl}>"))
 
 
+#: JSON false and zero as texts
+_FALSY = ["false", "0", "0.0", "-0", "-0.0"]
+
+
+def _said(text: Column, value: Column) -> Column:
+    """The text of a JSON value; false and zero say nothing, a string "0" does."""
+    return F.when(text.isin(_FALSY) & (F.schema_of_variant(value) != "STRING"), None).otherwise(text)
+
+
 def _named(items: Column, fields_ddl: str) -> Column:
+    ddl = f"name:string,{fields_ddl}"
+    listed = F.coalesce(
+        F.try_variant_get(items, "$", "array<variant>"), F.array().cast("array<variant>")
+    )
+    read = F.transform(
+        listed, lambda e: F.struct(e.alias("v"), F.try_variant_get(e, "$", f"struct<{ddl}>").alias("s"))
+    )
+
+    def said(x: Column) -> Column:
+        fields_ = [f.split(":") for f in ddl.split(",")]
+        return F.struct(
+            *(
+                (_said(x["s"][name], F.try_variant_get(x["v"], f"$.{name}", "variant")) if kind == "string" else x["s"][name]).alias(name)
+                for name, kind in fields_
+            )
+        )
+
     return F.filter(
-        objects(items, f"name:string,{fields_ddl}"), lambda e: strip(_text(e["name"])) != ""
+        F.transform(F.filter(read, lambda x: x["s"].isNotNull()), said),
+        lambda e: strip(_text(e["name"])) != "",
     )
 
 
@@ -72,6 +99,7 @@ def normalize_result(analyses: DataFrame, payload: str = "payload", body: str =
     List fields that hold a bare number or ``true`` cannot be walked: ``schema_error`` is set.
     """
     p, text = F.col("_p"), F.col(body)
+    told = lambda name: _text(_said(p[name], F.try_variant_get(payload, f"$.{name}", "variant")))
     # a list field that is a bare number but zero, or true
     unwalkable = F.lit(False)
     for name in ("targets", "themes", "authors"):
@@ -83,7 +111,7 @@ def normalize_result(analyses: DataFrame, payload: str = "payload", body: str =
     prepared = (
         analyses.withColumn("_p", F.try_variant_get(payload, "$", _PAYLOAD))
         .withColumn("_anchored", fields.anchor_publish_date(text))
-        .withColumn("_extracted", fields.extracted_date(_text(p["publish_date"])))
+        .withColumn("_extracted", fields.extracted_date(told("publish_date")))
         .withColumn("_rating", F.try_variant_get(p["rating"], "$", "struct<action:string,maintained:variant>"))
         .withColumn("schema_error", F.when(F.coalesce(unwalkable, F.lit(False)), "schema_invalid"))
     )
@@ -112,19 +140,19 @@ def normalize_result(analyses: DataFrame, payload: str = "payload", body: str =
     )
     publish_date, source = fields.date_provenance(F.col("_anchored"), F.col("_extracted"))
     result = F.struct(
-        _text(p["broker"]).alias("broker"),
+        told("broker").alias("broker"),
         authors.alias("authors"),
         publish_date.alias("publish_date"),
-        fields.map_report_type(_text(p["report_type"])).alias("report_type"),
-        _text(p["title"]).alias("title"),
-        _text(p["summary"]).alias("summary"),
+        fields.map_report_type(told("report_type")).alias("report_type"),
+        told("title").alias("title"),
+        told("summary").alias("summary"),
         themes.alias("themes"),
         targets.alias("targets"),
         F.struct(
             fields.map_action(F.col("_rating.action")).alias("action"),
             _strict_bool(F.col("_rating.maintained")).alias("maintained"),
         ).alias("rating"),
-        _text(p["risk_notes"]).alias("risk_notes"),
+        told("risk_notes").alias("risk_notes"),
         source.alias("publish_date_source"),
     )
     return prepared.withColumn(

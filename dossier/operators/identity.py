@@ -67,11 +67,12 @@ def claim_references(sightings: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def dispose_references(refs: DataFrame, live: DataFrame) -> DataFrame:
+def dispose_references(refs: DataFrame, live: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Status of newly claimed references, as if handled one by one in ``position`` order.
 
     live identity -> duplicate; else the first reference of the identity that can be fetched is
     ingested and later ones are its duplicates; the rest failed to fetch or waits (seen).
+    ``ids`` as in ``merge_identities``.
     """
     joined = refs.join(
         live.select(*IDENTITY, F.col("id").alias("_live_id")), IDENTITY, "left"
@@ -80,7 +81,9 @@ def dispose_references(refs: DataFrame, live: DataFrame) -> DataFrame:
     first = (
         joined.where(can_fetch).groupBy(*IDENTITY).agg(F.min("position").alias("_first"))
     )
-    created = _with_new_ids(first, "_first", live, "id", "_new_id", tuple(IDENTITY))
+    created = _with_new_ids(
+        first, "_first", live if ids is None else ids, "id", "_new_id", tuple(IDENTITY)
+    )
     later = F.col("position") > F.col("_first")
     return (
         joined.join(created, IDENTITY, "left")

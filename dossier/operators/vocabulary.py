@@ -242,21 +242,28 @@ def union_synonyms(names: DataFrame, own: DataFrame) -> DataFrame:
 def merge_verdicts(merges: DataFrame, themes: DataFrame) -> DataFrame:
     """Which merges (arrival, src, dst) are legal: dst active, src pending or active, not itself.
 
-    One batch merges each source once and never into a theme it merges away.
+    Of the requests that the stored states allow, one batch merges each source once and never into
+    a theme it merges away; refused requests hold nothing up.
     """
     state = lambda side: themes.select(F.col("id").alias(side), F.col("status").alias(f"{side}_status"))
-    first = merges.groupBy("src").agg(F.min("arrival").alias("_first"))
-    gone = merges.select(F.col("src").alias("dst")).distinct().withColumn("_gone", F.lit(True))
-    return (
+    judged = (
         merges.join(state("src"), "src", "left")
         .join(state("dst"), "dst", "left")
-        .join(first, "src")
-        .join(gone, "dst", "left")
         .withColumn(
-            "verdict",
+            "refused",
             F.when(F.col("src") == F.col("dst"), "self")
             .when(F.coalesce(F.col("dst_status") != "active", F.lit(True)), "target_not_active")
-            .when(~F.coalesce(F.col("src_status").isin("pending", "active"), F.lit(False)), "source_closed")
+            .when(~F.coalesce(F.col("src_status").isin("pending", "active"), F.lit(False)), "source_closed"),
+        )
+    )
+    first = judged.where("refused IS NULL").groupBy("src").agg(F.min("arrival").alias("_first"))
+    gone = first.select(F.col("src").alias("dst"), F.lit(True).alias("_gone"))
+    return (
+        judged.join(first, "src", "left")
+        .join(gone, "dst", "left")
+        .withColumn(
+            "verdict",
+            F.when(F.col("refused").isNotNull(), F.col("refused"))
             .when(F.col("_gone") | (F.col("arrival") > F.col("_first")), "later_batch")
             .otherwise("ok"),
         )

@@ -172,7 +172,8 @@ def synonym_union(t):
 
 
 _MERGES_SQL = """asked AS (SELECT id AS arrival, id AS src, id // 2 AS dst FROM themes WHERE source = 'seed_sw'),
- ok AS (SELECT a.* FROM asked a JOIN themes s ON s.id = src JOIN themes d ON d.id = dst WHERE src <> dst AND d.status = 'active' AND s.status IN ('pending', 'active') AND dst NOT IN (SELECT src FROM asked))"""
+ legal AS (SELECT a.* FROM asked a JOIN themes s ON s.id = src JOIN themes d ON d.id = dst WHERE src <> dst AND d.status = 'active' AND s.status IN ('pending', 'active')),
+ ok AS (SELECT * FROM legal WHERE dst NOT IN (SELECT src FROM legal))"""
 
 
 def _merges(t):
