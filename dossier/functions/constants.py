@@ -67,14 +67,12 @@ HIGHLIGHT_TAG = r"(?i)</?em[^>]*>"
 PAYLOAD_DATE = r"(\d{4})-(\d{1,2})-(\d{1,2})"
 FILENAME_ILLEGAL = r'[\\/:*?"<>|\r\n\t]+'
 DOWNLOAD_KEYS = ["pdfurl", "url", "fileurl", "downloadurl"]
-FILENAME_CHARS = 80
 
 # Thresholds.
 UPLOAD_MAX_BYTES = 50 * 1024 * 1024
 UPLOAD_EXTENSIONS = [".pdf", ".docx"]
 SCAN_MIN_CHARS_PER_PAGE = 30
 MARKDOWN_MIN_CHARS = 200
-HEAD_CHARS = 3000
 MAX_INPUT_CHARS = 50_000
 CHUNK_CHARS = 26_000
 CHUNK_OVERLAP = 1_000
@@ -85,7 +83,6 @@ INFERRED_HINTS = 5
 BRIDGE_SHARE = 0.6
 RESTORE_DAYS = 30
 EVIDENCE_REPORTS = 60
-QUERY_WORDS = 8
 CURSOR_OVERLAP_HOURS = 1
 CURSOR_MAX_DAYS = 7
 CURSOR_DEFAULT_DAYS = 3

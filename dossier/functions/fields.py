@@ -26,13 +26,13 @@ def _date_of(text: Column, pattern: str) -> Column:
     return _date(*[F.regexp_extract(text, f"(?U){pattern}", i) for i in (1, 2, 3)])
 
 
-def anchor_publish_date(markdown: Column, head_chars: int = K.HEAD_CHARS) -> Column:
-    """Publish date printed on the first page.
+def anchor_publish_date(markdown: Column, head_chars: int | None = None) -> Column:
+    """Publish date printed in a body, or in its first ``head_chars`` characters.
 
     The first date written with 年月日 counts if it is valid; otherwise the first line that
     carries exactly one numeric date which is valid (axis ticks carry several).
     """
-    head = F.substring(markdown, 1, head_chars)
+    head = markdown if head_chars is None else F.substring(markdown, 1, head_chars)
     numeric = F.transform(
         split_lines(head),
         lambda line: F.regexp_extract_all(line, F.lit(f"(?U){K.NUMERIC_DATE}"), F.lit(0)),

@@ -104,8 +104,11 @@ def strip_highlight(text: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(text, F.lit("")), K.HIGHLIGHT_TAG, ""))
 
 
-def safe_filename(title: Column) -> Column:
-    cleaned = F.left(F.regexp_replace(title, K.FILENAME_ILLEGAL, "_"), F.lit(K.FILENAME_CHARS))
+def safe_filename(title: Column, chars: int | None = None) -> Column:
+    """A title as a file name; ``chars`` cuts it, which may make two titles one name."""
+    cleaned = F.regexp_replace(title, K.FILENAME_ILLEGAL, "_")
+    if chars is not None:
+        cleaned = F.left(cleaned, F.lit(chars))
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("report"))
 
 

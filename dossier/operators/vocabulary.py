@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
 from ..functions.fields import valid_code
 from ..functions.text import normalize_theme_name, strip
 from ..session import cut_lineage
@@ -450,8 +449,8 @@ def display_terms(themes: DataFrame) -> DataFrame:
     )
 
 
-def query_words(subscriptions: DataFrame) -> DataFrame:
-    """Normalised name, synonyms and extra keywords, each once, the first eight in order."""
+def query_words(subscriptions: DataFrame, most: int | None = None) -> DataFrame:
+    """Normalised name, synonyms and extra keywords, each once, in order; all or the first ``most``."""
     words = _ordered_words(subscriptions, [F.array("name"), _names("synonyms"), _names("keywords")])
     keyed = (
         words.select("id", "position", normalize_theme_name(F.col("word")).alias("word"))
@@ -460,4 +459,5 @@ def query_words(subscriptions: DataFrame) -> DataFrame:
         .agg(F.min("position").alias("position"))
     )
     place = F.row_number().over(W.partitionBy("id").orderBy("position"))
-    return keyed.withColumn("place", place).where(F.col("place") <= K.QUERY_WORDS).drop("position")
+    placed = keyed.withColumn("place", place).drop("position")
+    return placed if most is None else placed.where(F.col("place") <= most)

@@ -215,7 +215,7 @@ def noise_concept(t):
 @query(
     "n12_strip_highlight_and_filename",
     r"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title,
-        coalesce(nullif(left(regexp_replace(url, '[\\/:*?"<>|\r\n\t]+', '_', 'g'), 80), ''), 'report') AS filename
+        coalesce(nullif(regexp_replace(url, '[\\/:*?"<>|\r\n\t]+', '_', 'g'), ''), 'report') AS filename
         FROM pages""",
 )
 def strip_highlight_and_filename(t):

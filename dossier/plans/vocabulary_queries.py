@@ -298,7 +298,7 @@ def display_terms(t):
     "v12_query_words",
     ctes("themes") + """, w AS (SELECT id, unnest([name, synonym, status, source, 'k1', 'k 1', 'k2', seed_code, 'k3', 'k4']) AS word, unnest(range(10)) AS position FROM themes),
     f AS (SELECT id, replace(word, ' ', '') AS word, min(position) AS position FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS place FROM f)
-    SELECT id, word, CAST(place AS INTEGER) AS place FROM r WHERE place <= 8""",
+    SELECT id, word, CAST(place AS INTEGER) AS place FROM r""",
 )
 def query_words(t):
     subscriptions = t.themes.select(

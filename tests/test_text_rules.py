@@ -89,13 +89,17 @@ def test_cleaning_keeps_tables_and_blank_lines(spark):
         ("2024-2-30\nafter 2023-02-28.", None),
         ("2024-2-30\nafter 2023-02-28 x", dt.date(2023, 2, 28)),
         ("1999年1月1日", None),
-        ("x" * 3000 + "2024年1月1日", None),
+        ("x" * 3000 + "2024年1月1日", dt.date(2024, 1, 1)),
     ],
 )
 def test_anchor_date(spark, head, expected):
     assert values(spark, [head], fields.anchor_publish_date) == [expected]
 
 
+def test_anchor_date_of_the_first_characters(spark):
+    assert values(spark, ["x" * 3000 + "2024年1月1日"], lambda c: fields.anchor_publish_date(c, 3000)) == [None]
+
+
 def test_extracted_date_must_be_the_whole_text(spark):
     got = values(spark, ["2024-1-5", " 2024年01月05日 ", "2024.1.5x", "2024-13-1", None], fields.extracted_date)
     assert got == [dt.date(2024, 1, 5), dt.date(2024, 1, 5), None, None, None]
@@ -151,4 +155,4 @@ def test_tokens(spark):
 
 def test_highlight_and_filename(spark):
     assert values(spark, [" <EM class='a'>x</em>y ", None], text.strip_highlight) == ["xy", ""]
-    assert values(spark, ['a/b:"c"\n', "", "长" * 90], text.safe_filename) == ["a_b_c_", "report", "长" * 80]
+    assert values(spark, ['a/b:"c"\n', "", "长" * 90], text.safe_filename) == ["a_b_c_", "report", "长" * 90]
