@@ -122,9 +122,10 @@ def manual_downloads(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcome per reference, run-log rows).
 
     A reference already ingested or known as duplicate costs no quota; requests that repeat a
-    reference inside the batch count once.
+    reference inside the batch count once; if they differ, the least by its columns in order holds.
     """
-    wanted = requests.dropDuplicates(["ref_id"])
+    others = [c for c in requests.columns if c != "ref_id"]
+    wanted = requests.groupBy("ref_id").agg(F.min(F.struct(*others)).alias("_r")).select("ref_id", "_r.*")
     outcome = wanted.withColumn(
         "outcome",
         F.when(F.col("status").isin("duplicate", "ingested"), "skipped")

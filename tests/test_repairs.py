@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from dossier.operators.extraction import normalize_result, repair_json
-from dossier.operators.identity import dispose_references, merge_identities
+from dossier.operators.identity import dispose_references, manual_downloads, merge_identities
 from dossier.operators.master import bridge_vote
 from dossier.operators.synthesis import cited_items
 from dossier.operators.vocabulary import merge_verdicts
@@ -48,3 +48,11 @@ def test_refused_merges_hold_nothing_up(spark):
     asked = spark.createDataFrame([(1, 2, 3), (2, 2, 1), (3, 1, 1), (4, 4, 1), (5, 4, 1)], "arrival long, src long, dst long")
     got = {r.arrival: r.verdict for r in merge_verdicts(asked, themes).collect()}
     assert got == {1: "target_not_active", 2: "ok", 3: "self", 4: "ok", 5: "later_batch"}
+
+
+def test_differing_requests_of_one_reference(spark):
+    rows = [(1, "seen", True, "c", 1, "x"), (1, "seen", False, "c", 1, "x"), (2, "ingested", True, "c", 1, "y")]
+    schema = "ref_id long, status string, fetch_ok boolean, connector_id string, subscription_id long, external_id string"
+    for order in (rows, rows[::-1]):
+        outcome, _ = manual_downloads(spark.createDataFrame(order, schema))
+        assert {r.ref_id: r.outcome for r in outcome.collect()} == {1: "fetch_failed", 2: "skipped"}
