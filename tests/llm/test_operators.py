@@ -191,6 +191,47 @@ def test_repeated_passage_is_found(spark):
     assert {frozenset((r.doc_id, r.other_id)) for r in compact_windows.passages(df).collect()} == {frozenset((1, 2))}
 
 
+def test_edited_stretches_equal_brute_force():
+    for seed in range(12):
+        rng = random.Random(seed)
+        shared = [rng.randrange(1 << 40) for _ in range(16)]
+        edited = list(shared)
+        for _ in range(seed % 3 + 1):
+            edited[rng.randrange(1, 15)] = rng.randrange(1 << 40)
+        if seed % 2:
+            edited.insert(8, rng.choice(shared))
+        s = np.array([rng.randrange(1 << 40) for _ in range(5)] + shared + [rng.randrange(1 << 40) for _ in range(4)], np.uint64)
+        t = np.array([rng.randrange(1 << 40) for _ in range(3)] + edited + edited[:3] + [rng.randrange(1 << 40) for _ in range(6)], np.uint64)
+        likely = {}
+        for x in range(len(s)):
+            for y in range(x + 10, len(s) + 1):
+                for p in range(len(t)):
+                    for q in range(p + 10, len(t) + 1):
+                        if s[x] == t[p] and s[y - 1] == t[q - 1]:
+                            like = compact_windows._likeness(s[x:y], t[p:q])
+                            if like >= 0.8:
+                                likely[x, y - 1, p, q - 1] = like
+        longest = {o: v for o, v in likely.items() if not any(k != o and k[0] <= o[0] and o[1] <= k[1] and k[2] <= o[2] and o[3] <= k[3] for k in likely)}
+        got = {o[:4]: o[4] for o in compact_windows.similar_stretches(s, t, 10, 0.8)}
+        assert got == longest, seed
+
+
+def test_edited_passages_inside_unlike_documents_are_found(spark):
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        passage = fresh(60)
+        changed = passage[:30] + fresh(1) + passage[31:]
+        rows += [(2 * i, " ".join(fresh(100) + passage + fresh(90))), (2 * i + 1, " ".join(fresh(70) + changed + fresh(120)))]
+    found = [r for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    pairs = {frozenset((r.doc_id, r.other_id)) for r in found}
+    # 51 of 61 shingles are shared: two of four functions agree on nearly every pair
+    assert pairs <= {frozenset((2 * i, 2 * i + 1)) for i in range(60)} and len(pairs) >= 54
+    assert {(r.first_word, r.last_word) for r in found if r.doc_id % 2 == 0} | {(r.other_first, r.other_last) for r in found if r.other_id % 2 == 0} == {(100, 159)}
+    assert all(abs(r.similarity - 51 / 61) < 1e-9 for r in found)
+
+
 def test_scores_and_languages_are_defined_everywhere(docs, labels):
     scored = quality.score_documents(docs, labels).collect()
     assert len(scored) == len(rows()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in scored)
