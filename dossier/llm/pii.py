@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,10 +18,18 @@ from . import common as C
 # fixed values: the shapes of what is replaced, and titles by gender
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=password=)[^\s\"']{4,}|(?<=token = \")[^\s\"]{8,}(?=\")",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\bgh[a-z]_[A-Za-z0-9]{16,}|\bgithub_pat_\w{16,}|\bsk-[\w\-]{16,}|\bxox[a-z]-[\w\-]{8,}|\bAIza[\w\-]{30,}|\beyJ[\w\-]+\.[\w\-]+\.[\w\-]*"
+    r"|(?<=\b[Bb]earer )(?=\S*\d|\S{20})[A-Za-z0-9._~+/=\-]{8,}",
+    "assigned": r"(?i:(?:api|access|secret|private|auth|client|signing|encryption)[_\- ]?key|secret|token|passw(?:or)?d|passphrase|pwd)\w*[\"']?[ \t]*(?:=>|:=|:(?!//|:)|=(?!=))[ \t]*"
+    r"(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|[\"']?(?!(?:[Bb]earer|[Bb]asic)\b)(?P<bare>[^\s\"']+))"
+    r"|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?P<pem>[^-]+(?:-(?!----)[^-]*)*)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ \-.]?\(?\d{2,4}\)?[ \-.]?\d{3,4}[ \-.]?\d{3,4}(?!\d)",
+    "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:))(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)",
+    "iban": r"\b[A-Z]{2}\d{2}(?:[ \-]?[A-Z0-9]{4}){2,7}(?:[ \-]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "phone": r"(?<![\d+])\+\d{1,3}[ \-.]?\(?\d{2,4}\)?[ \-.]?\d{3,4}[ \-.]?\d{3,4}(?!\d)|(?<![\d+])(?:\+|00)[1-9]\d{0,2}(?:[ \-./]?\(?\d{1,5}\)?){2,5}(?!\d)"
+    r"|(?<![\d.\-])(?:1[ \-.])?(?:\(\d{3}\)[ \-.]?|\d{3}[ \-.])\d{3}[ \-.]\d{4}(?![\-.]?\d)|(?<![\d.\-])\(?0\d{1,4}\)?[ \-/]\d{3,4}[ \-]?\d{3,5}(?![\-.]?\d)",
     "number": r"(?<![\d.])(?:\d{4}[ \-]?){3}\d{4}(?!\d)|\b\d{3}-\d{2}-\d{4}\b",
+    "card": r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)",
     "man": r"(?<=\bMr )(?:[^\W\d_a-z][^\W\d_]+ ?){1,2}|(?<=\bMr\. )(?:[^\W\d_a-z][^\W\d_]+ ?){1,2}|(?<=\bHerr )(?:[^\W\d_a-z][^\W\d_]+ ?){1,2}",
     "woman": r"(?<=\bMrs )(?:[^\W\d_a-z][^\W\d_]+ ?){1,2}|(?<=\bMrs\. )(?:[^\W\d_a-z][^\W\d_]+ ?){1,2}|(?<=\bMs\. )(?:[^\W\d_a-z][^\W\d_]+ ?){1,2}|(?<=\bFrau )(?:[^\W\d_a-z][^\W\d_]+ ?){1,2}",
 }
@@ -28,7 +38,7 @@ WOMEN = "anna berta clara diana emma flora greta helen irene julia karin laura m
 
 _KINDS = list(PATTERNS)
 #: What every match holds, so that most texts are passed by quickly.
-_HINT = r"[@\d]|\b(?:Mr|Mrs|Ms|Herr|Frau)\b|password=|token = "
+_HINT = r"[@\d]|\b(?:Mr|Mrs|Ms|Herr|Frau)\b|::|[0-9A-Fa-f]:[0-9A-Fa-f]|(?i:key|secret|token|passw|passphrase|pwd|bearer)|PRIVATE|gh[a-z]_|github_pat_|sk-|xox|AIza|eyJ"
 #: Ranges of letters of one script and case, in which a letter is replaced by another.
 _RANGES = [(0x61, 26), (0x41, 26), (0x3B1, 25), (0x391, 17), (0x430, 32), (0x410, 32), (0x4E00, 20000), (0x3042, 80), (0xAC00, 11000), (0x5D0, 27), (0x627, 36)]
 
@@ -37,10 +47,49 @@ def _pattern() -> re.Pattern:
     return re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 
 
+def iban(text: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def finds(pattern: re.Pattern, text: str):
+    """Start, end and kind of everything to replace, in reading order."""
+    at = 0
+    while m := pattern.search(text, at):
+        kind, (start, end) = m.lastgroup, m.span()
+        if kind == "assigned":
+            kind = "secret"
+            start, end = m.span(next(g for g in ("double", "single", "bare", "pem") if m[g] is not None))
+        elif kind == "ip6":
+            try:
+                ipaddress.IPv6Address(m[0])
+            except ValueError:
+                kind = None
+        elif kind == "card":
+            kind = "number" if luhn(re.sub(r"\D", "", m[0])) else None
+        elif kind == "iban":
+            # a following word in capitals may look like one more group
+            ends = [end] + [m.start() + i.start() for i in reversed(list(re.finditer(r"[ \-]", m[0])))]
+            end = next((e for e in ends if e - start >= 15 and iban(re.sub(r"[ \-]", "", text[start:e]))), None)
+            kind = "iban" if end else None
+        if kind is None:
+            at = m.start() + 1
+            continue
+        # what holds no letter or digit (password=****) has nothing to replace
+        if any(c.isalpha() or c.isdecimal() for c in text[start:end]):
+            yield start, end, kind
+        at = max(end, m.start() + 1)
+
+
 def canonical(kind: str, text: str) -> str:
     """One spelling of an entity: e-mails and names by lower case, numbers by their digits."""
     if kind in ("email", "man", "woman"):
         return text.strip().lower()
+    if kind == "ip6":
+        return ipaddress.IPv6Address(text).exploded
+    if kind == "iban":
+        return re.sub(r"[ \-]", "", text)
+    if kind == "phone" and text.startswith("00"):
+        text = text[2:]
     return re.sub(r"\D", "", text) if kind in ("phone", "number") else text
 
 
@@ -59,8 +108,8 @@ class _Stream:
 
 
 def _like(char: str, stream: _Stream) -> str:
-    if char.isdigit():
-        return str(stream.below(10)) if char.isascii() else char
+    if char.isdecimal():
+        return chr(ord(char) - unicodedata.decimal(char) + stream.below(10))
     code = ord(char)
     for first, size in _RANGES:
         if first <= code < first + size:
@@ -79,6 +128,11 @@ def luhn(digits: str) -> bool:
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """Replacement of a canonical entity."""
     stream = _Stream(key, kind, entity, attempt)
+    if kind == "ip6":
+        return ":".join(["fd" + f"{stream.below(256):02x}"] + [f"{stream.below(1 << 16):x}" for _ in range(7)])
+    if kind == "iban":
+        out = entity[:2] + "00" + "".join(_like(c, stream) for c in entity[4:])
+        return out[:2] + f"{98 - int(''.join(str(int(c, 36)) for c in out[4:] + out[:4])) % 97:02d}" + out[4:]
     if kind == "ip":
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
     if kind == "email":
@@ -92,7 +146,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind == "secret":
         head = 4 if entity.startswith("AKIA") else 0
         hexed = re.fullmatch(r"[0-9a-f]+", entity) is not None
-        return entity[:head] + "".join("0123456789abcdef"[stream.below(16)] if hexed else _like(c, stream) for c in entity[head:])
+        # a short secret has few of its shape: later attempts are longer
+        longer = "".join(chr(0x61 + stream.below(26)) for _ in range(attempt // 8))
+        return entity[:head] + "".join("0123456789abcdef"[stream.below(16)] if hexed else _like(c, stream) for c in entity[head:]) + longer
     if kind == "phone":
         keep = max(0, len(entity) - 10)
         return entity[:keep] + "".join(str(2 + stream.below(8)) if i % 3 == 0 else str(stream.below(10)) for i in range(len(entity) - keep))
@@ -104,8 +160,11 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
 
 def dressed(kind: str, found: str, new: str) -> str:
     """The surrogate in the format of the place where the entity was found."""
+    if kind == "iban":
+        signs = iter(new)
+        return re.sub(r"[^ \-]", lambda m: next(signs, m[0]), found)
     if kind in ("phone", "number"):
-        digits = iter(new)
+        digits = iter("00" + new if kind == "phone" and found.startswith("00") else new)
         return re.sub(r"\d", lambda m: next(digits, m[0]), found)
     if kind in ("man", "woman"):
         words = [w.upper() if o.isupper() else w.capitalize() for w, o in zip(new.split(), found.split())]
@@ -124,7 +183,7 @@ def entities(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if text and hint.search(text):
-                    rows += [(doc_id, *e) for e in {(m.lastgroup, canonical(m.lastgroup, m[0])) for m in pattern.finditer(text)}]
+                    rows += [(doc_id, *e) for e in {(k, canonical(k, text[a:b])) for a, b, k in finds(pattern, text)}]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], ["doc_id", "kind", "entity"])
 
@@ -188,7 +247,11 @@ def replace(docs: DataFrame, key: bytes = b"surrogates", count: str | None = Non
                 n = 0
                 if text is not None and plan:
                     names = {(p["kind"], p["entity"]): p["surrogate"] for p in plan}
-                    text, n = pattern.subn(lambda m: dressed(m.lastgroup, m[0], names[m.lastgroup, canonical(m.lastgroup, m[0])]), text)
+                    parts, done = [], 0
+                    for a, b, k in finds(pattern, text):
+                        parts += [text[done:a], dressed(k, text[a:b], names[k, canonical(k, text[a:b])])]
+                        n, done = n + 1, b
+                    text = "".join(parts) + text[done:]
                 texts.append(text)
                 counts.append(n)
             columns = [batch.column(c) for c in passed]
