@@ -50,6 +50,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key():
+    """One number per doc_id and text, for rows whose doc_id may be NULL or repeated."""
+    given, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.xxhash64(text, given, given.isNull(), text.isNull())
+
+
 # ---------------------------------------------------------------- Arrow text columns as bytes
 
 

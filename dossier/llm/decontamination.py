@@ -226,5 +226,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pipeline stage: documents that hold a test item go."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: documents that hold a test item go, whether their doc_id is NULL, repeated or neither."""
+    row = "_row" + "_" * max(map(len, docs.columns))
+    named = docs.withColumn(row, C.row_key())
+    found = contaminated(named.select(F.col(row).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(row)).distinct()
+    return named.join(found, row, "left_anti").select(docs.columns)

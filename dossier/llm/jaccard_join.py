@@ -246,7 +246,7 @@ def _rest(placed: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """Components of documents whose five-word shingle sets have Jaccard similarity >= num/den.
 
-    In: any table with ``doc_id`` (no NULLs, no repeats) and ``text``; other columns are ignored.
+    In: any table with ``doc_id`` (no NULLs, repeated only with equal text) and ``text``; other columns are ignored.
     Out: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
     A text without words (NULL, empty, white space) has no shingle and is linked with nothing;
     equal texts are one component; an empty table gives no rows.
@@ -275,8 +275,11 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        first = keys.join(used, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-        return C.stored(_set_rows(base.join(first, "doc_id")), "sets")
+        first = keys.join(used, "key").groupBy("key", "doc_id").count().groupBy("key").agg(F.min(F.struct("doc_id", "count")).alias("m")).select("key", "m.*")
+        held = base.join(first, "doc_id").select("key", "text", "count")
+        # of rows repeated in full one set is enough
+        once, several = held.where("count = 1"), held.where("count > 1").dropDuplicates(["key"])
+        return C.stored(_set_rows(once.union(several)), "sets")
 
     sets = sets_of(pivots)
     tested = C.stored(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tested")
@@ -314,6 +317,20 @@ def jaccard_components(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component only the document with the smallest doc_id stays."""
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id").select(docs.columns)
+    """Pipeline stage: of each component only the row with the smallest doc_id stays.
+
+    Rows are told apart by doc_id and text, so a NULL or repeated doc_id is a row like any other
+    (NULL comes last); of rows equal in both one stays. Texts without words are all kept.
+    """
+    row = "_row" + "_" * max(map(len, docs.columns))
+    named = docs.withColumn(row, C.row_key())
+    own = named.select(F.col(row).alias("doc_id"), "text", F.col("doc_id").alias("given"))
+    parts = jaccard_components(own).where("n_shingles > 0").distinct()
+    given = own.select("doc_id", F.col("given").cast("long").alias("given")).groupBy("doc_id").agg(F.min("given").alias("given"), F.count("*").alias("n"))
+    known = C.stored(given.join(parts, "doc_id", "left"), "rows-of-components")
+    order = F.struct(F.col("given").isNull(), "given", "doc_id")
+    first = known.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct(order.alias("o"), "n")).alias("m")).select(F.col("m.o.doc_id").alias(row), F.col("m.n").alias("n"))
+    bare = known.where("component_id is null").select(F.col("doc_id").alias(row))
+    once = named.join(first.where("n = 1").select(row).union(bare), row, "left_semi")
+    several = named.join(first.where("n > 1").select(row), row, "left_semi").dropDuplicates([row])
+    return once.union(several).select(docs.columns)

@@ -225,18 +225,18 @@ def surrogates(known: DataFrame, key: bytes) -> DataFrame:
 def replace(docs: DataFrame, key: bytes = b"surrogates", count: str | None = None) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced by its surrogate; other columns pass as they are.
 
-    In: doc_id (may repeat only with equal meaning), text; with ``count`` a column of that name
+    In: doc_id (may be NULL or repeat), text; with ``count`` a column of that name
     holds the number of replacements. The same entity gets the same surrogate everywhere, different
     entities different ones. NULL stays NULL, texts without entities stay as they are.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(C.row_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = C.stored(entities(base).distinct(), "entities")
     known = C.stored(found.select("kind", "entity").distinct(), "known-entities")
     given = surrogates(known, key)
     # bounded by what one document holds
     column = "_given" + "_" * max(map(len, docs.columns))
     plans = found.join(given, ["kind", "entity"]).groupBy(F.col("doc_id").alias("_id" + column)).agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias(column))
-    joined = docs.join(plans, F.col("doc_id").cast("long") == F.col("_id" + column), "left").drop("_id" + column)
+    joined = docs.join(plans, C.row_key() == F.col("_id" + column), "left").drop("_id" + column)
     passed, place = list(docs.columns), docs.columns.index("text")
 
     def run(batches):

@@ -269,3 +269,18 @@ def test_stages_keep_the_columns(docs, labels):
     assert jaccard_join.keep_one(docs).columns == docs.columns
     assert quality.keep_good(docs, labels).columns == docs.columns
     assert pii.replace(docs).columns == docs.columns
+
+
+def test_null_and_repeated_ids_pass_every_stage(spark):
+    rng = random.Random(12)
+    a, b, c, d, leak = (prose(rng, 80) for _ in range(5))
+    mail = prose(rng, 60) + " ann@x.org"
+    rows = [(None, a), (None, b), (5, b), (7, c), (7, c), (7, d), (None, mail), (None, None), (8, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect())
+    assert kept == collections.Counter([(8, a), (5, b), (7, c), (7, d), (None, mail), (None, None)])
+    leaks = spark.createDataFrame([(None, leak), (None, a), (3, leak), (3, b), (4, None)], "doc_id long, text string")
+    clean = decontamination.keep_clean(leaks, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert collections.Counter((r.doc_id, r.text) for r in clean.collect()) == collections.Counter([(None, a), (3, b), (4, None)])
+    replaced = pii.replace(df, count="n").collect()
+    assert len(replaced) == len(rows) and sum(r.n for r in replaced) == 1 and not any("ann@x.org" in (r.text or "") for r in replaced)
