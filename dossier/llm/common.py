@@ -50,6 +50,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, path: str, form: str, **options) -> None:
+    """Write ``df`` to ``path`` and drop the shuffle files of the job, as later jobs read the files alone."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.format(form).options(**options).save(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def row_key():
     """One number per doc_id and text, for rows whose doc_id may be NULL or repeated."""
     given, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
