@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import bpe, compact_windows, decontamination, fingerprint, jaccard_join, language, pii, prefix_trie, quality, quotations, suffix_dedup, token_files
+from . import bpe, collocations, compact_windows, decontamination, fingerprint, jaccard_join, language, pii, prefix_trie, quality, quotations, suffix_dedup, token_files
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(C.table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(C.table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(C.table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_fingerprint, op3_compact_windows, op4_suffix_dedup, op5_quotations, op6_pii_surrogates,
-        op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles, op12_token_files, op13_prefix_trie,
+        op7_compression_quality, op8_bpe, op9_jaccard_join, op10_language_profiles, op11_collocations, op12_token_files, op13_prefix_trie,
     )
 }
-ORACLES: dict[str, str] = {"op13_prefix_trie": prefix_trie.conversation_trie_sql()}
+ORACLES: dict[str, str] = {
+    "op11_collocations": collocations.collocations_sql(),
+    "op13_prefix_trie": prefix_trie.conversation_trie_sql(),
+}
