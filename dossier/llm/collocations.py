@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
-#: Text and words of a shard; a task holds one shard at about 60 bytes a word.
+#: Text and words of a shard; a task holds one shard at about 45 bytes a word.
 SHARD_BYTES = 24 << 20
 SHARD_WORDS = 4_000_000
 PIECE = 4 << 20
@@ -32,11 +32,9 @@ class Shard:
     """Words of some documents as numbers, with their language and whether the next word is in the same piece."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
-        self.langs: dict[str, int] = {}
+        self.number: dict[tuple[str, str], int] = {}
         self.hashes: list[int] = []
         self.codes: list[np.ndarray] = []
-        self.lang: list[np.ndarray] = []
         self.joined: list[np.ndarray] = []
         self.size = self.weight = 0
 
@@ -56,18 +54,26 @@ class Shard:
         piece = np.cumsum(stop)[start] + row
         bounds = np.r_[0, np.cumsum(end - start)].astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(C._LOWER[data[inside]])).dictionary_encode()
-        known = []
-        for w in words.dictionary.to_pylist():
-            at = self.number.get(w)
+        # a word of one language is another number than the same word of the next
+        lang, named = pd.factorize(np.array(langs, object))
+        own, pairs = pd.factorize(lang[row] * len(words.dictionary) + words.indices.to_numpy())
+        distinct, known = words.dictionary.to_pylist(), []
+        for pair in pairs.tolist():
+            word = named[pair // len(distinct)], distinct[pair % len(distinct)]
+            at = self.number.get(word)
             if at is None:
-                at = self.number[w] = len(self.hashes)
-                self.hashes.append(xxhash.xxh3_64_intdigest(w))
+                at = self.number[word] = len(self.hashes)
+                self.hashes.append(xxhash.xxh3_64_intdigest(word[1], xxhash.xxh3_64_intdigest(word[0])))
             known.append(at)
-        self.codes.append(np.array(known, np.int32)[words.indices.to_numpy()])
-        self.lang.append(np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)[row])
+        self.codes.append(np.array(known, np.int32)[own])
         self.joined.append(np.r_[piece[1:] == piece[:-1], False])
         self.size += len(start)
 
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.codes) > 1:
+            self.codes, self.joined = [np.concatenate(self.codes)], [np.concatenate(self.joined)]
+        return self.codes[0], self.joined[0]
+
     def phrases(self, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Kept phrases by length: words, places of first occurrence, counts and hashes.
 
@@ -77,33 +83,35 @@ class Shard:
         """
         if not self.size:
             return
-        codes, lang, joined = np.concatenate(self.codes), np.concatenate(self.lang), np.concatenate(self.joined)
-        word_hash = np.array(self.hashes, U)
-        lang_hash = np.array([xxhash.xxh3_64_intdigest(x, 1) for x in self.langs], U)
-        at = np.arange(len(codes))
-        key = lang.astype(np.int64) * len(word_hash) + codes
-        number, hashed = None, None
+        codes, joined = self.whole()
+        hashed = np.array(self.hashes, U)
+        at, key = np.arange(len(codes), dtype=np.int32), codes
+        number = np.empty(len(codes), np.int32)
         for k in range(1, longest + 1):
             if k > 1:
                 more = number[:-1] >= 0
                 more &= number[1:] >= 0
                 if k == 2:
                     more &= joined[:-1]
-                at = np.flatnonzero(more)
-                key = number[at] * len(hashed) + number[at + 1]
+                at = np.flatnonzero(more).astype(np.int32)
+                key = number[at].astype(np.int64) * len(hashed)
+                key += number[at + 1]
             if not len(at):
                 return
-            own, _ = pd.factorize(key)
-            count = np.bincount(own)
-            first = np.empty(len(count), np.int64)
-            first[own[::-1]] = at[::-1]
+            # equal keys side by side, each run in the order of the text
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            at = at[order]
+            del key, order
+            count, first = np.diff(np.r_[start, len(at)]), at[start]
             if k == 1:
-                h = C.mix(word_hash[codes[first]] + C.mix(lang_hash[lang[first]]))
+                h = hashed[codes[first]]
             else:
                 h = C.mix(hashed[number[first]] * U(0x9E3779B97F4A7C15) + C.mix(hashed[number[first + 1]]))
             kept = keep(h, count)
-            number = np.full(len(codes), -1, np.int64)
-            number[at] = np.where(kept, np.cumsum(kept) - 1, -1)[own]
+            number = np.full(len(codes), -1, np.int32)
+            number[at] = np.repeat(np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32), count)
             hashed = h[kept]
             yield k, first[kept], count[kept], hashed
 
@@ -111,17 +119,17 @@ class Shard:
         """Counts of marked phrases, and per language all words (phrase NULL)."""
         if not self.size:
             return
-        codes, lang = np.concatenate(self.codes), np.concatenate(self.lang)
-        words, langs = pa.array(list(self.number), pa.large_string()), pa.array(list(self.langs), pa.string())
-        total = np.bincount(lang, minlength=len(self.langs))
-        nothing = pa.nulls(len(self.langs), pa.string())
-        yield pa.RecordBatch.from_arrays([langs, nothing, pa.array(np.zeros(len(self.langs), np.int32)), pa.array(total.astype(np.int64))], _COUNTED)
+        codes, _ = self.whole()
+        each = pd.Series(np.bincount(codes, minlength=len(self.number))).groupby([x for x, _ in self.number]).sum()
+        names = pa.array(each.index.tolist(), pa.string())
+        yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(each.to_numpy(np.int64))], _COUNTED)
+        langs, words = pa.array([x for x, _ in self.number], pa.string()), pa.array([w for _, w in self.number], pa.large_string())
         for k, first, count, _ in self.phrases(lambda h, _: is_marked(marked, h), longest):
             for a in range(0, len(first), 100_000):
                 at = first[a : a + 100_000]
                 texts = [words.take(pa.array(codes[at + i])) for i in range(k)]
                 phrase = pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())) if k > 1 else texts[0]
-                columns = [langs.take(pa.array(lang[at])), phrase.cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(count[a : a + 100_000].astype(np.int64))]
+                columns = [langs.take(pa.array(codes[at])), phrase.cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(count[a : a + 100_000].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, _COUNTED)
 
 
