@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,6 +29,13 @@ STRIDE = 1000
 FALSE_HITS = 0.01
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_LINE = np.zeros(256, bool)
+_LINE[9:14] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# ASCII marks but the apostrophe, which may begin a pre-token with the letters after it
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
 # other white space (and controls some engines count as such): texts with these are encoded whole
 _RARE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf"
 
@@ -39,10 +47,11 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """The library's encoder behind a memory of chunks (white space and the word after it).
+    """The library's encoder behind a memory of chunks (a word or marks, with the white space before).
 
-    Pre-tokens never cross from a word into the white space after it, so a text may be cut there.
-    Texts with special tokens or white space beyond ASCII are handed to the library whole.
+    Pre-tokens never cross from a word into white space or marks after it, nor from a single line
+    end into a word, so a text may be cut there. Texts with special tokens or white space beyond ASCII are
+    handed to the library whole.
     """
 
     def __init__(self, path: str):
@@ -64,13 +73,16 @@ class Encoder:
         """Numbers of distinct chunks in the memory; new ones are encoded by the library."""
         fresh = [c for c in chunks if c not in self.known]
         if fresh:
-            got = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.array([len(x) for x in got], np.int64)
-            flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
+            flat, sizes = array("i"), []
+            for e in self.library.encode_batch_fast(fresh, add_special_tokens=False):
+                ids = e.ids
+                flat.extend(ids)
+                sizes.append(len(ids))
+            size = np.array(sizes, np.int64)
             self.known.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh))))
             self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
             self.size = np.r_[self.size, size]
-            self.ids = np.r_[self.ids, flat]
+            self.ids = np.r_[self.ids, np.frombuffer(flat, np.int32)]
             self.held += sum(map(len, fresh)) + 150 * len(fresh)
         return np.array([self.known[c] for c in chunks], np.int64)
 
@@ -79,8 +91,11 @@ class Encoder:
         if self.held > REMEMBERED:
             self.forget()
         n, rows = len(data), len(offs) - 1
-        cut = _WHITE[data]
-        cut[1:] &= ~cut[:-1]
+        white = _WHITE[data]
+        cut = white.copy()
+        cut[1:] &= ~white[:-1]
+        cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+        cut[2:] |= ~white[:-2] & _LINE[data[1:-1]] & ~white[2:]
         cut[offs[:-1][offs[:-1] < n]] = True
         start = np.flatnonzero(cut)
         chunks = pa.LargeStringArray.from_buffers(

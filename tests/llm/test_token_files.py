@@ -12,7 +12,7 @@ from dossier.llm import token_files
 public_tokenizers = pytest.importorskip("public_tokenizers")
 ODD = [
     "", None, " ", "  \n\t ", "a  b   c", "don't we'll it's 'quoted'", "x y　z", "tab\tnew\r\n  line", "end  ", "<|endoftext|>", "a <|endoftext|> b<|endof",
-    "Größe é  à", "\u0085next line", "a\x1c b\x1d  c", "你好 世界 １２３", "🤷‍♂️🏽 !!! ...", "\u0000\u0001", "x" * 3000, "12345 67", "a​ b", "＇s 's",
+    "Größe é  à", "\u0085next line", "a\x1c b\x1d  c", "one,two (x) _y_ it's-a.b\nNext\n\nLine \nz", "你好 世界 １２３", "🤷‍♂️🏽 !!! ...", "\u0000\u0001", "x" * 3000, "12345 67", "a​ b", "＇s 's",
 ]
 
 
