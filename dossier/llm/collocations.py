@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,9 +17,10 @@ from . import common as C
 
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Text and words of a shard; a task holds one shard at about 45 bytes a word.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 SHARD_WORDS = 4_000_000
 PIECE = 4 << 20
+ROWS = 500
 #: Bits of the map that marks locally frequent phrases: 16 MB whatever the input.
 BITS = 1 << 27
 U = np.uint64
@@ -32,8 +34,8 @@ class Shard:
     """Words of some documents as numbers, with their language and whether the next word is in the same piece."""
 
     def __init__(self):
-        self.number: dict[tuple[str, str], int] = {}
-        self.hashes: list[int] = []
+        self.number: dict[str, dict[str, int]] = {}
+        self.hashes = array("Q")
         self.codes: list[np.ndarray] = []
         self.joined: list[np.ndarray] = []
         self.size = self.weight = 0
@@ -51,19 +53,20 @@ class Shard:
         if not len(start):
             return
         row = np.searchsorted(offs, start, "right") - 1
-        piece = np.cumsum(stop)[start] + row
+        piece = np.cumsum(stop, dtype=np.int32)[start] + row
         bounds = np.r_[0, np.cumsum(end - start)].astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(C._LOWER[data[inside]])).dictionary_encode()
         # a word of one language is another number than the same word of the next
         lang, named = pd.factorize(np.array(langs, object))
         own, pairs = pd.factorize(lang[row] * len(words.dictionary) + words.indices.to_numpy())
         distinct, known = words.dictionary.to_pylist(), []
+        tables = [(self.number.setdefault(x, {}), xxhash.xxh3_64_intdigest(x)) for x in named.tolist()]
         for pair in pairs.tolist():
-            word = named[pair // len(distinct)], distinct[pair % len(distinct)]
-            at = self.number.get(word)
+            (table, seed), word = tables[pair // len(distinct)], distinct[pair % len(distinct)]
+            at = table.get(word)
             if at is None:
-                at = self.number[word] = len(self.hashes)
-                self.hashes.append(xxhash.xxh3_64_intdigest(word[1], xxhash.xxh3_64_intdigest(word[0])))
+                at = table[word] = len(self.hashes)
+                self.hashes.append(xxhash.xxh3_64_intdigest(word, seed))
             known.append(at)
         self.codes.append(np.array(known, np.int32)[own])
         self.joined.append(np.r_[piece[1:] == piece[:-1], False])
@@ -84,7 +87,7 @@ class Shard:
         if not self.size:
             return
         codes, joined = self.whole()
-        hashed = np.array(self.hashes, U)
+        hashed = np.frombuffer(self.hashes, U)
         at, key = np.arange(len(codes), dtype=np.int32), codes
         number = np.empty(len(codes), np.int32)
         for k in range(1, longest + 1):
@@ -120,16 +123,19 @@ class Shard:
         if not self.size:
             return
         codes, _ = self.whole()
-        each = pd.Series(np.bincount(codes, minlength=len(self.number))).groupby([x for x, _ in self.number]).sum()
-        names = pa.array(each.index.tolist(), pa.string())
-        yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(each.to_numpy(np.int64))], _COUNTED)
-        langs, words = pa.array([x for x, _ in self.number], pa.string()), pa.array([w for _, w in self.number], pa.large_string())
+        words, langs = [""] * len(self.hashes), np.zeros(len(self.hashes), np.int32)
+        for i, table in enumerate(self.number.values()):
+            for word, at in table.items():
+                words[at], langs[at] = word, i
+        names, words = pa.array(list(self.number), pa.string()), pa.array(words, pa.large_string())
+        each = np.bincount(langs[codes], minlength=len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(each)], _COUNTED)
         for k, first, count, _ in self.phrases(lambda h, _: is_marked(marked, h), longest):
             for a in range(0, len(first), 100_000):
                 at = first[a : a + 100_000]
                 texts = [words.take(pa.array(codes[at + i])) for i in range(k)]
                 phrase = pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())) if k > 1 else texts[0]
-                columns = [langs.take(pa.array(codes[at])), phrase.cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(count[a : a + 100_000].astype(np.int64))]
+                columns = [names.take(pa.array(langs[codes[at]])), phrase.cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), pa.array(count[a : a + 100_000].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, _COUNTED)
 
 
@@ -145,13 +151,15 @@ def shards(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Shard]:
     """The documents of a task as shards of at least ``words`` words (the last one: what is left)."""
     shard = Shard()
     for batch in batches:
-        data, offs = C.buffers(batch.column("text"))
-        langs = batch.column("lang").to_pylist()
-        for a, b in C.pieces(offs, PIECE):
-            shard.add(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], langs[a:b])
-            if shard.size >= words:
-                yield shard
-                shard = Shard()
+        for begin in range(0, len(batch), ROWS):
+            some = batch.slice(begin, ROWS)
+            data, offs = C.buffers(some.column("text"))
+            langs = some.column("lang").to_pylist()
+            for a, b in C.pieces(offs, PIECE):
+                shard.add(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], langs[a:b])
+                if shard.size >= words:
+                    yield shard
+                    shard = Shard()
     yield shard
 
 
