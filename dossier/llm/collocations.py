@@ -19,6 +19,10 @@ SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Text and words of a shard; a task holds one shard at about 45 bytes a word.
 SHARD_BYTES = 16 << 20
 SHARD_WORDS = 4_000_000
+#: Words counted at once in the last pass, where the size of a shard does not matter.
+COUNTED_WORDS = 1_000_000
+#: Occurrences from which a shard reports a phrase, where its share of the support is not less.
+LOCAL = 2
 PIECE = 4 << 20
 ROWS = 500
 #: Bits of the map that marks locally frequent phrases: 16 MB whatever the input.
@@ -77,10 +81,10 @@ class Shard:
             self.codes, self.joined = [np.concatenate(self.codes)], [np.concatenate(self.joined)]
         return self.codes[0], self.joined[0]
 
-    def phrases(self, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def phrases(self, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Kept phrases by length: words, places of first occurrence, counts and hashes.
 
-        ``keep`` decides by hash and count. A phrase is counted only where both phrases of one
+        ``keep`` decides by length, hash and count. A phrase is counted only where both phrases of one
         word less are kept, as none occurs more often than its parts. Numbers of phrases are exact:
         a phrase is the pair of its two parts.
         """
@@ -112,7 +116,7 @@ class Shard:
                 h = hashed[codes[first]]
             else:
                 h = C.mix(hashed[number[first]] * U(0x9E3779B97F4A7C15) + C.mix(hashed[number[first + 1]]))
-            kept = keep(h, count)
+            kept = keep(k, h, count)
             number = np.full(len(codes), -1, np.int32)
             number[at] = np.repeat(np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32), count)
             hashed = h[kept]
@@ -130,7 +134,7 @@ class Shard:
         names, words = pa.array(list(self.number), pa.string()), pa.array(words, pa.large_string())
         each = np.bincount(langs[codes], minlength=len(names)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(each)], _COUNTED)
-        for k, first, count, _ in self.phrases(lambda h, _: is_marked(marked, h), longest):
+        for k, first, count, _ in self.phrases(lambda k, h, count: is_marked(marked, h), longest):
             for a in range(0, len(first), 100_000):
                 at = first[a : a + 100_000]
                 texts = [words.take(pa.array(codes[at + i])) for i in range(k)]
@@ -163,43 +167,70 @@ def shards(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Shard]:
     yield shard
 
 
-def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_words: int = SHARD_WORDS, bits: int = BITS) -> DataFrame:
+def _mark(own: DataFrame, marked: np.ndarray, levels: range, support: int, weight: int, shard_words: int, local: int) -> np.ndarray:
+    """The map with the phrases of some lengths added that may reach the support.
+
+    Every shard mines its phrases of at least ``least`` occurrences completely and hands on how far
+    each exceeds ``least`` - 1; shards that say nothing of a phrase hold that many at most. So a
+    phrase stays possible while its excess and the sum of all ``least`` - 1 reach the support.
+    """
+    known = own.sparkSession.sparkContext.broadcast(marked)
+
+    def mine(batches):
+        for shard in shards(batches, shard_words):
+            # the proportional share of the support, or less of it: smaller counts bound the total better
+            least = max(1, min(local, -(-support * shard.weight // max(weight, 1))))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([least - 1])], ["h", "more"])
+
+            def keep(k, h, count):
+                return count >= least if k >= levels.start else is_marked(known.value, h)
+
+            for k, _, count, h in shard.phrases(keep, levels.stop - 1):
+                if k >= levels.start:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count.astype(np.int64) - (least - 1))], ["h", "more"])
+
+    bounds = C.stored(own.mapInArrow(mine, "h long, more long").groupBy("h").agg(F.sum("more").alias("more")), "phrase-bounds")
+    slack = bounds.where("h is null").agg(F.sum("more")).first()[0] or 0
+    bits = len(marked) * 8
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1)) + 1
+    possible = bounds.where("h is not null").where(F.col("more") >= support - slack).select(bit.alias("bit"))
+    maps = possible.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    out = np.zeros(max(len(marked), 4096), np.uint8)
+    # as many rows as the map has stretches of 4096 bytes
+    for r in maps.collect():
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.map, np.uint8)
+    return out[: len(marked)] | marked
+
+
+def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_words: int = SHARD_WORDS, bits: int = BITS, local: int = LOCAL) -> DataFrame:
     """Exact counts of all phrases of up to ``longest`` words that occur ``support`` times in a language.
 
     Out: lang, phrase, k, f; phrase NULL with k 0 counts all words of the language. A shard holding
-    the share w of all text mines every phrase that occurs at least w * support times in it: a phrase
-    of full support reaches that in one shard at least. The union over the shards is kept as a map
-    of ``bits`` hash bits (fixed size; a clash only brings one more phrase to count). The second pass
-    counts the marked phrases of every shard, and the sums decide.
+    the share w of all text mines every phrase that occurs at least w * support times in it, or
+    ``local`` times where that is less: first words and pairs, then longer phrases whose pairs are
+    all possible. The union over the shards is kept as a map of ``bits`` hash bits (fixed size; a
+    clash only brings one more phrase to count). The last pass counts the marked phrases of every
+    shard, and the sums decide.
     """
-    spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     weight = int(own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     # large shards keep the local support high: as many as the memory of a task asks for, or the cores
-    own = own.coalesce(max(1, -(-weight // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, -(-weight // PIECE))))
-
-    def mine(batches):
-        for shard in shards(batches, shard_words):
-            least = max(1, -(-support * shard.weight // max(weight, 1)))
-            found = [h for _, _, _, h in shard.phrases(lambda _, count: count >= least, longest)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found) & U(bits - 1)).astype(np.int64) + 1)], ["bit"])
-
-    mined = own.mapInArrow(mine, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-    marked = np.zeros(max(bits // 8, 4096), np.uint8)
-    for r in mined.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect():
-        marked[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.map, np.uint8)[: len(marked)]
-    shared = spark.sparkContext.broadcast(marked[: bits // 8])
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    own = own.coalesce(max(1, -(-weight // SHARD_BYTES), min(cores, -(-weight // PIECE))))
+    marked = np.zeros(bits // 8, np.uint8)
+    for levels in (range(1, 3), range(3, longest + 1)):
+        marked = _mark(own, marked, levels, support, weight, shard_words, local)
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
 
     def count(batches):
-        for shard in shards(batches, shard_words):
+        for shard in shards(batches, min(shard_words, COUNTED_WORDS)):
             yield from shard.counts(shared.value, longest)
 
     counted = own.mapInArrow(count, "lang string, phrase string, k int, f long")
     return C.stored(counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(f"k = 0 or f >= {int(support)}"), "phrases")
 
 
-def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int | None = TOP, shard_words: int = SHARD_WORDS, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int | None = TOP, shard_words: int = SHARD_WORDS, bits: int = BITS, local: int = LOCAL) -> DataFrame:
     """The best phrases of every language by how far they exceed their parts.
 
     In: lang (NULL: ``und``), text (NULL: empty); other columns are ignored, repeated rows count
@@ -211,7 +242,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     (None: all). Long texts are one row of any length; an empty table gives no rows. Products are
     exact up to 38 digits.
     """
-    counted = frequent_phrases(docs, support, longest, shard_words, bits)
+    counted = frequent_phrases(docs, support, longest, shard_words, bits, local)
     known = counted.where("k > 0").select("lang", "phrase", "f")
     phrases = counted.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = phrases.select("lang", "phrase", "a", "w", "k", F.explode(F.expr("sequence(1, k - 1)")).alias("cut")).select(
