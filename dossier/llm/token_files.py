@@ -22,7 +22,10 @@ from . import common as C
 END = 2
 #: Text worked on at once, and chunks remembered by a task before its memory is emptied, in bytes.
 PIECE = 8 << 20
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
+#: Text of a file; small tables are dealt to the cores in files of SMALL_PART bytes at least.
+PART = 64 << 20
+SMALL_PART = 4 << 20
 #: Layout of the files: bytes of a stripe, rows of an index entry, share of false hits of a Bloom filter.
 STRIPE = 16 << 20
 STRIDE = 1000
@@ -71,8 +74,9 @@ class Encoder:
 
     def learn(self, chunks: list[str]) -> np.ndarray:
         """Numbers of distinct chunks in the memory; new ones are encoded by the library."""
-        fresh = [c for c in chunks if c not in self.known]
-        if fresh:
+        numbers = list(map(self.known.get, chunks))
+        if None in numbers:
+            fresh = [c for c, n in zip(chunks, numbers) if n is None]
             flat, sizes = array("i"), []
             for e in self.library.encode_batch_fast(fresh, add_special_tokens=False):
                 ids = e.ids
@@ -84,7 +88,8 @@ class Encoder:
             self.size = np.r_[self.size, size]
             self.ids = np.r_[self.ids, np.frombuffer(flat, np.int32)]
             self.held += sum(map(len, fresh)) + 150 * len(fresh)
-        return np.array([self.known[c] for c in chunks], np.int64)
+            numbers = list(map(self.known.get, chunks))
+        return np.array(numbers, np.int64)
 
     def encode(self, data: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every row, each followed by ``end``: values and row offsets."""
@@ -130,7 +135,10 @@ def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFra
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("n")]
-    dealt = own.withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id()).repartitionByRange(*order)
+    size = int(own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-size // PART), min(cores, -(-size // SMALL_PART)))
+    dealt = own.withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id()).repartitionByRange(parts, *order)
 
     def run(batches):
         encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0

@@ -34,14 +34,16 @@ def test_digests_equal_the_library(spark, monkeypatch):
     rows = [(3 * i - 40, t) for i, t in enumerate(texts)]
     shuffled = rng.sample(rows, len(rows))
     df = spark.createDataFrame([(d, t, "clash", 1) for d, t in shuffled], "doc_id long, text string, ids string, part int")
-    for piece, held in ((8 << 20, 64 << 20), (64, 100)):
+    for piece, held, part in ((8 << 20, 64 << 20, 1 << 20), (64, 100, 1000)):
         monkeypatch.setattr(token_files, "PIECE", piece)
+        monkeypatch.setattr(token_files, "PART", part)
         monkeypatch.setattr(token_files, "REMEMBERED", held)
         got = token_files.token_digests(df.repartition(3)).orderBy("doc_id").collect()
         assert [tuple(r) for r in got] == expected(rows)
 
 
-def test_null_and_repeated_ids_and_empty_tables(spark):
+def test_null_and_repeated_ids_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "PART", 500)
     rows = [(None, "b"), (None, None), (7, "same"), (7, "same"), (7, "other"), (2, "x y")] + [(9, "again and again")] * 300
     got = [tuple(r) for r in token_files.token_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
     sizes = lambda found: sorted((d is not None, d or 0, n, c) for d, _, n, c in found)
@@ -52,7 +54,8 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     assert token_files.token_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_files_prune_by_document(spark, tmp_path):
+def test_files_prune_by_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "PART", 20_000)
     from pyarrow import orc
 
     df = spark.range(6000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
