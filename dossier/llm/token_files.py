@@ -21,10 +21,10 @@ from . import common as C
 #: Id put after every document.
 END = 2
 #: Text worked on at once, and chunks remembered by a task before its memory is emptied, in bytes.
-PIECE = 8 << 20
-REMEMBERED = 128 << 20
+PIECE = 3 << 20
+REMEMBERED = 96 << 20
 #: Text of a file; small tables are dealt to the cores in files of SMALL_PART bytes at least.
-PART = 64 << 20
+PART = 48 << 20
 SMALL_PART = 4 << 20
 #: Layout of the files: bytes of a stripe, rows of an index entry, share of false hits of a Bloom filter.
 STRIPE = 16 << 20
