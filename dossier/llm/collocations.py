@@ -21,6 +21,9 @@ SHARD_BYTES = 16 << 20
 SHARD_WORDS = 4_000_000
 #: Words counted at once in the last pass, where the size of a shard does not matter.
 COUNTED_WORDS = 1_000_000
+#: Text of a task in that pass, and phrases it holds before it hands them on.
+COUNTED_BYTES = 64 << 20
+HELD = 1_000_000
 #: Occurrences from which a shard reports a phrase, where its share of the support is not less.
 LOCAL = 2
 PIECE = 4 << 20
@@ -167,6 +170,26 @@ def shards(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Shard]:
     yield shard
 
 
+def summed(counts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Counts of equal phrases added up, ``most`` phrases at a time, so that few rows are shuffled."""
+    def added() -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).group_by(_COUNTED[:3], use_threads=False).aggregate([("f", "sum")])
+        return table.rename_columns(_COUNTED).to_batches(max_chunksize=100_000)
+
+    held, rows = [], 0
+    for batch in counts:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= most:
+            held = added()
+            rows = sum(map(len, held))
+            if rows >= most // 2:
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from added()
+
+
 def _mark(own: DataFrame, marked: np.ndarray, levels: range, support: int, weight: int, shard_words: int, local: int) -> np.ndarray:
     """The map with the phrases of some lengths added that may reach the support.
 
@@ -216,17 +239,18 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     weight = int(own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     # large shards keep the local support high: as many as the memory of a task asks for, or the cores
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    own = own.coalesce(max(1, -(-weight // SHARD_BYTES), min(cores, -(-weight // PIECE))))
+    least = min(cores, -(-weight // PIECE))
+    mined = own.coalesce(max(1, -(-weight // SHARD_BYTES), least))
     marked = np.zeros(bits // 8, np.uint8)
     for levels in (range(1, 3), range(3, longest + 1)):
-        marked = _mark(own, marked, levels, support, weight, shard_words, local)
+        marked = _mark(mined, marked, levels, support, weight, shard_words, local)
     shared = docs.sparkSession.sparkContext.broadcast(marked)
 
     def count(batches):
-        for shard in shards(batches, min(shard_words, COUNTED_WORDS)):
-            yield from shard.counts(shared.value, longest)
+        found = (c for shard in shards(batches, min(shard_words, COUNTED_WORDS)) for c in shard.counts(shared.value, longest))
+        yield from summed(found, HELD)
 
-    counted = own.mapInArrow(count, "lang string, phrase string, k int, f long")
+    counted = own.coalesce(max(1, -(-weight // COUNTED_BYTES), least)).mapInArrow(count, "lang string, phrase string, k int, f long")
     return C.stored(counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(f"k = 0 or f >= {int(support)}"), "phrases")
 
 

@@ -54,7 +54,8 @@ def rows(seed=1):
 
 
 @pytest.mark.parametrize("support,top,words,bits,local", [(20, 2000, 4_000_000, 1 << 27, 2), (20, 7, 50, 1 << 27, 2), (20, 2000, 900, 1 << 20, 99), (5, 2000, 300, 1 << 15, 2), (1, 30, 500, 1 << 20, 1)])
-def test_equal_to_counting_everything(spark, support, top, words, bits, local):
+def test_equal_to_counting_everything(spark, support, top, words, bits, local, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 60 if words < 1000 else 1_000_000)
     given = rows()
     df = spark.createDataFrame(given, SCHEMA).repartition(5)
     got = collocations.collocations(df, support, top=top, shard_words=words, bits=bits, local=local).collect()
