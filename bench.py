@@ -21,7 +21,7 @@ from dossier.plans import catalog
 HEADLINE = [
     "a1_reports_per_theme", "a3_author_search", "a4_theme_coverage",
     "d1_identity_merge", "d3_reference_disposition", "d8_tags_in_order",
-    "e2_latest_industry", "e6_exact_names", "e8_code_routing", "e12_bridge_vote",
+    "e2_latest_industry", "e6_exact_names", "e7_fuzzy_names", "e8_code_routing", "e12_bridge_vote",
     "f1_report_list", "f4_current_projection", "f7_theme_reports", "f17_theme_detail",
     "n1_normalize_title", "n3_normalize_company_name", "n5_clean_markdown", "n6_anchor_publish_date",
     "n13_chunk_bodies", "r1_index_build", "r2_conjunctive_match", "s6_search_references",

@@ -78,6 +78,7 @@ CHUNK_CHARS = 26_000
 CHUNK_OVERLAP = 1_000
 FUZZY_RATIO = 0.85
 NEAR_RATIO = 0.5
+NEAR_BANDS = [0.75, 0.65, 0.5]
 NEAR_HINTS = 3
 INFERRED_HINTS = 5
 BRIDGE_SHARE = 0.6

@@ -8,7 +8,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -56,9 +56,13 @@ def _least_overlap(length: Column, threshold: float) -> Column:
     return F.ceil(length * (threshold / (2 - threshold)) - 1e-9).cast("int")
 
 
-def similar_pairs(names: DataFrame, dictionary: DataFrame, threshold: float) -> DataFrame:
+def similar_pairs(
+    names: DataFrame, dictionary: DataFrame, threshold: float, scored: Observation | None = None
+) -> DataFrame:
     """All (name, entry, score) with score >= threshold, over distinct keys; nothing is missed.
 
+    ``scored`` observes how many pairs were compared letter by letter (pairs).
+
     ratio = 2M / (|a|+|b|) and M never exceeds the number of shared characters, so a pair at or
     above the threshold has similar lengths and shares a character among the rarest few of both
     (prefix filter). The join key also carries the length of the entry: only lengths that can
@@ -104,6 +108,8 @@ def similar_pairs(names: DataFrame, dictionary: DataFrame, threshold: float) ->
     spread = (
         met.select("name", "entry").repartition(slots, "name", "entry").sortWithinPartitions("entry")
     )
+    if scored is not None:
+        spread = spread.observe(scored, F.count(F.lit(1)).alias("pairs"))
     return spread.select(
         "name", "entry", similarity(F.col("name"), F.col("entry")).alias("score")
     ).where(F.col("score") >= threshold)
@@ -127,24 +133,34 @@ def exact_stage(names: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, Dat
     return verdicts, candidates
 
 
-def fuzzy_stage(names: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fuzzy_stage(
+    names: DataFrame,
+    dictionary: DataFrame,
+    hints: int | None,
+    work: list[dict] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(verdicts, candidates) of names without an exact entry.
 
     The score of a code is its best over all its names. One code at 0.85 or more -> resolved,
-    several -> multi_candidate; none -> no_hit with the three nearest codes above 0.5.
+    several -> multi_candidate; none -> no_hit with the nearest ``hints`` codes above 0.5 (None:
+    all of them). The search for hints is best first: at thresholds that fall from 0.75 to 0.5 a
+    name leaves once it has its hints, as whatever is left scores lower. ``work`` receives a row
+    per threshold: names asked and pairs scored.
     """
     names, dictionary = cut_lineage(names, "names"), cut_lineage(dictionary, "name-dictionary")
-    keys = dictionary.select("key").distinct()
+    keys = cut_lineage(dictionary.select("key").distinct(), "name-keys")
     codes = dictionary.withColumnRenamed("key", "entry")
 
-    def best_codes(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-        return (
-            pairs.join(entries, "entry")
-            .groupBy(F.col("name").alias("key"), "code")
-            .agg(F.max("score").alias("score"))
-        )
+    def best_codes(left: DataFrame, threshold: float, entries: DataFrame) -> DataFrame:
+        seen = Observation()
+        pairs = similar_pairs(left, keys, threshold, seen).join(entries, "entry")
+        best = pairs.groupBy(F.col("name").alias("key"), "code").agg(F.max("score").alias("score"))
+        best = cut_lineage(best, "fuzzy-hits")
+        if work is not None:
+            work.append({"threshold": threshold, "names": left.count(), "pairs": seen.get["pairs"]})
+        return best
 
-    hits = cut_lineage(best_codes(similar_pairs(names, keys, K.FUZZY_RATIO), codes), "fuzzy-hits")
+    hits = best_codes(names, K.FUZZY_RATIO, codes)
     per_name = hits.groupBy("key").agg(F.count("*").alias("n"), F.min("code").alias("code"))
     found = per_name.select(
         "key",
@@ -153,31 +169,44 @@ def fuzzy_stage(names: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, Dat
     )
     several = hits.join(found.where("reason IS NOT NULL").select("key"), "key", "left_semi")
 
-    missed = names.join(per_name, "key", "left_anti")
-    # three codes per entry are enough: a fourth one cannot be among the three nearest
-    first_codes = (
-        codes.withColumn("r", F.row_number().over(W.partitionBy("entry").orderBy("code")))
-        .where(F.col("r") <= K.NEAR_HINTS)
-        .drop("r")
-    )
-    near = best_codes(similar_pairs(missed, keys, K.NEAR_RATIO), first_codes).where(
-        F.col("score") > K.NEAR_RATIO
-    )
+    missed = cut_lineage(names.join(per_name, "key", "left_anti"), "names-missed")
+    listed, left = several, missed
+    if hints is None:
+        entries, bands = codes, [K.NEAR_RATIO]
+    else:
+        # as many codes per entry are enough: a further one cannot be among the nearest
+        in_entry = W.partitionBy("entry").orderBy("code")
+        entries = codes.withColumn("r", F.row_number().over(in_entry)).where(F.col("r") <= hints).drop("r")
+        bands = K.NEAR_BANDS
     nearest = W.partitionBy("key").orderBy(F.desc("score"), "code")
-    hints = near.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= K.NEAR_HINTS)
+    for threshold in bands:
+        near = best_codes(left, threshold, entries)
+        if threshold == bands[-1]:
+            near = near.where(F.col("score") > K.NEAR_RATIO)
+        else:
+            settled = near.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= hints).select("key")
+            near = near.join(settled, "key", "left_semi")
+            left = cut_lineage(left.join(settled, "key", "left_anti"), "names-missed")
+        if hints is not None:
+            near = near.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= hints).drop("r")
+        listed = listed.unionByName(near)
     no_hit = missed.select(
         "key", F.lit(None).cast("string").alias("code"), F.lit("no_hit").alias("reason")
     )
-    candidates = several.unionByName(hints.drop("r")).withColumn("score", F.round("score", 3))
-    return found.unionByName(no_hit), candidates
+    return found.unionByName(no_hit), listed.withColumn("score", F.round("score", 3))
 
 
-def resolve_names(names: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exact stage, then the fuzzy stage for what is left; an empty key is a no_hit."""
+def resolve_names(
+    names: DataFrame, dictionary: DataFrame, hints: int | None, work: list[dict] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Exact stage, then the fuzzy stage for what is left; an empty key is a no_hit.
+
+    ``hints`` and ``work`` as in ``fuzzy_stage``.
+    """
     filled = names.where("key <> ''").distinct()
     exact, exact_candidates = exact_stage(filled, dictionary)
     rest = filled.join(exact, "key", "left_anti")
-    fuzzy, fuzzy_candidates = fuzzy_stage(rest, dictionary)
+    fuzzy, fuzzy_candidates = fuzzy_stage(rest, dictionary, hints, work)
     empty = names.where("key = ''").distinct().select(
         "key", F.lit(None).cast("string").alias("code"), F.lit("no_hit").alias("reason")
     )
@@ -221,9 +250,9 @@ def route_mentions(
 
 
 def inferred_candidates(
-    routed: DataFrame, verdicts: DataFrame, candidates: DataFrame
+    routed: DataFrame, verdicts: DataFrame, candidates: DataFrame, hints: int | None
 ) -> DataFrame:
-    """Up to five hints per distinct (key, inferred code).
+    """The first ``hints`` hints per distinct (key, inferred code); None: all of them.
 
     The own code leads if the master knows it and the name did not already bring it; an
     automatic hit of the name counts 1.0; then the hints of the name in their order.
@@ -240,13 +269,10 @@ def inferred_candidates(
     ).drop("reason")
     by_name = automatic.withColumn("place", F.lit(0.0)).unionByName(listed)
     in_list = W.partitionBy("key").orderBy("place", "code")
-    # five per key are enough for a list of five
-    short = (
-        by_name.withColumn("rank", F.row_number().over(in_list))
-        .where(F.col("rank") <= K.INFERRED_HINTS)
-        .drop("place")
-    )
-    hints = asked.join(short, "key").select("key", "raw_code", "code", "score", "rank")
+    short = by_name.withColumn("rank", F.row_number().over(in_list)).drop("place")
+    if hints is not None:
+        short = short.where(F.col("rank") <= hints)
+    from_name = asked.join(short, "key").select("key", "raw_code", "code", "score", "rank")
     # whether the name already brought the own code is asked of the whole list
     own = (
         asked.where("in_master")
@@ -254,11 +280,8 @@ def inferred_candidates(
         .select("key", "raw_code", F.col("raw_code").alias("code"), F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
     )
     per_mention = W.partitionBy("key", "raw_code").orderBy("rank")
-    return (
-        hints.unionByName(own)
-        .withColumn("rank", F.row_number().over(per_mention))
-        .where(F.col("rank") <= K.INFERRED_HINTS)
-    )
+    listed = from_name.unionByName(own).withColumn("rank", F.row_number().over(per_mention))
+    return listed if hints is None else listed.where(F.col("rank") <= hints)
 
 
 def reuse_decisions(routed: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.text import normalize_name
 from ..operators import master, resolve
 from ..session import cut_lineage
@@ -171,7 +172,48 @@ def exact_names(t):
     )
 
 
-@query("e7_fuzzy_names")
+def _letters(c):
+    """How often each letter and digit occurs in a key."""
+    return f"list_transform(range(1, 37), lambda i: length({c}) - length(replace({c}, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', i, 1), '')))"
+
+
+# the longest common block of a and b, the first in a (place negated), as (k, i); the first in b is found from it
+_BLOCK = """list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(
+  list_filter(range(1, length(a) - i + 2), lambda k: contains(b, substr(a, i, k))), lambda k: struct_pack(k := k, i := -i)))))"""
+
+
+def _ratio_sql(name, pairs):
+    """(key, entry, score): blocks are matched longest first, then left and right of the block."""
+    return f"""{name}_seg AS (SELECT key, entry, key AS a, entry AS b, {_BLOCK} AS m FROM (SELECT *, key AS a, entry AS b FROM {pairs}) UNION ALL
+  SELECT key, entry, a, b, {_BLOCK} FROM (SELECT key, entry, p.a AS a, p.b AS b FROM (SELECT key, entry, unnest([
+      struct_pack(a := left(a, -m.i - 1), b := left(b, strpos(b, substr(a, -m.i, m.k)) - 1)),
+      struct_pack(a := substr(a, -m.i + m.k), b := substr(b, strpos(b, substr(a, -m.i, m.k)) + m.k))]) AS p FROM {name}_seg WHERE m IS NOT NULL)
+    WHERE p.a <> '' AND p.b <> '')),
+ {name} AS (SELECT key, entry, 2.0 * sum(coalesce(m.k, 0)) / (length(key) + length(entry)) AS score FROM {name}_seg GROUP BY key, entry)"""
+
+
+@query(
+    "e7_fuzzy_names",
+    f"""WITH RECURSIVE {_DICT_SQL}, asked AS (SELECT DISTINCT {_PART_KEY.format("p_name || 's ' || p_brand")} AS key FROM part
+   UNION SELECT DISTINCT {_PART_KEY.format("c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR)")} FROM customer),
+ exact AS (SELECT key, count(*) AS n, min(code) AS code FROM asked JOIN dict USING (key) GROUP BY key),
+ names AS (SELECT key, {_letters("key")} AS v FROM asked WHERE key <> '' AND key NOT IN (SELECT key FROM exact)),
+ entries AS (SELECT key AS entry, {_letters("key")} AS w FROM (SELECT DISTINCT key FROM dict)),
+ bounds AS (SELECT key, entry, 2.0 * (length(key) + length(entry) - (list_sum(list_transform(range(1, 37), lambda i: abs(v[i] - w[i]))))) / 2 / (length(key) + length(entry)) AS most
+   FROM names, entries),
+ likely AS (SELECT key, entry FROM bounds WHERE most >= 0.85), {_ratio_sql("high", "likely")},
+ hits AS (SELECT h.key, d.code, max(score) AS score FROM high h JOIN dict d ON d.key = h.entry WHERE score >= 0.85 GROUP BY h.key, d.code),
+ missed AS (SELECT key FROM names WHERE key NOT IN (SELECT key FROM hits)),
+ possible AS (SELECT key, entry FROM bounds WHERE most > 0.5 AND key IN (SELECT key FROM missed)), {_ratio_sql("low", "possible")},
+ near AS (SELECT key, code, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, code) AS r
+   FROM (SELECT l.key, d.code, max(score) AS score FROM low l JOIN dict d ON d.key = l.entry WHERE score > 0.5 GROUP BY l.key, d.code)) WHERE r <= 3),
+ per AS (SELECT key, count(*) AS n, min(code) AS code FROM hits GROUP BY key)
+ SELECT key, CASE WHEN n = 1 THEN code ELSE '' END AS code, CASE WHEN n = 1 THEN '' ELSE 'multi_candidate' END AS reason, 1.0::DOUBLE AS score FROM (FROM exact UNION ALL FROM per)
+ UNION ALL SELECT key, '', 'no_hit', 1.0 FROM missed
+ UNION ALL SELECT key, d.code, 'candidate', 1.0 FROM exact e JOIN dict d USING (key) WHERE n > 1
+ UNION ALL SELECT key, h.code, 'candidate', round(score, 3) FROM hits h JOIN per USING (key) WHERE n > 1
+ UNION ALL SELECT key, code, 'candidate', round(score, 3) FROM near""",
+)
 def fuzzy_names(t):
     """Customer and part names without an exact entry against the part dictionary."""
     names = (
@@ -180,7 +222,7 @@ def fuzzy_names(t):
         .select(normalize_name(F.col("name")).alias("key"))
         .distinct()
     )
-    verdicts, candidates = resolve.resolve_names(names, _dictionary(t))
+    verdicts, candidates = resolve.resolve_names(names, _dictionary(t), K.NEAR_HINTS)
     return verdicts.select("key", text("code"), text("reason"), F.lit(1.0).alias("score")).unionByName(
         candidates.select("key", "code", F.lit("candidate").alias("reason"), "score")
     )
@@ -234,7 +276,7 @@ def code_routing(t):
 )
 def inferred_candidates(t):
     routed, verdicts, candidates = _routed(t)
-    hints = resolve.inferred_candidates(routed, verdicts, candidates)
+    hints = resolve.inferred_candidates(routed, verdicts, candidates, K.INFERRED_HINTS)
     return hints.select("key", "raw_code", "code", F.col("rank").cast("long").alias("rank"))
 
 

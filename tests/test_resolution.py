@@ -50,9 +50,13 @@ def test_waterfall_against_brute_force(spark):
     keys = names(rng, 60, "abcde", 10)
     entries = sorted({(k, f"{rng.randint(0, 40):06d}") for k in keys for _ in range(2)})
     asked = names(rng, 80, "abcde", 10) + keys[:10] + [""]
+    work = []
     verdicts, candidates = resolve.resolve_names(
-        spark.createDataFrame([(a,) for a in asked], "key string"), spark.createDataFrame(entries, "key string, code string")
+        spark.createDataFrame([(a,) for a in asked], "key string"), spark.createDataFrame(entries, "key string, code string"), 3, work
     )
+    # a threshold is asked only by the names that the one before left open
+    assert [w["threshold"] for w in work] == [0.85, 0.75, 0.65, 0.5]
+    assert [w["names"] for w in work] == sorted((w["names"] for w in work), reverse=True) and all(w["pairs"] <= w["names"] * len(keys) for w in work)
     hints = {}
     for r in candidates.collect():
         hints.setdefault(r.key, []).append((r.code, r.score))
@@ -64,6 +68,22 @@ def test_waterfall_against_brute_force(spark):
     assert got == want
 
 
+def test_all_hints_where_none_are_cut(spark):
+    rng = random.Random(8)
+    entries = sorted({(k, f"{rng.randint(0, 90):06d}") for k in names(rng, 60, "abcde", 8) for _ in range(2)})
+    asked = [a for a in names(rng, 40, "abcde", 8) if a not in {k for k, _ in entries}]
+    frame = spark.createDataFrame(entries, "key string, code string")
+    verdicts, candidates = resolve.fuzzy_stage(spark.createDataFrame([(a,) for a in asked], "key string"), frame, None)
+    no_hit = {r.key for r in verdicts.where("reason = 'no_hit'").collect()}
+    want = {}
+    for a in no_hit:
+        for k, c in entries:
+            score = SequenceMatcher(None, a, k).ratio()
+            if score > 0.5:
+                want[a, c] = max(want.get((a, c), 0), round(score, 3))
+    assert {(r.key, r.code): r.score for r in candidates.collect() if r.key in no_hit} == want and want
+
+
 def test_code_routing_and_hints(spark):
     verdicts = spark.createDataFrame(
         [("auto", "000001", None), ("many", None, "multi_candidate"), ("none", None, "no_hit")], "key string, code string, reason string"
@@ -85,7 +105,7 @@ def test_code_routing_and_hints(spark):
         5: (None, "inferred", "inferred_code"), 6: (None, "inferred", "inferred_code"), 7: ("000001", "text", None), 8: (None, None, "multi_candidate"), 9: (None, "inferred", "inferred_code"),
     }
     hints = {}
-    for r in resolve.inferred_candidates(routed, verdicts, candidates).orderBy("rank").collect():
+    for r in resolve.inferred_candidates(routed, verdicts, candidates, 5).orderBy("rank").collect():
         hints.setdefault((r.key, r.raw_code), []).append((r.code, r.score))
     assert hints == {
         ("auto", "000002"): [("000002", 1.0), ("000001", 1.0)],
@@ -95,6 +115,8 @@ def test_code_routing_and_hints(spark):
         ("none", "999999"): [("000020", 0.7), ("000030", 0.6)],
         ("auto", "000001"): [("000001", 1.0)],
     }
+    whole = resolve.inferred_candidates(routed, verdicts, candidates, None).groupBy("key", "raw_code").count().collect()
+    assert {(r.key, r.raw_code): r["count"] for r in whole}[("many", "000002")] == 8
 
 
 def test_review_closes_a_row_once(spark):
