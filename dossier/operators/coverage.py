@@ -72,6 +72,5 @@ def tags_in_order(links: DataFrame) -> DataFrame:
         links,
         ["report_id"],
         [F.col("created_at"), F.col("tag_id")],
-        F.to_date("created_at"),
         "position",
     )

@@ -178,7 +178,7 @@ def merge_partial_items(items: DataFrame, key: list[str], view: str) -> DataFram
 
 
 def append_versions(
-    heads: DataFrame, batch: DataFrame, key: str, order: str, block: Column
+    heads: DataFrame, batch: DataFrame, key: str, order: str
 ) -> DataFrame:
     """Number a batch of new versions after the highest version each key already has.
 
@@ -186,7 +186,7 @@ def append_versions(
     """
     known = heads.groupBy(key).agg(F.max("version").alias("_last"))
     newest = batch.groupBy(key).agg(F.max(order).alias("_newest"))
-    numbered = numbered_within(batch, [key], [F.col(order)], block, "_n")
+    numbered = numbered_within(batch, [key], [F.col(order)], "_n")
     return (
         numbered.join(known, key, "left")
         .join(newest, key)

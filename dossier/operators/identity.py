@@ -23,11 +23,11 @@ def _with_new_ids(
     return consecutive_ids(rows, order, first, name, ties)
 
 
-def merge_identities(files: DataFrame, live: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def merge_identities(files: DataFrame, live: DataFrame, ids: DataFrame) -> DataFrame:
     """Attach each incoming file to a report.
 
     ``ids``: every id ever given, deleted reports included, so that no new report takes one of
-    theirs; without it the live reports count as all.
+    theirs.
 
     ``files``: arrival, title, identity columns; ``live``: id, identity columns (unique).
     Files with one new identity make one report that shows the first title.
@@ -38,7 +38,7 @@ def merge_identities(files: DataFrame, live: DataFrame, ids: DataFrame | None =
     known = first.join(live.select("id", *IDENTITY), IDENTITY, "left")
     old = known.where("id IS NOT NULL").withColumnRenamed("id", "report_id")
     new = _with_new_ids(
-        known.where("id IS NULL").drop("id"), "first_arrival", live if ids is None else ids, "id", "report_id", tuple(IDENTITY)
+        known.where("id IS NULL").drop("id"), "first_arrival", ids, "id", "report_id", tuple(IDENTITY)
     )
     groups = old.withColumn("_was_live", F.lit(True)).unionByName(
         new.withColumn("_was_live", F.lit(False))
@@ -67,7 +67,7 @@ def claim_references(sightings: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def dispose_references(refs: DataFrame, live: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def dispose_references(refs: DataFrame, live: DataFrame, ids: DataFrame) -> DataFrame:
     """Status of newly claimed references, as if handled one by one in ``position`` order.
 
     live identity -> duplicate; else the first reference of the identity that can be fetched is
@@ -82,7 +82,7 @@ def dispose_references(refs: DataFrame, live: DataFrame, ids: DataFrame | None =
         joined.where(can_fetch).groupBy(*IDENTITY).agg(F.min("position").alias("_first"))
     )
     created = _with_new_ids(
-        first, "_first", live if ids is None else ids, "id", "_new_id", tuple(IDENTITY)
+        first, "_first", ids, "id", "_new_id", tuple(IDENTITY)
     )
     later = F.col("position") > F.col("_first")
     return (

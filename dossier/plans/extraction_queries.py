@@ -167,8 +167,7 @@ def version_append(t):
     batch = t.versions.where("model <> 'user'").select(
         "report_id", F.col("version").alias("arrival")
     )
-    block = F.floor(F.col("arrival") / 1000)
-    return extraction.append_versions(heads, batch, "report_id", "arrival", block)
+    return extraction.append_versions(heads, batch, "report_id", "arrival")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import normalize_title
 from ..operators import identity
+from ..session import cut_lineage
 from .registry import query
 from .standins import ctes
 
@@ -47,8 +48,10 @@ def _live(t, files):
   LEFT JOIN live l USING (title_norm, broker, publish_date) LEFT JOIN fresh n USING (title_norm, broker, publish_date)""",
 )
 def identity_merge(t):
-    files = _files(t)
-    merged = identity.merge_identities(files, _live(t, files))
+    # landing stores the identity key next to the file
+    files = cut_lineage(_files(t), "landed")
+    live = _live(t, files)
+    merged = identity.merge_identities(files, live, live)
     return merged.select(
         "arrival", "report_id", "merged", F.md5(F.col("report_title").cast("binary")).alias("title_md5")
     )
@@ -105,9 +108,9 @@ def _live_refs(t):
 
 
 def _handled(t):
-    claims = _claims(t)
+    claims, live = _claims(t), _live_refs(t)
     new = identity.dispose_references(
-        claims.where("claim = 'new'").withColumnRenamed("arrival", "position"), _live_refs(t)
+        claims.where("claim = 'new'").withColumnRenamed("arrival", "position"), live, live
     )
     return claims, new
 

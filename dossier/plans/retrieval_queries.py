@@ -208,7 +208,7 @@ def synthesis_versions(t):
     batch = t.log.where("event <> 'purchase'").select(
         F.col("subscription_id").alias("theme_id"), F.col("event_id").alias("arrival"), F.col("amount").alias("duration")
     )
-    return extraction.append_versions(heads, batch, "theme_id", "arrival", F.floor(F.col("arrival") / 100_000))
+    return extraction.append_versions(heads, batch, "theme_id", "arrival")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_theme_name
 from ..operators import vocabulary
-from ..operators.numbering import BLOCK_ROWS, numbered_within
+from ..operators.numbering import numbered_within
 from .landing_queries import INDUSTRY, industry_names
 from .registry import query
 from .standins import ctes
@@ -21,8 +21,8 @@ _DICT_SQL = """dict AS (SELECT key, theme_id, theme_status FROM (SELECT *, row_n
 
 
 def themes(t):
-    # numbered in id blocks: one name may belong to a third of all themes
-    numbered = numbered_within(t.themes, ["name"], [F.col("id")], F.floor(F.col("id") / BLOCK_ROWS), "_n")
+    # numbered over ranges: one name may belong to a third of all themes
+    numbered = numbered_within(t.themes, ["name"], [F.col("id")], "_n")
     return (
         numbered
         .select(

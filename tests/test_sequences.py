@@ -10,20 +10,57 @@ from dossier.operators import identity, numbering, vocabulary
 THEME = "id long, name string, name_norm string, status string, synonyms array<string>, source string, seed_code string, merged_into_id long"
 
 
-def test_numbering_over_blocks(spark):
+def test_numbering_over_ranges(spark):
     rng = random.Random(1)
     rows = [(rng.choice("aab"), i, rng.randint(0, 500)) for i in range(400)]
     df = spark.createDataFrame(rows, "g string, i int, x int")
-    got = numbering.numbered_within(df, ["g"], [F.col("x"), F.col("i")], F.floor(F.col("x") / 50), "n").collect()
+    got = numbering.numbered_within(df, ["g"], [F.col("x"), F.col("i")], "n").collect()
     want = {}
     for g in "ab":
         for n, r in enumerate(sorted((x, i) for g2, i, x in rows if g2 == g), 1):
             want[(g, r[1])] = n
     assert {(r.g, r.i): r.n for r in got} == want
-    ids = numbering.consecutive_ids(df, "i", F.lit(10), "id", block_rows=64).collect()
+    ids = numbering.consecutive_ids(df, "i", F.lit(10), "id").collect()
     assert {r.i: r.id for r in ids} == {i: i + 10 for i in range(400)}
 
 
+@pytest.mark.parametrize("kind", ["sparse", "equal", "hot", "null"])
+def test_numbering_of_odd_values(spark, kind):
+    rng = random.Random(kind)
+    value = {
+        "sparse": lambda i: i * rng.randint(1, 9) * 10**14, "equal": lambda i: 7,
+        "hot": lambda i: 5 if rng.random() < 0.9 else rng.randint(-50, 50), "null": lambda i: None if i % 3 else i,
+    }[kind]
+    rows = [(i, value(i), f"t{rng.randint(0, 9)}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "i long, x long, t string").repartition(7)
+    ids = {r.i: r.id for r in numbering.consecutive_ids(df, "x", F.lit(100), "id", ("t", "i")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0]))
+    assert ids == {r[0]: 100 + n for n, r in enumerate(ordered)}
+    # without ties that decide, numbers are still consecutive and follow the value; equal values spread over ranges
+    loose = numbering.numbered(df, [F.col("x")], "n").collect()
+    assert sorted(r.n for r in loose) == list(range(1, 4001))
+    shown = [r.x for r in sorted(loose, key=lambda r: r.n)]
+    assert shown == sorted(shown, key=lambda x: (x is not None, x or 0))
+    within = numbering.numbered_within(df, ["x"], [F.col("i")], "n").collect()
+    seen = {}
+    for i, x, _ in sorted(rows):
+        seen[x] = seen.get(x, 0) + 1
+        assert next(r.n for r in within if r.i == i) == seen[x] if i % 400 == 0 else True
+
+
+def test_a_frequent_value_is_split_between_ranges(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).selectExpr("id", "1 AS x").repartition(7)
+        keyed = df.selectExpr("*", "xxhash64(id, x) AS h").repartitionByRange("x", "h")
+        sizes = [r["count"] for r in keyed.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2000
+        assert sorted(r.n for r in numbering.numbered(df, [F.col("x")], "n").collect()) == list(range(1, 4001))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_dispositions_one_by_one(spark):
     rng = random.Random(2)
     live = [(100 + i, f"t{i}", "b", "d") for i in range(3)]
@@ -43,6 +80,7 @@ def test_dispositions_one_by_one(spark):
     got = identity.dispose_references(
         spark.createDataFrame(refs, "position long, title_norm string, broker string, publish_date string, auto_download boolean, fetch_ok boolean"),
         spark.createDataFrame(live, "id long, title_norm string, broker string, publish_date string"),
+        spark.createDataFrame(live, "id long, title_norm string, broker string, publish_date string"),
     )
     assert {r.position: (r.status, r.report_id) for r in got.collect()} == want
 

@@ -67,9 +67,9 @@ def test_identity_stays_unique_and_rerun_changes_nothing(spark):
         F.col("id").alias("arrival"), F.expr("'T' || id % 7").alias("title"), F.expr("'t' || id % 7").alias("title_norm"), F.lit("b").alias("broker"), day.alias("publish_date")
     )
     live = spark.range(2).select("id", F.expr("'t' || id").alias("title_norm"), F.lit("b").alias("broker"), day.alias("publish_date"))
-    merged = identity.merge_identities(files, live)
+    merged = identity.merge_identities(files, live, live)
     after = merged.select(F.col("report_id").alias("id"), *identity.IDENTITY).distinct()
     assert duplicate_keys(after, identity.IDENTITY).isEmpty() and duplicate_keys(after, ["id"]).isEmpty()
-    again = identity.merge_identities(files, after)
+    again = identity.merge_identities(files, after, after)
     assert sorted((r.arrival, r.report_id) for r in again.collect()) == sorted((r.arrival, r.report_id) for r in merged.collect())
     assert again.where("NOT merged").isEmpty()
