@@ -21,7 +21,7 @@ from . import common as C
 #: Id put after every document.
 END = 2
 #: Text worked on at once, and chunks remembered by a task before its memory is emptied, in bytes.
-PIECE = 3 << 20
+PIECE = 8 << 20
 REMEMBERED = 96 << 20
 #: Text of a file; small tables are dealt to the cores in files of SMALL_PART bytes at least.
 PART = 48 << 20
@@ -104,17 +104,24 @@ class Encoder:
         cut[offs[:-1][offs[:-1] < n]] = True
         start = np.flatnonzero(cut)
         chunks = pa.LargeStringArray.from_buffers(
-            len(start), pa.py_buffer(np.r_[start, n].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))
+            len(start), pa.py_buffer(np.r_[start, n]), pa.py_buffer(np.ascontiguousarray(data))
         ).dictionary_encode()
         number = self.learn(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
-        size = self.size[number]
-        done = np.r_[0, np.cumsum(size)]
-        # one more slot a row, for the end
-        row = np.searchsorted(offs, start, "right") - 1
+        del chunks
+        # places fit 32 bits unless one text alone is larger
+        whole = np.int32 if n < 1 << 30 else np.int64
+        size = self.size[number].astype(np.int32)
+        done = np.r_[0, np.cumsum(size, dtype=np.int64)]
         bounds = done[np.searchsorted(start, offs)] + np.arange(rows + 1)
+        row = (np.searchsorted(offs, start, "right") - 1).astype(whole)
+        del start, cut, white
         values = np.full(int(bounds[-1]), end, np.int32)
-        source = np.repeat(self.first[number] - done[:-1], size) + np.arange(done[-1])
-        values[np.arange(done[-1]) + np.repeat(row, size)] = self.ids[source]
+        # one more slot a row, for the end
+        slot = np.arange(done[-1], dtype=whole)
+        source = slot + np.repeat((self.first[number] - done[:-1]).astype(whole), size)
+        slot += np.repeat(row, size)
+        values[slot] = self.ids[source]
+        del slot, source
         odd = {int(np.searchsorted(offs, m.start(), "right")) - 1 for m in self.rare.finditer(data.tobytes())}
         if odd:
             own = np.split(values, bounds[1:-1])
