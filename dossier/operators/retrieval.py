@@ -1,4 +1,4 @@
-"""Full-text index as a postings table and conjunctive search over it."""
+"""Full-text index as immutable segments of postings and conjunctive search over it."""
 
 from __future__ import annotations
 
@@ -44,12 +44,30 @@ def rebuild(spark: SparkSession, postings: DataFrame) -> tuple[str, DataFrame]:
     return folder, spark.read.parquet(folder)
 
 
-def refresh_postings(postings: DataFrame, touched: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Replace the postings of the touched reports by their fresh ones."""
-    ids = touched.select("report_id").distinct()
-    return postings.join(ids, "report_id", "left_anti").unionByName(
-        fresh.join(ids, "report_id", "left_semi")
-    )
+def add_segment(index: str, segment: int, postings: DataFrame, touched: DataFrame | None = None) -> None:
+    """Write the postings of new or changed reports as the next segment of the index folder.
+
+    ``touched``: (report_id) of changed or deleted reports; what earlier segments say of them no
+    longer holds. Segments are never rewritten; a number is used once, in ascending order.
+    """
+    write_postings(postings, f"{index}/postings/segment={segment}")
+    ids = postings.select("report_id").limit(0) if touched is None else touched.select("report_id").distinct()
+    ids.write.parquet(f"{index}/replaced/segment={segment}")
+
+
+def read_index(spark: SparkSession, index: str) -> DataFrame:
+    """Postings that hold: those of a report since the last segment that replaced it.
+
+    A filter on the token passes the join and reaches the scan of every segment.
+    """
+    since = spark.read.parquet(f"{index}/replaced").groupBy("report_id").agg(F.max("segment").alias("_since"))
+    held = spark.read.parquet(f"{index}/postings").join(since, "report_id", "left")
+    return held.where("segment >= coalesce(_since, 0)").select("report_id", "token", "field", "tf")
+
+
+def merge_segments(spark: SparkSession, index: str, merged: str) -> None:
+    """Write what holds of all segments as the first segment of a new index folder."""
+    add_segment(merged, 0, read_index(spark, index))
 
 
 def query_tokens(spark: SparkSession, text: str) -> list[tuple[str, bool]]:
@@ -63,21 +81,28 @@ def query_tokens(spark: SparkSession, text: str) -> list[tuple[str, bool]]:
     return [(item["token"], item["lone"]) for item in row["t"]]
 
 
-def matching_reports(postings: DataFrame, text: str) -> DataFrame | None:
-    """report_id of reports that contain every token in any field; None for a blank query.
+def search(postings: DataFrame, text: str) -> DataFrame | None:
+    """(report_id, hits) of reports that contain every token in any field; None for a blank query.
 
-    A lone Han character is never a token of a longer run, but it is part of its bigrams.
+    ``hits``: occurrences of the tokens. A lone Han character is never a token of a longer run, but
+    it is part of its bigrams. The postings are read once.
     """
     tokens = query_tokens(postings.sparkSession, text)
     if not tokens:
         return None
     token = F.col("token")
-    hits = [token.contains(t) if lone else token == t for t, lone in tokens]
+    matches = [token.contains(t) if lone else token == t for t, lone in tokens]
     if any(lone for _, lone in tokens):
-        candidates = postings.where(reduce(or_, hits))
+        candidates = postings.where(reduce(or_, matches))
     else:
         # a list of literals reaches the parquet scan
         candidates = postings.where(token.isin([t for t, _ in tokens]))
-    flags = [F.bool_or(hit).alias(f"_h{i}") for i, hit in enumerate(hits)]
-    found = candidates.groupBy("report_id").agg(*flags)
-    return found.where(" AND ".join(f"_h{i}" for i in range(len(hits)))).select("report_id")
+    flags = [F.bool_or(hit).alias(f"_h{i}") for i, hit in enumerate(matches)]
+    found = candidates.groupBy("report_id").agg(F.sum("tf").alias("hits"), *flags)
+    return found.where(" AND ".join(f"_h{i}" for i in range(len(matches)))).select("report_id", "hits")
+
+
+def matching_reports(postings: DataFrame, text: str) -> DataFrame | None:
+    """report_id of the reports that ``search`` finds."""
+    found = search(postings, text)
+    return None if found is None else found.select("report_id")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import EVIDENCE_REPORTS
 from ..functions.fields import search_tokens
-from ..operators import extraction, retrieval, synthesis
+from ..operators import extraction, retrieval, synthesis, views
+from ..session import shared_folder
 from .registry import query
 from .standins import ctes
 from .view_queries import HEADS, text
@@ -40,16 +41,35 @@ def index_build(t):
     return postings(t)
 
 
+def _stored_index(t):
+    """All bodies as an index of two segments: the German ones were converted later."""
+    index = shared_folder(t.spark, "text-index")
+    later = F.coalesce(F.col("lang") == "de", F.lit(False))
+    retrieval.add_segment(index, 0, postings(t, t.bodies.where(~later)))
+    retrieval.add_segment(index, 1, postings(t, t.bodies.where(later)))
+    return retrieval.read_index(t.spark, index)
+
+
 @query(
     "r2_conjunctive_match",
     ctes("bodies")
     + f""", p AS {_postings_sql()} SELECT report_id, CAST(sum(tf) AS BIGINT) AS hits FROM p WHERE token IN ('the', 'summary', 'en') GROUP BY report_id HAVING count(DISTINCT token) = 3""",
 )
 def conjunctive_match(t):
-    index = postings(t)
-    found = retrieval.matching_reports(index, " The summary, EN ")
-    hits = index.where(F.col("token").isin("the", "summary", "en")).groupBy("report_id").agg(F.sum("tf").alias("hits"))
-    return hits.join(found, "report_id", "left_semi")
+    return retrieval.search(_stored_index(t), " The summary, EN ")
+
+
+@query(
+    "r2_report_search",
+    ctes("bodies", "reports")
+    + f""", p AS {_postings_sql()}, found AS (SELECT report_id FROM p WHERE token IN ('the', 'summary') GROUP BY report_id HAVING count(DISTINCT token) = 2)
+     SELECT id, title, broker, CAST(publish_date AS VARCHAR) AS publish_date FROM reports WHERE NOT deleted AND publish_date >= DATE '1993-01-01' AND id IN (SELECT report_id FROM found)""",
+)
+def report_search(t):
+    """The report list under a date filter and a text query."""
+    matching = retrieval.matching_reports(_stored_index(t), "summary the")
+    rows = views.report_list(t.reports, date_from="1993-01-01", matching=matching)
+    return rows.select("id", "title", "broker", text("publish_date"))
 
 
 @query(
@@ -83,7 +103,10 @@ def index_refresh(t):
     revised = t.bodies.join(t.raw("labels").select("doc_id"), "doc_id", "left_semi").withColumn(
         "body", F.concat(F.lit("Revised "), "body")
     )
-    refreshed = retrieval.refresh_postings(postings(t), touched, postings(t, revised))
+    index = shared_folder(t.spark, "text-index")
+    retrieval.add_segment(index, 0, postings(t))
+    retrieval.add_segment(index, 1, postings(t, revised), touched)
+    refreshed = retrieval.read_index(t.spark, index)
     return refreshed.groupBy("report_id").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
 
 

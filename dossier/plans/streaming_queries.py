@@ -21,6 +21,19 @@ def _stream(t, table, columns):
     return rows.selectExpr(*spark_columns(columns))
 
 
+def _arriving(t, rows, job, halves=2, files=3):
+    """Run ``job`` on rows that arrive in two halves, in no order of time, one file a batch.
+
+    The second run starts from the checkpoint of the first and finds the new files only.
+    """
+    folder, checkpoint = shared_folder(t.spark, "arrivals"), shared_folder(t.spark, "stream")
+    half = F.pmod(F.xxhash64(*rows.columns), F.lit(halves))
+    for n in range(halves):
+        rows.where(half == n).repartition(files).write.mode("append").parquet(folder)
+        result = job(runs.file_stream(t.spark, folder, "*.parquet", rows.schema, 1), checkpoint)
+    return result
+
+
 @query(
     "w1_discovery_window",
     ctes("log")
@@ -55,6 +68,18 @@ def cursor_advance(t):
     )
 
 
+@query(
+    "w2_cursor_stream",
+    ctes("log") + " SELECT subscription_id, strftime(max(seen_at), '%Y-%m-%d %H:%M:%S') AS cursor FROM log GROUP BY 1",
+)
+def cursor_stream(t):
+    """The running maximum over a stream of new references."""
+    rows = t.log.select("subscription_id", F.col("seen_at").alias("published_at"))
+    state = shared_folder(t.spark, "cursors")
+    moved = _arriving(t, rows, lambda stream, checkpoint: discovery.running_cursors(stream, state, checkpoint, every=4))
+    return moved.select("subscription_id", F.date_format("cursor", "yyyy-MM-dd HH:mm:ss").alias("cursor"))
+
+
 _REF = ["event AS connector_id", "CAST(subscription_id * 100 + k AS STRING) AS external_id", "event_id AS arrival"]
 
 
@@ -63,8 +88,8 @@ _REF = ["event AS connector_id", "CAST(subscription_id * 100 + k AS STRING) AS e
     ctes("log") + " SELECT event AS connector_id, CAST(subscription_id * 100 + k AS VARCHAR) AS external_id, min(event_id) AS arrival, count(*) AS sightings FROM log GROUP BY 1, 2",
 )
 def first_sightings(t):
-    stream = _stream(t, "events", EVENTS).selectExpr(*_REF)
-    seen = discovery.first_sightings(stream, shared_folder(t.spark, "sightings"))
+    state = shared_folder(t.spark, "sightings")
+    seen = _arriving(t, t.log.selectExpr(*_REF), lambda stream, checkpoint: discovery.first_sightings(stream, state, checkpoint, every=4))
     return seen.select("connector_id", "external_id", "arrival", "sightings")
 
 
@@ -109,8 +134,9 @@ def next_run(t):
     ctes("log") + " SELECT CAST(day AS VARCHAR) AS day, CAST(sum(k) AS BIGINT) AS downloads FROM log GROUP BY 1",
 )
 def daily_quota(t):
-    rounds = _stream(t, "events", EVENTS).select(F.col("seen_at").cast("timestamp").alias("seen_at"), "k")
-    days = discovery.daily_quota(rounds, "seen_at", "k", shared_folder(t.spark, "quota"))
+    rounds = t.log.select(F.col("seen_at").cast("timestamp").alias("seen_at"), "k")
+    state = shared_folder(t.spark, "quota")
+    days = _arriving(t, rounds, lambda stream, checkpoint: discovery.daily_quota(stream, "seen_at", "k", state, checkpoint))
     return days.withColumn("day", F.col("day").cast("string"))
 
 

@@ -15,7 +15,7 @@ from ..functions import constants as K
 from ..operators.retrieval import build_postings
 from ..session import shared_folder
 from ..sources.files import converted_bodies
-from .runs import keep_batch, run_available
+from .runs import fold_batches, keep_batch, run_available
 
 # ---- windows and cursors -------------------------------------------------------------------
 
@@ -48,22 +48,30 @@ def advance_cursors(subscriptions: DataFrame, handled: DataFrame) -> DataFrame:
 REFERENCE = ["connector_id", "external_id"]
 
 
-def first_sightings(stream: DataFrame, folder: str, checkpoint: str | None = None) -> DataFrame:
+def first_sightings(stream: DataFrame, folder: str, checkpoint: str | None = None, every: int = 8) -> DataFrame:
     """Exact rule without a time bound: a reference counts once, however late it comes again.
 
-    Every batch stores the arrivals and counts of its references and reads nothing stored before;
-    they are summed on reading, so sightings in later batches count too. The state lives in files
-    and not in executors. Result: key, first arrival, all sightings, first batch.
+    The state (key, first arrival, all sightings, first batch) lives in files and not in executors;
+    see ``fold_batches`` for how it is compacted.
     """
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def shrink(batch: DataFrame, number: int) -> DataFrame:
         seen = batch.groupBy(*REFERENCE).agg(F.min("arrival").alias("arrival"), F.count("*").alias("sightings"))
-        keep_batch(seen, folder, batch_id)
+        return seen.withColumn("first_batch", F.lit(number).cast("long"))
+
+    merge = {"arrival": F.min, "sightings": F.sum, "first_batch": F.min}
+    return fold_batches(stream.select(*REFERENCE, "arrival"), shrink, REFERENCE, merge, folder, checkpoint=checkpoint, every=every)
 
-    run_available(stream.select(*REFERENCE, "arrival"), handle, checkpoint=checkpoint)
-    stored = stream.sparkSession.read.parquet(folder)
-    return stored.groupBy(*REFERENCE).agg(
-        F.min("arrival").alias("arrival"), F.sum("sightings").alias("sightings"), F.min("batch").alias("batch")
-    )
+
+def running_cursors(stream: DataFrame, folder: str, checkpoint: str | None = None, every: int = 8) -> DataFrame:
+    """Cursor of every subscription: the latest publication seen in any batch, never backwards.
+
+    ``stream``: subscription_id, published_at of new references, in any order.
+    """
+    def shrink(batch: DataFrame, number: int) -> DataFrame:
+        return batch.groupBy("subscription_id").agg(F.max("published_at").alias("cursor"))
+
+    rows = stream.select("subscription_id", "published_at")
+    return fold_batches(rows, shrink, ["subscription_id"], {"cursor": F.max}, folder, checkpoint=checkpoint, every=every)
 
 
 def bounded_first_sightings(stream: DataFrame, at: str) -> DataFrame:
@@ -206,15 +214,13 @@ def stateful_retry_stream(
 
 
 def daily_quota(stream: DataFrame, at: str, downloads: str, folder: str, checkpoint: str | None = None) -> DataFrame:
-    """Downloads per UTC day, however late they come: every batch stores its own sum per day."""
+    """Downloads per UTC day, however late they come: every batch adds its own sum per day."""
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def shrink(batch: DataFrame, number: int) -> DataFrame:
         days = batch.where(F.col(at).isNotNull()).groupBy(F.to_date(at).alias("day"))
-        keep_batch(days.agg(F.sum(downloads).alias("downloads")), folder, batch_id)
+        return days.agg(F.sum(downloads).alias("downloads"))
 
-    run_available(stream, handle, checkpoint=checkpoint)
-    stored = stream.sparkSession.read.parquet(folder)
-    return stored.groupBy("day").agg(F.sum("downloads").alias("downloads"))
+    return fold_batches(stream, shrink, ["day"], {"downloads": F.sum}, folder, checkpoint=checkpoint)
 
 
 # ---- bodies to index -----------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Sources, extraction landing and citations."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -132,3 +133,30 @@ def test_bucketed_tables_meet_without_exchange(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def test_segments_replace_and_merge(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["ai", "chip", "算力", "bank", "the"]
+    bodies = lambda texts: spark.createDataFrame(list(texts.items()), "report_id long, body string")
+    none = spark.createDataFrame([], "report_id long, summary string")
+    titles = spark.createDataFrame([], "id long, title string")
+    held, folder = {}, str(tmp_path / "index")
+    for segment in range(4):
+        touched = rng.sample(range(12), 6) if segment else list(range(8))
+        texts = {i: " ".join(rng.choices(words, k=5)) for i in touched if rng.random() < 0.8}
+        held = {i: x for i, x in held.items() if i not in touched} | texts
+        rows = spark.createDataFrame([(i,) for i in touched], "report_id long")
+        retrieval.add_segment(folder, segment, retrieval.build_postings(titles, bodies(texts), none), rows if segment else None)
+        index = retrieval.read_index(spark, folder)
+        for asked in (["ai"], ["chip", "the"], ["算力", "bank"]):
+            want = {i: sum(x.split().count(w) for w in asked) for i, x in held.items() if all(w in x.split() for w in asked)}
+            assert {r.report_id: r.hits for r in retrieval.search(index, " ".join(asked)).collect()} == want
+    found = retrieval.search(index, "ai chip")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "token#" in line]
+    assert len(scans) == 1 and "In(token, [ai,chip])" in scans[0]
+    retrieval.merge_segments(spark, folder, str(tmp_path / "merged"))
+    merged = retrieval.read_index(spark, str(tmp_path / "merged"))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(merged) == order(index) and order(retrieval.search(merged, "ai chip")) == order(found)

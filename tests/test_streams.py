@@ -88,12 +88,35 @@ def test_first_sightings_over_batches(spark):
     discovery.first_sightings(stream(), out, checkpoint)
     spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(folder)
     got = discovery.first_sightings(stream(), out, checkpoint)
-    assert sorted((r.connector_id, r.external_id, r.arrival, r.batch) for r in got.collect()) == sorted(
+    assert sorted((r.connector_id, r.external_id, r.arrival, r.first_batch) for r in got.collect()) == sorted(
         [("c", str(i), i, 0) for i in range(7)] + [("c", "7", 25, 1), ("c", "8", 26, 1), ("d", "1", 41, 1)]
     )
     assert sum(r.sightings for r in got.collect()) == len(first + later)
 
 
+@pytest.mark.parametrize("every", [1, 2, 3])
+def test_state_is_compacted_and_survives_restarts(spark, every):
+    schema = "subscription_id long, published_at timestamp"
+    folder, out, checkpoint = (shared_folder(spark, p) for p in ("refs", "cursors", "stream"))
+    rng, rows = random.Random(every), []
+    for run in range(3):
+        # late rows: any run may bring any day
+        new = [(rng.randrange(5 + run), dt.datetime(2024, 1, rng.randint(1, 28), run)) for _ in range(12)]
+        rows += new
+        spark.createDataFrame(new, schema).repartition(2).write.mode("append").parquet(folder)
+        stream = runs.file_stream(spark, folder, "*.parquet", spark.createDataFrame([], schema).schema, 1)
+        got = discovery.running_cursors(stream, out, checkpoint, every=every)
+        want = {}
+        for s, at in rows:
+            want[s] = max(want.get(s, at), at)
+        assert {r.subscription_id: r.cursor for r in got.collect()} == want
+    # nothing new: the state is read as it stands, from one snapshot and the batches after it
+    again = discovery.running_cursors(stream, out, checkpoint, every=every)
+    assert {r.subscription_id: r.cursor for r in again.collect()} == want
+    read = {f.split("cursors-")[1].split("/")[1] + f.split("batch=")[1].split("/")[0] for f in again.inputFiles()}
+    assert sum(f.startswith("snapshots") for f in read) <= 1 and sum(f.startswith("recent") for f in read) <= every
+
+
 def test_bounded_first_sightings(spark):
     schema = "connector_id string, external_id string, seen_at timestamp"
     folder, out = shared_folder(spark, "refs"), shared_folder(spark, "out")
