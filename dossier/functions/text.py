@@ -1,12 +1,13 @@
 """Text normalisers as column expressions.
 
-Only characters outside ASCII need Python (NFKC has no SQL form); ASCII rows reach the
-pandas UDF as NULL and cost nothing there.
+Only characters that NFKC or case folding may change need Python (there is no SQL form); rows
+without any - ASCII, Han, Hangul, plain Cyrillic - reach the pandas UDF as NULL and cost nothing there.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,12 +33,45 @@ def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 
 
-def _beyond_ascii(text: Column) -> Column:
-    return text.rlike(r"[^\x00-\x7F]")
+#: Shorter runs of unchanged characters are left to Python: a class of few ranges is tested faster.
+_SHORTEST_RUN = 64
+
+
+@lru_cache
+def unsettled(fold: bool) -> str:
+    """Pattern of a character that NFKC (``fold``: or case folding) may change, from the Unicode tables.
+
+    A character is settled if it is its own NFKC form and no sequence can change it: it is no mark
+    and no second part of a composition. With ``fold`` its folded form must also be the lower-case
+    letter the JVM gives, whatever its Unicode version.
+    """
+    seconds = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for c in range(0x10000):
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            seconds.add(int(parts[1], 16))
+
+    def settled(c: int) -> bool:
+        x = chr(c)
+        if 0xD800 <= c < 0xE000 or c in seconds or unicodedata.combining(x) or unicodedata.normalize("NFKC", x) != x:
+            return False
+        plain = x.casefold() == x.lower() == x
+        return not fold or plain or (c < 0x530 and c != 0x3A3 and len(x.lower()) == 1 and x.casefold() == x.lower())
+
+    runs, start = [], None
+    for c in range(0x80, 0x10001):
+        if c < 0x10000 and settled(c):
+            start = c if start is None else start
+        elif start is not None:
+            runs.append((start, c - 1))
+            start = None
+    longest = sorted((r for r in runs if r[1] - r[0] + 1 >= _SHORTEST_RUN), key=lambda r: r[0] - r[1])
+    return "[^\\x00-\\x7F" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in longest) + "]"
 
 
 def nfkc(text: Column) -> Column:
-    return F.coalesce(F.when(~_beyond_ascii(text), text), _nfkc(F.when(_beyond_ascii(text), text)))
+    changed = text.rlike(unsettled(False))
+    return F.coalesce(F.when(~changed, text), _nfkc(F.when(changed, text)))
 
 
 def strip(text: Column) -> Column:
@@ -55,10 +89,8 @@ def without_spaces(text: Column) -> Column:
 
 def normalize_title(title: Column) -> Column:
     """Identity key of a report title: NFKC, no white space, case folded."""
-    folded = F.coalesce(
-        F.when(~_beyond_ascii(title), F.lower(title)),
-        _nfkc_casefold(F.when(_beyond_ascii(title), title)),
-    )
+    changed = title.rlike(unsettled(True))
+    folded = F.coalesce(F.when(~changed, F.lower(title)), _nfkc_casefold(F.when(changed, title)))
     return without_spaces(folded)
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import unicodedata
 
 import pytest
@@ -156,3 +157,20 @@ def test_tokens(spark):
 def test_highlight_and_filename(spark):
     assert values(spark, [" <EM class='a'>x</em>y ", None], text.strip_highlight) == ["xy", ""]
     assert values(spark, ['a/b:"c"\n', "", "长" * 90], text.safe_filename) == ["a_b_c_", "report", "长" * 90]
+
+
+def test_settled_characters_equal_unicode_tables(spark):
+    rng = random.Random(6)
+    sure = [chr(c) for a, b in ((0x20, 0x7F), (0x4E00, 0x9FFF), (0xAC00, 0xD7A4), (0x400, 0x460), (0xC0, 0x180)) for c in rng.sample(range(a, b), 60)]
+    odd = list("ＡＢ１２ﬁ①㈱ｶﾞがぎ̧́̈ßẞΣςİıǅ℡½") + [chr(c) for c in rng.sample(range(0xE000), 400) if not 0xD800 <= c < 0xE000] + ["\U0001D400", "\U00010400"]
+    texts = ["".join(rng.choice(sure if rng.random() < 0.8 else odd) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.nfkc(F.col("t")).alias("n"), text.normalize_title(F.col("t")).alias("k"))
+    for r in rows.collect():
+        assert r.n == unicodedata.normalize("NFKC", r.t)
+        assert r.k == re.sub(r"\s+", "", unicodedata.normalize("NFKC", r.t).casefold())
+
+
+def test_han_rows_stay_in_the_jvm(spark):
+    han = spark.createDataFrame([("算力与人工智能",), ("AI 算力 2024 한국어 Привет été",)], "t string")
+    assert han.where(F.col("t").rlike(text.unsettled(False)) | F.col("t").rlike(text.unsettled(True))).count() == 0
+    assert spark.createDataFrame([("Ａ",), ("ﬁ",), ("e\u0301",), ("ß",)], "t string").where(F.col("t").rlike(text.unsettled(True))).count() == 4
