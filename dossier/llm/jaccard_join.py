@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,11 @@ HOT = 16
 _ENUMERATED = 7
 
 
-@lru_cache(maxsize=1 << 14)
+# plain tables, as wrapped functions would be looked up by name on executors without this package
+_bands: dict[tuple[int, int, int], tuple[tuple[int, int, int], ...]] = {}
+_layouts: dict[tuple[int, int], tuple[int, int]] = {}
+
+
 def bands(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
     """Size bands (number, lowest size, Hamming bound) a set of ``size`` elements takes part in.
 
@@ -30,6 +33,8 @@ def bands(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
     larger one at most high * den / num; both carry the signatures of that band. Two sets of a
     and b elements then differ in at most (a + b) * (den - num) / (den + num) elements.
     """
+    if (size, num, den) in _bands:
+        return _bands[size, num, den]
     out, low, number = [], 1, 0
     while low <= size:
         high = max(low, math.ceil(low * 1.5) - 1)
@@ -37,10 +42,12 @@ def bands(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
         if size <= reach:
             out.append((number, low, (high + reach) * (den - num) // (den + num)))
         low, number = high + 1, number + 1
-    return tuple(out)
+    if len(_bands) > 1 << 14:
+        _bands.clear()
+    _bands[size, num, den] = tuple(out)
+    return _bands[size, num, den]
 
 
-@lru_cache(maxsize=1 << 12)
 def layout(low: int, k: int) -> tuple[int, int]:
     """Number of parts and number of parts that may be empty without notice.
 
@@ -48,6 +55,8 @@ def layout(low: int, k: int) -> tuple[int, int]:
     holds elements if either set has at most e empty parts. Sets with more (rare: e lies two
     above the mean by 2.5 deviations) also carry the signatures of their empty parts.
     """
+    if (low, k) in _layouts:
+        return _layouts[low, k]
     e = 0
     while e < 2 * k:
         n = k + 1 + e
@@ -55,7 +64,8 @@ def layout(low: int, k: int) -> tuple[int, int]:
         if e >= 2 + n * p + 2.5 * math.sqrt(n * p * (1 - p)):
             break
         e += 1
-    return k + 1 + e, e
+    _layouts[low, k] = k + 1 + e, e
+    return _layouts[low, k]
 
 
 def signatures(values: np.ndarray, offs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
