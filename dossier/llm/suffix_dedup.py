@@ -263,17 +263,17 @@ def _occurrences(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offs = C.buffers(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("row").to_numpy(zero_copy_only=False)
             for a, b in C.pieces(offs):
                 parts = [anchors(data[offs[r] : offs[r + 1]], width) for r in range(a, b)]
                 count = [len(p[0]) for p in parts]
                 g, f, l, x = (np.concatenate([p[i] for p in parts]) for i in range(4))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids[a:b], count)), pa.array(f), pa.array(l - f + width), pa.array(g.view(np.int64)), pa.array(x.view(np.int64))],
-                    ["doc_id", "at", "size", "anchor", "piece"],
+                    ["row", "at", "size", "anchor", "piece"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, at long, size long, anchor long, piece long")
+    return docs.select("row", "text").mapInArrow(run, "row long, at long, size long, anchor long, piece long")
 
 
 def _marked(shards: DataFrame, width: int) -> DataFrame:
@@ -301,10 +301,13 @@ def _marked(shards: DataFrame, width: int) -> DataFrame:
         )
 
     def run(batches):
-        # rows come ordered by anchor; a shard ends at the first new anchor beyond its size
+        # rows come ordered by anchor and piece; a shard ends at the first new anchor beyond its size
         held, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "copies", "bytes"))):
+                if held and row[:2] == held[-1][:2]:
+                    # lent once more by an equal row, and counted in copies already
+                    continue
                 if size >= SHARD_BYTES and row[0] != held[-1][0]:
                     yield shard(held)
                     held, size = [], 0
@@ -348,7 +351,9 @@ def remove_repeats(docs: DataFrame, width: int = MIN_BYTES, whole: bool = False)
     cross documents, a string may repeat in the same document and may overlap itself, and strings
     are judged on the input. Out: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256; with ``whole`` also kept (the remaining bytes). Equal texts of ``width`` bytes or
-    more are removed whole; an empty table gives no rows; doc_id must not repeat.
+    more are removed whole; an empty table gives no rows. Rows are told apart by doc_id and text, so
+    doc_id may be NULL or repeat; equal rows count as repeats of each other. ``removed`` says
+    whether anything was removed. A long text is one row of any length.
 
     Every string belongs to one anchor (the last smallest hash inside it), so only the strings of
     an anchor must be compared. Stretches of equal strings with equal anchors collapse to one piece
@@ -356,29 +361,29 @@ def remove_repeats(docs: DataFrame, width: int = MIN_BYTES, whole: bool = False)
     sorted by induced sorting and read off its permuted common prefixes. Strings of an anchor with
     more than CROWDED pieces are counted one by one instead.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = docs.select(C.row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = C.stored(_occurrences(base, width), "anchors")
-    pieces = found.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "at", "size")).alias("first"))
+    pieces = found.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("row", "at", "size")).alias("first"))
     pieces = C.stored(pieces, "pieces")
     groups = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
     several = pieces.join(groups.where("kinds > 1").select("anchor", "kinds"), "anchor")
     # one row per document that lends its text to pieces: the places it lends
-    lent = several.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+    lent = several.groupBy(F.col("first.row").alias("row")).agg(
         F.collect_list(F.struct("anchor", "piece", "copies", F.col("first.at").alias("at"), F.col("first.size").alias("size"), "kinds")).alias("places")
     )
-    cut = base.select("doc_id", F.col("text").cast("binary").alias("raw")).join(lent, "doc_id").select("raw", F.explode("places").alias("p"))
+    cut = base.select("row", F.col("text").cast("binary").alias("raw")).join(lent, "row").select("raw", F.explode("places").alias("p"))
     texts = cut.select("p.anchor", "p.piece", "p.copies", "p.kinds", F.substring("raw", F.col("p.at").cast("int") + 1, F.col("p.size").cast("int")).alias("bytes"))
     texts = C.stored(texts, "pieces")
-    shards = texts.where(F.col("kinds") <= CROWDED).repartition("anchor").sortWithinPartitions("anchor")
-    partly = _marked(shards, width).union(_crowded_marks(texts.where(F.col("kinds") > CROWDED), width))
+    shards = texts.where(F.col("kinds") <= CROWDED).repartition("anchor").sortWithinPartitions("anchor", "piece")
+    partly = _marked(shards, width).union(_crowded_marks(texts.where(F.col("kinds") > CROWDED).dropDuplicates(["anchor", "piece"]), width))
     wholly = pieces.where("copies > 1").join(groups.where("kinds = 1").select("anchor"), "anchor").select(
         "anchor", "piece", F.array(F.lit(0), F.col("first.size")).cast("array<bigint>").alias("spans")
     )
     marks = C.stored(partly.union(wholly), "marks")
     runs = (
         found.join(marks, ["anchor", "piece"])
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "spans"))).alias("runs"))
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_set(F.struct("at", "spans"))).alias("runs"))
     )
     extra = ", kept binary" if whole else ""
 
@@ -397,12 +402,12 @@ def remove_repeats(docs: DataFrame, width: int = MIN_BYTES, whole: bool = False)
                 spans = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]])) if len(text) else 0
                 out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
             n, removed, spans, sha, kept = zip(*out) if out else ((),) * 5
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in removed], pa.bool_())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
             if whole:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = base.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    joined = base.join(runs, "row", "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed boolean" + extra)

@@ -2,9 +2,12 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -99,6 +102,37 @@ def test_removed_bytes_equal_brute_force(docs, crowded, monkeypatch):
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("crowded", [2000, 1])
+def test_removed_bytes_with_null_and_repeated_ids(spark, crowded, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    given = [(None, a), (None, b), (None, None), (5, "tail " + a[:500] + c), (5, b[50:]), (5, "short"), (7, c), (7, c), (7, c), (8, prose(rng, 200))]
+    count = collections.Counter(t[i : i + 400] for _, x in given for t in [(x or "").encode()] for i in range(len(t) - 399))
+    want = collections.Counter()
+    for k, x in given:
+        t = (x or "").encode()
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if count[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        want[k, len(t), int(gone.sum()), hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest(), bool(gone.any())] += 1
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256, r.removed) for r in found) == want
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """What a task unpickles runs in a process that cannot import the package."""
+    from pyspark import cloudpickle
+
+    values, signatures = np.arange(40, dtype=np.uint64), jaccard_join.signatures
+    (tmp_path / "job").write_bytes(cloudpickle.dumps(lambda: signatures(values, np.array([0, 40]), 4, 5)))
+    code = "import pickle, importlib.util; assert importlib.util.find_spec('dossier') is None; print(len(pickle.load(open('job', 'rb'))()[1]))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout) == len(signatures(values, np.array([0, 40]), 4, 5)[1]), done.stderr
+
+
 def test_bpe_equals_the_library(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
