@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -17,8 +18,13 @@ from . import common as C
 # fixed values of the vocabulary's format
 WORD_END = "</w>"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-#: Stretches without white space remembered by a task before the memory is emptied.
-REMEMBERED = 200_000
+#: Bytes of stretches, and of words, that a task remembers before it empties that memory.
+REMEMBERED = 160 << 20
+#: Bytes an entry takes besides its letters, and the pairs of tokens remembered at most.
+ENTRY = 350
+PAIRS = 2_000_000
+#: Letters from which on a word is merged with a heap, as looking for the least rank gets dear.
+LONG = 48
 
 
 def default_vocabulary() -> str:
@@ -47,7 +53,12 @@ class Codec:
         self.rank: dict[tuple[str, str], int] = {}
         for n, pair in enumerate(spec["model"]["merges"]):
             self.rank[tuple(pair if isinstance(pair, list) else pair.split(" "))] = n
-        self.longest = max(map(len, self.vocab))
+        # longest token that begins with these one, two or three letters: no longer one is tried there
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            size = len(t) - len(WORD_END) if t.endswith(WORD_END) and len(t) > len(WORD_END) else len(t)
+            for k in range(1, min(size, 3) + 1):
+                self.reach[t[:k]] = max(self.reach.get(t[:k], 0), size)
         self.letters = byte_letters()
         self.pretoken = regex.compile(PRETOKEN)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
@@ -57,10 +68,14 @@ class Codec:
         self.stands = np.zeros(0, bool)  # whether the two stay apart when merged together
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.held = self.held_words = 0
         self.failed = self.proposed = 0
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Exact merging: again and again the leftmost pair of the lowest rank."""
+        if len(symbols) > LONG:
+            return self.merged_long(symbols)
         symbols, rank, none = list(symbols), self.rank.get, 1 << 30
         ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
         while ranks:
@@ -76,6 +91,28 @@ class Codec:
                 ranks[at - 1] = rank((symbols[at - 1], symbols[at]), none)
         return symbols
 
+    def merged_long(self, symbols: list[str]) -> list[str]:
+        """The same for any length: pairs in a heap by rank and place, symbols linked to their neighbours."""
+        symbols, n = list(symbols), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := self.rank.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            # an entry of a pair that has changed since is passed over
+            if symbols[i] is None or j >= n or self.rank.get((symbols[i], symbols[j])) != r:
+                continue
+            symbols[i] += symbols[j]
+            symbols[j] = None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (r := self.rank.get((symbols[a], symbols[b]))) is not None:
+                    heapq.heappush(heap, (r, a))
+        return [s for s in symbols if s is not None]
+
     @staticmethod
     def split(token: str) -> list[str]:
         """Base symbols of a token or word; the word end belongs to the last letter."""
@@ -87,14 +124,24 @@ class Codec:
     def greedy(self, word: str) -> list[int] | None:
         """Longest matching token at every position; None where no token fits."""
         out, at, n = [], 0, len(word)
+        vocab, reach = self.vocab.get, self.reach.get
         while at < n:
-            for size in range(min(self.longest, n - at), 0, -1):
-                piece = word[at : at + size]
-                got = self.vocab.get(piece + WORD_END if at + size == n else piece)
+            # without a token of three (two) letters as here, only shorter ones can fit
+            size = reach(word[at : at + 3]) or reach(word[at : at + 2]) or reach(word[at], 0)
+            if at + size >= n:
+                size = n - at
+                got = vocab(word[at:] + WORD_END)
+                if got is not None:
+                    out.append(got)
+                    return out
+                size -= 1
+            while size > 0:
+                got = vocab(word[at : at + size])
                 if got is not None:
                     out.append(got)
                     at += size
                     break
+                size -= 1
             else:
                 return None
         return out
@@ -142,11 +189,24 @@ class Codec:
     def learn(self, chunks: set[str]) -> None:
         """Ids and decoded form of chunks (stretches without white space) not met before."""
         split = {c: self.pretoken.findall(c) for c in chunks}
-        tokens = self.encoded(sorted({w for ws in split.values() for w in ws}))
+        if self.held_words > REMEMBERED:
+            self.words.clear()
+            self.held_words = 0
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.stands = self.pairs[:0], self.stands[:0]
+        words, token = self.words, self.token
+        fresh = sorted({w for ws in split.values() for w in ws if w not in words})
+        for w, own in self.encoded(fresh).items():
+            words[w] = np.array(own, "<u4").tobytes(), " ".join([token[t] for t in own])
+            self.held_words += ENTRY + 8 * len(w)
         for chunk, ws in split.items():
-            own = [t for w in ws for t in tokens[w]]
-            self.ids[chunk] = np.array(own, "<u4").tobytes()
-            self.shown[chunk] = " ".join([self.token[t] for t in own])
+            if len(ws) == 1:
+                self.ids[chunk], self.shown[chunk] = words[ws[0]]
+            else:
+                known = [words[w] for w in ws]
+                self.ids[chunk] = b"".join([x for x, _ in known])
+                self.shown[chunk] = " ".join([x for _, x in known])
+            self.held += ENTRY + 8 * len(chunk)
 
     def chunks(self, text: str) -> list[str]:
         """Stretches without white space, normalised; pre-tokens never cross them."""
@@ -163,9 +223,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids as little-endian 32-bit numbers, and the decoded text, of every text."""
-        if len(self.ids) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.ids.clear()
             self.shown.clear()
+            self.held = 0
         ids, shown = self.ids, self.shown
         special = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
         marked = {n: self.parts(t) for n, t in enumerate(texts) if any(s in t for s in special)}

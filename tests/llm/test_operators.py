@@ -146,6 +146,29 @@ def test_bpe_equals_the_library(spark):
         assert r.decoded == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_long_words_and_a_small_memory_change_no_ids(spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdeéthionß"))
+    texts = ["".join(rng.choice(letters, n)) for n in (1, 47, 48, 49, 50, 300, 20_000)] + ["a" * 4097, "the" * 500 + "$" * 700, "x " * 300]
+    texts += [" ".join("".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(200)) for _ in range(20)]
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    codec = bpe.Codec(bpe.default_vocabulary())
+    for limits in ((160 << 20, 2_000_000), (1, 1)):
+        monkeypatch.setattr(bpe, "REMEMBERED", limits[0])
+        monkeypatch.setattr(bpe, "PAIRS", limits[1])
+        got = [x for a in range(0, len(texts), 3) for x in codec.encode(texts[a : a + 3])[0]]
+        assert got == [struct.pack(f"<{len(ids)}I", *ids) for ids in want]
+    symbols = [codec.split("".join(rng.choice(letters, n)) + bpe.WORD_END) for n in (2, 5, 20, 47)]
+    symbols = [[x for x in s if x.replace(bpe.WORD_END, "").isascii()] for s in symbols]
+    assert [codec.merged(s) for s in symbols] == [codec.merged_long(s) for s in symbols]
+    rows = bpe.encode_documents(spark.createDataFrame([(None, "a"), (1, None), (1, "a"), (1, "a")], "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in rows) == {(None, 1): 1, (1, 0): 1, (1, 1): 2}
+
+
 def test_fingerprints_estimate_resemblance(docs):
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
     texts = [(r[0], r[1] or "") for r in rows()]
