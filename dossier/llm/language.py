@@ -11,61 +11,68 @@ from . import common as C
 
 #: Dimensions of a hypervector. The error of a cosine is about 1 / sqrt(DIMENSIONS).
 DIMENSIONS = 1024
-#: Letter vectors: blank, a-z, the 33 letters U+00DF to U+00FF, and 4 more that all others are dealt to.
-LETTERS = 64
-GRAM = 3
+#: Key of the letter vectors, and the code points there are.
+SEED = 20240229
+CODES = 0x110000
+#: Possible trigrams up to which a table finds those that occur; beyond it they are sorted.
+TABLE = 1 << 24
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def letter_vectors() -> np.ndarray:
-    return np.random.default_rng(20240229).choice(np.array([-1, 1], np.int8), size=(LETTERS, DIMENSIONS))
+def letter_table() -> np.ndarray:
+    """For every code point whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(CODES)])
+
+
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """One random vector of +1 and -1 for every code point, drawn by a keyed hash; 0 stands for the blank."""
+    words = C.mix(C.mix(codes.astype(np.uint64)[:, None] + np.uint64(SEED)) + np.arange(1, DIMENSIONS // 64 + 1, dtype=np.uint64))
+    return np.unpackbits(words.astype("<u8").view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
 def gram_vectors(grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Bind the letters of every trigram: the first rotated twice, the second once, the third as it is."""
-    a, b, c = grams // LETTERS**2, grams // LETTERS % LETTERS, grams % LETTERS
+    n = len(letters)
+    a, b, c = grams // n**2, grams // n % n, grams % n
     return (np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]).astype(np.float32)
 
 
-def letter_numbers(text: str) -> np.ndarray:
-    """Letter numbers of a lower-cased text, every run of other characters as one blank (0), -1 at no place."""
+def letter_codes(text: str, table: np.ndarray) -> np.ndarray:
+    """Code points of the letters of a lower-cased text, every run of other characters as one blank (0)."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    out = np.zeros(len(code), np.int64)
-    latin = (code >= 97) & (code <= 122)
-    out[latin] = code[latin] - 96
-    high = (code >= 0xDF) & (code <= 0xFF) & (code != 0xF7)
-    out[high] = code[high] - 0xDF + 27
-    other = np.flatnonzero(code > 0xFF)
-    if len(other):
-        kinds, at = np.unique(code[other], return_inverse=True)
-        out[other] = np.array([60 + int(k) % 4 if chr(k).isalpha() else 0 for k in kinds.tolist()])[at]
+    out = np.where(table[code], code, 0)
     keep = np.r_[True, (out[1:] != 0) | (out[:-1] != 0)] if len(out) else np.zeros(0, bool)
     return out[keep]
 
 
-def bundles(texts: list[str], letters: np.ndarray) -> np.ndarray:
+def bundles(texts: list[str], table: np.ndarray) -> np.ndarray:
     """One bundled vector per text: the sum of its trigram vectors (zero without letters)."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    rows, grams = [], []
-    for n, text in enumerate(texts):
-        x = letter_numbers(text)
-        if x.any():
-            x = np.r_[0, x, 0]
-            g = x[:-2] * LETTERS**2 + x[1:-1] * LETTERS + x[2:]
-            rows.append(np.full(len(g), n))
-            grams.append(g)
-    if not rows:
+    runs = [(n, np.r_[0, x, 0]) for n, x in ((n, letter_codes(t, table)) for n, t in enumerate(texts)) if x.any()]
+    if not runs:
         return out
-    row, gram = np.concatenate(rows), np.concatenate(grams)
-    present = np.zeros(LETTERS**GRAM, bool)
-    present[gram] = True
-    kinds = np.flatnonzero(present)
-    place = np.zeros(LETTERS**GRAM, np.int64)
-    place[kinds] = np.arange(len(kinds))
-    column = place[gram]
+    present = np.zeros(CODES, bool)
+    for _, x in runs:
+        present[x] = True
+    present[0] = True
+    codes = np.flatnonzero(present)
+    number = np.zeros(CODES, np.int64)
+    number[codes] = np.arange(len(codes))
+    letters, size = letter_vectors(codes), len(codes)
+    row = np.repeat([n for n, _ in runs], [len(x) - 2 for _, x in runs])
+    numbers = [number[x] for _, x in runs]
+    gram = np.concatenate([x[:-2] * size**2 + x[1:-1] * size + x[2:] for x in numbers])
+    if size**3 <= TABLE:
+        place = np.zeros(size**3, np.int64)
+        place[gram] = 1
+        kinds = np.flatnonzero(place)
+        place[kinds] = np.arange(len(kinds))
+        column = place[gram]
+    else:
+        kinds, column = np.unique(gram, return_inverse=True)
     for a in range(0, len(kinds), 4096):
         b = min(a + 4096, len(kinds))
         inside = (column >= a) & (column < b)
@@ -95,7 +102,7 @@ def prototypes(docs: DataFrame) -> list[tuple[str, list[float]]]:
     """
 
     def run(batches):
-        letters, sums = letter_vectors(), {}
+        letters, sums = letter_table(), {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for a, b, texts in _texts(batch):
@@ -122,6 +129,9 @@ def identify(docs: DataFrame) -> DataFrame:
     In: doc_id, text, lang (NULL: not learned from). Out: doc_id, held_out, lang_pred, score (cosine,
     0 to 1). A text that is NULL or has no letter, and any text if nothing could be learned, is
     ``und`` with score 0. Equal cosines: the first language by name. An empty table gives no rows.
+    Letters are those of Unicode, each with a vector of its own, lower-cased; repeated rows each give
+    a row, and rows with equal text are learned from as often as they occur. A text counts whole,
+    however long; extra columns are ignored.
     """
     learned = prototypes(docs)
     names = [x for x, _ in learned]
@@ -129,7 +139,7 @@ def identify(docs: DataFrame) -> DataFrame:
     matrix = matrix.astype(np.float32)
 
     def run(batches):
-        letters = letter_vectors()
+        letters = letter_table()
         for batch in batches:
             for a, b, texts in _texts(batch):
                 vectors = unit(bundles(texts, letters))

@@ -311,6 +311,40 @@ def test_scores_and_languages_are_defined_everywhere(docs, labels):
     assert len(named) == len(rows()) and named[0].lang_pred == "und" and named[3].lang_pred == "und" and all(0 <= r.score <= 1 for r in named.values())
 
 
+def test_bundles_equal_brute_force(monkeypatch):
+    """Every trigram bound letter by letter and added up; letters of any script have vectors of their own."""
+    table = language.letter_table()
+    texts = ["µ", "ª º", "дом и сад", "δομ", "ąęłż Ąę", "İx", "你好世界 你好", "12 34!", "", "a" * 500 + " b-c"]
+    vector = {c: v.astype(int) for c, v in zip([0, *map(ord, sorted(set("".join(texts).lower()) - {" "}))], language.letter_vectors(np.array([0, *map(ord, sorted(set("".join(texts).lower()) - {" "}))])))}
+    want = []
+    for t in texts:
+        run = [0]
+        for c in t.lower():
+            x = ord(c) if c.isalpha() else 0
+            if x or run[-1] or len(run) == 1:
+                run.append(x)
+        run.append(0)
+        sums = np.zeros(language.DIMENSIONS)
+        if any(run):
+            for x, y, z in zip(run, run[1:], run[2:]):
+                sums += np.roll(vector[x], 2) * np.roll(vector[y], 1) * vector[z]
+        want.append(sums)
+    assert np.array_equal(language.bundles(texts, table), np.array(want, np.float32))
+    monkeypatch.setattr(language, "TABLE", 0)
+    assert np.array_equal(language.bundles(texts, table), np.array(want, np.float32))
+    different = language.unit(language.bundles(["дом", "δομ", "dom"], table))
+    assert np.abs(different @ different.T - np.eye(3)).max() < 0.5
+
+
+def test_letters_beyond_latin_are_learned(spark):
+    given = [(n, t, x) for n in range(60) for t, x in (("дом и сад у реки", "ru"), ("το σπίτι και ο κήπος", "el"), ("żółta łódź w gęstej mgle", "pl"))]
+    docs = spark.createDataFrame([(3 * i, *r[1:]) for i, r in enumerate(given)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(10**6, "µ", None), (10**6, "ª", None), (None, "сад и дом", None), (7, "123", None), (8, "łódź we mgle", None)], docs.schema)
+    got = sorted((str(r.doc_id), r.lang_pred) for r in language.identify(docs.union(odd)).collect() if r.doc_id in (10**6, None, 7, 8))
+    assert [x for i, x in got if i == "7"] == ["und"] and [x for i, x in got if i == "8"] == ["pl"] and [x for i, x in got if i == "None"] == ["ru"]
+    assert len([x for i, x in got if i == str(10**6)]) == 2 and all(x != "und" for i, x in got if i == str(10**6))
+
+
 def test_empty_tables(none, labels):
     assert jaccard_join.jaccard_components(none).count() == 0
     assert fingerprint.fingerprints(none).count() == 0
