@@ -166,7 +166,31 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     last[:-1] &= ~inside[1:] | cut[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(offs, start, "right") - 1
-    return start, end, row, stretch(prefix_sums(_LOWER[data]), start, end)
+    return start, end, row, word_hashes(_LOWER[data], start, end)
+
+
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(1, 9)], U)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of every stretch ``data[start:end]`` (none empty): its pieces of 8 bytes, each mixed with its place, added up.
+
+    Mixing before adding keeps the hash free of the algebra by which polynomials modulo 2^64 give
+    long regular strings one value.
+    """
+    if not len(start):
+        return np.zeros(0, U)
+    size = end - start
+    count = (size + 7) // 8
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    piece = eight[np.repeat(start, count) + 8 * place]
+    last = first + count - 1
+    piece[last] &= _TAIL[size - 8 * (count - 1) - 1]
+    value = mix(mix(piece ^ U(_BASE)) + (place + 1).astype(U) * U(_ODD))
+    return mix(np.add.reduceat(value, first) + size.astype(U) * U(_ODD))
 
 
 def shingles(row: np.ndarray, h: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

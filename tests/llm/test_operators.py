@@ -76,6 +76,32 @@ def test_similar_sets_share_a_signature():
                 assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
+def test_word_hashes():
+    """Equal words have equal hashes wherever they stand, unlike words unlike ones, regular long words included."""
+    rng = np.random.default_rng(3)
+    found = ["".join(rng.choice(list("ab"), n)) for n in rng.integers(1, 40, 4000)]
+    regular = "a"
+    while len(regular) < 4096:
+        regular += regular.translate(str.maketrans("ab", "ba"))
+        found += [regular, regular.translate(str.maketrans("ab", "ba"))]
+    found += ["a" * n for n in range(1, 200)] + ["\0" * n for n in range(1, 40)] + ["ÄÖ", "äö"]
+    found += found[::-1]
+    data = np.frombuffer(" ".join(found).encode(), np.uint8)
+    start, end, _, h = jaccard_join.C.words(data, np.array([0, len(data)]))
+    assert len(h) == len(found) and len(np.unique(h)) == len(set(found))
+    seen = {}
+    assert all(seen.setdefault(w, x) == x for w, x in zip(found, h.tolist()))
+
+
+def test_mirrored_regular_words_are_not_linked(spark):
+    regular = "a"
+    while len(regular) < 1024:
+        regular += regular.translate(str.maketrans("ab", "ba"))
+    texts = [regular, regular.translate(str.maketrans("ab", "ba"))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 1)}
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for _ in range(60):
