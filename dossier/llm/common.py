@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.session import shared_folder
+
 #: Bytes of text worked on at once inside a task (a longer single text is one piece of its own).
 PIECE = 1 << 20
 WORDS = 5
@@ -28,16 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once to the folder named by ``spark.checkpoint.dir`` and go on from the files.
 
-    The folder must be one that driver and executors share. Only where the setting is missing
-    (tests) a temporary folder is set. The shuffle files of the job are dropped when the table is
-    written, as later jobs read the table alone.
+    The folder must be one that driver and executors share: without the setting a local session
+    gets a temporary folder (tests) and a cluster is refused. The shuffle files of the job are
+    dropped when the table is written, as later jobs read the table alone.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, purpose)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
