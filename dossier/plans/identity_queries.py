@@ -209,15 +209,7 @@ def restore_eligibility(t):
     return verdicts.select("report_id", "verdict")
 
 
-@query(
-    "d7_tag_link",
-    """WITH req AS (SELECT doc_id AS arrival, doc_id AS report_id, source || ' ' || lang AS name FROM documents),
-    tags AS (SELECT min(r.arrival) AS id, name FROM req r JOIN labels l ON l.doc_id = r.arrival GROUP BY name),
-    fresh AS (SELECT name, (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY min(arrival)) AS id FROM req WHERE name NOT IN (SELECT name FROM tags) GROUP BY name)
-    SELECT r.report_id, a.id AS tag_id, r.name FROM req r JOIN (SELECT id, name FROM tags UNION ALL SELECT id, name FROM fresh) a ON a.name = r.name
-    WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = r.report_id AND l.quality = 1)""",
-)
-def tag_link(t):
+def _tag_requests(t):
     """Documents ask for a tag; tags of labelled documents exist, links of good ones too."""
     docs = t.raw("documents")
     requests = docs.select(
@@ -234,5 +226,61 @@ def tag_link(t):
         .join(tags, "name")
         .select(F.col("doc_id").alias("report_id"), F.col("id").alias("tag_id"))
     )
-    _, new_links = identity.link_tags(requests, tags, links)
+    return requests, tags, links
+
+
+@query(
+    "d7_tag_link",
+    """WITH req AS (SELECT doc_id AS arrival, doc_id AS report_id, source || ' ' || lang AS name FROM documents),
+    tags AS (SELECT min(r.arrival) AS id, name FROM req r JOIN labels l ON l.doc_id = r.arrival GROUP BY name),
+    fresh AS (SELECT name, (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY min(arrival)) AS id FROM req WHERE name NOT IN (SELECT name FROM tags) GROUP BY name)
+    SELECT r.report_id, a.id AS tag_id, r.name FROM req r JOIN (SELECT id, name FROM tags UNION ALL SELECT id, name FROM fresh) a ON a.name = r.name
+    WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = r.report_id AND l.quality = 1)""",
+)
+def tag_link(t):
+    _, new_links = identity.link_tags(*_tag_requests(t))
     return new_links.select("report_id", "tag_id", "name")
+
+
+@query(
+    "d7_new_tags",
+    """WITH req AS (SELECT doc_id AS arrival, source || ' ' || lang || ' ' || CAST(n_chars // 1000 AS VARCHAR) AS name FROM documents),
+    tags AS (SELECT min(r.arrival) AS id, name FROM req r JOIN labels l ON l.doc_id = r.arrival WHERE l.quality = 1 GROUP BY name)
+    SELECT name, (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY min(arrival)) AS id FROM req
+    WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM tags WHERE name IS NOT NULL) GROUP BY name""",
+)
+def new_tags(t):
+    """Tag rows that the requests create: names by source, language and length that no good document has."""
+    docs = t.raw("documents").withColumn("size", F.expr("CAST(n_chars DIV 1000 AS STRING)"))
+    requests = docs.select(
+        F.col("doc_id").alias("arrival"),
+        F.col("doc_id").alias("report_id"),
+        F.concat(F.lit("\t"), "source", F.lit("  "), "lang", F.lit(" "), "size", F.lit(" ")).alias("raw_name"),
+    )
+    name = F.concat("source", F.lit(" "), "lang", F.lit(" "), "size").alias("name")
+    good = docs.join(t.raw("labels").where("quality = 1").select("doc_id"), "doc_id").select("doc_id", name)
+    tags = good.groupBy("name").agg(F.min("doc_id").alias("id"))
+    links = good.join(tags, "name").select(F.col("doc_id").alias("report_id"), F.col("id").alias("tag_id"))
+    created, _ = identity.link_tags(requests, tags, links)
+    return created.select("name", "id")
+
+
+@query(
+    "d7_tag_unlink",
+    """WITH docs AS (SELECT doc_id, source || ' ' || lang AS name, source FROM documents WHERE source || ' ' || lang IS NOT NULL),
+    tags AS (SELECT name, min(doc_id) AS id FROM docs GROUP BY name),
+    req AS (SELECT l.doc_id AS report_id, CASE WHEN toxic = 1 THEN source ELSE name END AS name FROM labels l JOIN docs d ON d.doc_id = l.doc_id WHERE quality = 0)
+    SELECT d.doc_id AS report_id, g.id AS tag_id FROM docs d JOIN tags g ON g.name = d.name
+    WHERE NOT EXISTS (SELECT 1 FROM req r WHERE r.report_id = d.doc_id AND r.name = d.name)""",
+)
+def tag_unlink(t):
+    """Every document is linked with its tag; poor ones ask to be unlinked, toxic ones by a name no tag has."""
+    docs = t.raw("documents").where("source is not null and lang is not null")
+    docs = docs.select("doc_id", "source", F.concat("source", F.lit(" "), "lang").alias("name"))
+    tags = docs.groupBy("name").agg(F.min("doc_id").alias("id"))
+    links = docs.join(tags, "name").select(F.col("doc_id").alias("report_id"), F.col("id").alias("tag_id"))
+    requests = t.raw("labels").where("quality = 0").join(docs, "doc_id").select(
+        F.col("doc_id").alias("report_id"),
+        F.concat(F.lit(" "), F.when(F.col("toxic") == 1, F.col("source")).otherwise(F.regexp_replace("name", " ", "  "))).alias("raw_name"),
+    )
+    return identity.unlink_tags(requests, tags, links).select("report_id", "tag_id")

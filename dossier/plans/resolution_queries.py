@@ -358,6 +358,24 @@ def review_decisions(t):
     return judged.join(changed, "arrival", "left").select("arrival", "match_id", "verdict", text("new_status"))
 
 
+@query(
+    "e11_link_updates",
+    f"""WITH req AS (SELECT {_sql(_REQUEST)} FROM part), dec AS (SELECT {_sql(_DECISION)} FROM labels),
+    valid AS (SELECT r.*, row_number() OVER (PARTITION BY r.match_id ORDER BY arrival) AS nth FROM req r JOIN dec d ON d.match_id = r.match_id
+      WHERE d.status = 'pending' AND (action = 'dismiss' OR EXISTS (SELECT 1 FROM supplier WHERE lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = r.code)))
+    SELECT d.match_id, d.report_id, coalesce(CASE WHEN v.match_id IS NULL THEN d.raw_code WHEN v.action = 'confirm' THEN v.code END, '') AS target_code,
+      CASE WHEN v.action = 'confirm' THEN 'manually_confirmed' ELSE 'fuzzy' END AS code_source
+    FROM dec d LEFT JOIN valid v ON v.match_id = d.match_id AND v.nth = 1""",
+)
+def link_updates(t):
+    """Target links after the review decisions: one link per review row, with the code read from the report."""
+    rows = _select(t.raw("labels"), _DECISION)
+    _, changes = resolve.apply_decisions(_select(t.raw("part"), _REQUEST), rows, t.targets.select("code"))
+    links = rows.select("match_id", "report_id", F.col("raw_code").alias("target_code"), F.lit("fuzzy").alias("code_source"))
+    updated = resolve.apply_to_links(links, changes)
+    return updated.select("match_id", "report_id", text("target_code"), "code_source")
+
+
 @query(
     "e12_bridge_vote",
     f"""WITH names AS ({INDUSTRY}), clf AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, l3_code AS industry_code FROM supplier JOIN names ON l2_name = 'NATION_' || CAST(s_nationkey AS VARCHAR) WHERE s_acctbal > 0),
