@@ -17,7 +17,7 @@ _NOW = "2024-01-31 00:00:00"
 
 def _stream(t, table, columns):
     """A test table as a file stream with the stand-in's columns."""
-    rows = runs.file_stream(t.spark, t.folder, f"{table}.parquet", t.raw(table).schema)
+    rows = runs.table_stream(t.spark, f"{t.folder}/{table}.parquet", t.raw(table).schema)
     return rows.selectExpr(*spark_columns(columns))
 
 

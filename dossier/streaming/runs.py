@@ -19,6 +19,16 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema: StructTy
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """A parquet table as a stream, whether its path is one file or a folder of files.
+
+    A glob that names just this path: a stream of a plain path must be a folder, and a filter on
+    the names of files would leave out those in the folder.
+    """
+    folder, name = table.rstrip("/").rsplit("/", 1)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")
+
+
 def run_available(
     stream: DataFrame,
     handle: Callable[[DataFrame, int], None],

@@ -163,3 +163,16 @@ def test_body_index_follows_the_latest_body(spark):
     rows = lambda df: sorted((r.report_id, r.token, r.field, r.tf) for r in df.collect())
     assert rows(discovery.current_postings(spark, out)) == rows(want)
     assert sorted((r.report_id, r.batch) for r in spark.read.parquet(f"{out}/rejects").collect()) == [(2, 0), (3, 1)]
+
+
+def test_table_stream_reads_a_file_and_a_folder(spark):
+    """A table of many files lies in a folder with the name a single file would have."""
+    folder = shared_folder(spark, "tables")
+    spark.range(0, 10).repartition(3).write.parquet(f"{folder}/many.parquet")
+    spark.range(0, 4).coalesce(1).write.parquet(f"{folder}/part")
+    (single,) = [f for f in spark.read.parquet(f"{folder}/part").inputFiles()]
+    for table, want in [(f"{folder}/many.parquet", 10), (single, 4)]:
+        out = shared_folder(spark, "out")
+        stream = runs.table_stream(spark, table, spark.range(1).schema)
+        runs.run_available(stream, lambda batch, n: runs.keep_batch(batch, out, n))
+        assert spark.read.parquet(out).count() == want
