@@ -7,6 +7,7 @@ without any - ASCII, Han, Hangul, plain Cyrillic - reach the pandas UDF as NULL
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -24,23 +25,30 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 @F.pandas_udf(StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
+def _nfkc_of(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def _nfkc_casefold(values: pd.Series) -> pd.Series:
+def _nfkc_casefold_of(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 
 
+# marked so that a filter on a key does not normalise every row a second time, below the exchange
+# that deals the rows out
+_nfkc, _nfkc_casefold = _nfkc_of.asNondeterministic(), _nfkc_casefold_of.asNondeterministic()
+
+
 #: Shorter runs of unchanged characters are left to Python: a class of few ranges is tested faster.
 _SHORTEST_RUN = 64
 
 
 @lru_cache
-def unsettled(fold: bool) -> str:
+def unsettled(fold: bool, most: int | None = None) -> str:
     """Pattern of a character that NFKC (``fold``: or case folding) may change, from the Unicode tables.
 
+    ``most``: only so many of the longest runs of settled characters are left out.
+
     A character is settled if it is its own NFKC form and no sequence can change it: it is no mark
     and no second part of a composition. With ``fold`` its folded form must also be the lower-case
     letter the JVM gives, whatever its Unicode version.
@@ -66,11 +74,24 @@ def unsettled(fold: bool) -> str:
             runs.append((start, c - 1))
             start = None
     longest = sorted((r for r in runs if r[1] - r[0] + 1 >= _SHORTEST_RUN), key=lambda r: r[0] - r[1])
-    return "[^\\x00-\\x7F" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in longest) + "]"
+    return "[^\\x00-\\x7F" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in longest[:most]) + "]"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where branches name it again."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _unsettled(text: Column, fold: bool) -> Column:
+    """Whether NFKC (``fold``: or case folding) may change the text.
+
+    Plain ASCII is told by one range, Han and Hangul by three; only other texts meet all ranges.
+    """
+    return text.rlike(unsettled(fold, 0)) & text.rlike(unsettled(fold, 2)) & text.rlike(unsettled(fold))
 
 
 def nfkc(text: Column) -> Column:
-    changed = text.rlike(unsettled(False))
+    changed = _unsettled(text, False)
     return F.coalesce(F.when(~changed, text), _nfkc(F.when(changed, text)))
 
 
@@ -89,7 +110,7 @@ def without_spaces(text: Column) -> Column:
 
 def normalize_title(title: Column) -> Column:
     """Identity key of a report title: NFKC, no white space, case folded."""
-    changed = title.rlike(unsettled(True))
+    changed = _unsettled(title, True)
     folded = F.coalesce(F.when(~changed, F.lower(title)), _nfkc_casefold(F.when(changed, title)))
     return without_spaces(folded)
 
@@ -116,19 +137,24 @@ def normalize_name(name: Column) -> Column:
     The suffix list is applied in order, pass after pass, never down to an empty name.
     Each pass that changes something removes at least two characters, which bounds the fold.
     """
-    upper = F.upper(without_spaces(nfkc(F.coalesce(name, F.lit("")))))
-    unmarked = F.regexp_replace(upper, K.ST_PREFIX, "")
     more = r".(?:公司|集团|控股)$"
-    stripped = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(unmarked) / 2).cast("int"))),
-        unmarked,
-        lambda acc, _: F.when(acc.rlike(more), _strip_suffixes_once(acc)).otherwise(acc),
-    )
-    return (
-        F.when(unmarked == "", upper)
-        .when(unmarked.rlike(more), stripped)
-        .otherwise(unmarked)
-    )
+
+    def stripped(unmarked: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(unmarked) / 2).cast("int"))),
+            unmarked,
+            lambda acc, _: F.when(acc.rlike(more), _strip_suffixes_once(acc)).otherwise(acc),
+        )
+
+    def key(upper: Column) -> Column:
+        return _let(
+            F.regexp_replace(upper, K.ST_PREFIX, ""),
+            lambda unmarked: F.when(unmarked == "", upper)
+            .when(unmarked.rlike(more), stripped(unmarked))
+            .otherwise(unmarked),
+        )
+
+    return _let(F.upper(without_spaces(nfkc(F.coalesce(name, F.lit(""))))), key)
 
 
 def strip_highlight(text: Column) -> Column:

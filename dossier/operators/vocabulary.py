@@ -222,13 +222,13 @@ def union_synonyms(names: DataFrame, own: DataFrame) -> DataFrame:
 
     ``names``: theme_id, position, name in the wanted order; ``own``: theme_id, name.
     """
-    # equal spellings meet before they are normalised
-    spelled = names.groupBy("theme_id", strip(F.coalesce("name", F.lit(""))).alias("synonym")).agg(
+    # equal spellings meet before they are trimmed and normalised
+    spelled = names.groupBy("theme_id", F.coalesce("name", F.lit("")).alias("name")).agg(
         F.min("position").alias("position")
     )
-    keyed = spelled.where("synonym <> ''").withColumn(
-        "key", normalize_theme_name(F.col("synonym"))
-    )
+    keyed = spelled.select("theme_id", "position", strip(F.col("name")).alias("synonym")).where(
+        "synonym <> ''"
+    ).withColumn("key", normalize_theme_name(F.col("synonym")))
     mine = own.select("theme_id", normalize_theme_name(F.col("name")).alias("key"))
     return (
         keyed.groupBy("theme_id", "key")

@@ -128,7 +128,7 @@ _DICT_SQL = f"""dict AS (SELECT DISTINCT key, code FROM (
 
 
 def _dictionary(t):
-    parts = t.raw("part").select(
+    parts = t.spread(t.raw("part")).select(
         F.expr("lpad(CAST(p_partkey AS STRING), 6, '0')").alias("code"),
         normalize_name(F.expr("p_name || ' ' || p_brand")).alias("name_norm"),
         F.array(F.expr("p_name || p_type || '集团'")).alias("historical_names"),
@@ -143,7 +143,7 @@ def name_dictionary(t):
 
 def _mentioned(t):
     """Names as reports write them: known ones with marks and suffixes, and unknown ones."""
-    parts = t.raw("part")
+    parts = t.spread(t.raw("part"))
     return (
         parts.select(F.expr("'*ST' || p_name || ' ' || p_brand || '公司'").alias("name"))
         .unionByName(parts.select(F.expr("p_name || p_size").alias("name")))
@@ -217,12 +217,14 @@ def _ratio_sql(name, pairs):
 def fuzzy_names(t):
     """Customer and part names without an exact entry against the part dictionary."""
     names = (
-        t.raw("part").select(F.expr("p_name || 's ' || p_brand").alias("name"))
-        .unionByName(t.raw("customer").select(F.expr("c_mktsegment || ' ' || c_nationkey").alias("name")))
+        t.spread(t.raw("part")).select(F.expr("p_name || 's ' || p_brand").alias("name"))
+        .unionByName(t.spread(t.raw("customer")).select(F.expr("c_mktsegment || ' ' || c_nationkey").alias("name")))
         .select(normalize_name(F.col("name")).alias("key"))
         .distinct()
     )
-    verdicts, candidates = resolve.resolve_names(names, _dictionary(t), K.NEAR_HINTS)
+    # both feed the exact and the fuzzy stage
+    names, dictionary = cut_lineage(names, "names"), cut_lineage(_dictionary(t), "name-dictionary")
+    verdicts, candidates = resolve.resolve_names(names, dictionary, K.NEAR_HINTS)
     return verdicts.select("key", text("code"), text("reason"), F.lit(1.0).alias("score")).unionByName(
         candidates.select("key", "code", F.lit("candidate").alias("reason"), "score")
     )
@@ -245,7 +247,7 @@ _MENTION_SQL = f"""mentions AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _MEN
 
 
 def _routed(t):
-    names = t.raw("part").select(
+    names = t.spread(t.raw("part")).select(
         F.col("p_partkey").alias("name_no"), normalize_name(F.expr("p_name || p_brand")).alias("key")
     )
     mentions = t.raw("lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _MENTION.items()]).join(names, "name_no")
