@@ -30,17 +30,19 @@ SMALL_PART = 4 << 20
 STRIPE = 16 << 20
 STRIDE = 1000
 FALSE_HITS = 0.01
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LINE = np.zeros(256, bool)
-_LINE[9:14] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-# ASCII marks but the apostrophe, which may begin a pre-token with the letters after it
-_MARK = np.zeros(256, bool)
-_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+# what a byte is, in bits: white space, line end, letter, ASCII mark (but the apostrophe, which may
+# begin a pre-token with the letters after it)
+_WHITE, _LINE, _LETTER, _MARK = 0, 1, 2, 3
+_KINDS = bytes(
+    (b in b" \t\n\v\f\r") << _WHITE
+    | (9 <= b < 14) << _LINE
+    | (65 <= b < 91 or 97 <= b < 123) << _LETTER
+    | (33 <= b < 127 and not chr(b).isalnum() and chr(b) != "'") << _MARK
+    for b in range(256)
+)
 # other white space (and controls some engines count as such): texts with these are encoded whole
-_RARE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf"
+# (every branch begins with one byte, so that a search skips to the next of these bytes)
+_RARE = rb"\x1c|\x1d|\x1e|\x1f|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf"
 
 
 def default_vocabulary() -> str:
@@ -68,8 +70,9 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        # number 0 is the end of a row
+        self.first, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids = np.zeros(1, np.int32)
         self.held = 0
 
     def learn(self, chunks: list[str]) -> np.ndarray:
@@ -96,33 +99,34 @@ class Encoder:
         if self.held > REMEMBERED:
             self.forget()
         n, rows = len(data), len(offs) - 1
-        white = _WHITE[data]
+        raw = data.tobytes()
+        kind = np.frombuffer(raw.translate(_KINDS), np.uint8)
+        flag = lambda k, bit: ((k >> bit) & 1).view(bool)
+        white = flag(kind, _WHITE)
         cut = white.copy()
         cut[1:] &= ~white[:-1]
-        cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
-        cut[2:] |= ~white[:-2] & _LINE[data[1:-1]] & ~white[2:]
+        cut[1:] |= flag(kind[:-1], _LETTER) & flag(kind[1:], _MARK)
+        cut[2:] |= ~white[:-2] & flag(kind[1:-1], _LINE) & ~white[2:]
         cut[offs[:-1][offs[:-1] < n]] = True
         start = np.flatnonzero(cut)
         chunks = pa.LargeStringArray.from_buffers(
             len(start), pa.py_buffer(np.r_[start, n]), pa.py_buffer(np.ascontiguousarray(data))
         ).dictionary_encode()
         number = self.learn(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
-        del chunks
-        # places fit 32 bits unless one text alone is larger
-        whole = np.int32 if n < 1 << 30 else np.int64
+        # the end is one more chunk of every row
+        ends = np.searchsorted(start, offs[1:])
+        number = np.insert(number, ends, 0)
+        self.ids[0] = end
+        del chunks, start, cut, white, kind
         size = self.size[number].astype(np.int32)
         done = np.r_[0, np.cumsum(size, dtype=np.int64)]
-        bounds = done[np.searchsorted(start, offs)] + np.arange(rows + 1)
-        row = (np.searchsorted(offs, start, "right") - 1).astype(whole)
-        del start, cut, white
-        values = np.full(int(bounds[-1]), end, np.int32)
-        # one more slot a row, for the end
-        slot = np.arange(done[-1], dtype=whole)
-        source = slot + np.repeat((self.first[number] - done[:-1]).astype(whole), size)
-        slot += np.repeat(row, size)
-        values[slot] = self.ids[source]
-        del slot, source
-        odd = {int(np.searchsorted(offs, m.start(), "right")) - 1 for m in self.rare.finditer(data.tobytes())}
+        bounds = np.r_[0, done[ends + np.arange(1, rows + 1)]]
+        # places fit 32 bits unless one text alone is larger
+        source = np.arange(done[-1], dtype=np.int32 if n < 1 << 30 else np.int64)
+        source += np.repeat((self.first[number] - done[:-1]).astype(source.dtype), size)
+        values = self.ids[source]
+        del source
+        odd = {int(np.searchsorted(offs, m.start(), "right")) - 1 for m in self.rare.finditer(raw)}
         if odd:
             own = np.split(values, bounds[1:-1])
             for r in odd:
