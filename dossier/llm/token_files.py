@@ -21,7 +21,7 @@ from . import common as C
 #: Id put after every document.
 END = 2
 #: Text worked on at once, and chunks remembered by a task before its memory is emptied, in bytes.
-PIECE = 8 << 20
+PIECE = 5 << 20
 REMEMBERED = 96 << 20
 #: Text of a file; small tables are dealt to the cores in files of SMALL_PART bytes at least.
 PART = 48 << 20
@@ -100,8 +100,10 @@ class Encoder:
             self.forget()
         n, rows = len(data), len(offs) - 1
         raw = data.tobytes()
+        odd = {int(np.searchsorted(offs, m.start(), "right")) - 1 for m in self.rare.finditer(raw)}
         kind = np.frombuffer(raw.translate(_KINDS), np.uint8)
         flag = lambda k, bit: ((k >> bit) & 1).view(bool)
+        del raw
         white = flag(kind, _WHITE)
         cut = white.copy()
         cut[1:] &= ~white[:-1]
@@ -124,9 +126,9 @@ class Encoder:
         # places fit 32 bits unless one text alone is larger
         source = np.arange(done[-1], dtype=np.int32 if n < 1 << 30 else np.int64)
         source += np.repeat((self.first[number] - done[:-1]).astype(source.dtype), size)
+        del number, size, done
         values = self.ids[source]
         del source
-        odd = {int(np.searchsorted(offs, m.start(), "right")) - 1 for m in self.rare.finditer(raw)}
         if odd:
             own = np.split(values, bounds[1:-1])
             for r in odd:
