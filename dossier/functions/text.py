@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -125,10 +126,17 @@ def normalize_tag_name(name: Column) -> Column:
     return strip(F.regexp_replace(nfkc(name), _SPACES, " "))
 
 
+def _ends(name: Column, *suffixes: Column) -> Column:
+    """Whether the name ends in one of the suffixes and has more than that."""
+    return reduce(or_, (name.endswith(s) & (F.length(name) > F.length(s)) for s in suffixes))
+
+
 def _strip_suffixes_once(name: Column) -> Column:
-    for suffix in K.COMPANY_SUFFIXES:
-        name = F.regexp_replace(name, f"(?<=.){suffix}$", "")
-    return name
+    return F.aggregate(
+        F.array(*map(F.lit, K.COMPANY_SUFFIXES)),
+        name,
+        lambda acc, s: F.when(_ends(acc, s), F.substr(acc, F.lit(1), F.length(acc) - F.length(s))).otherwise(acc),
+    )
 
 
 def normalize_name(name: Column) -> Column:
@@ -136,21 +144,23 @@ def normalize_name(name: Column) -> Column:
 
     The suffix list is applied in order, pass after pass, never down to an empty name.
     Each pass that changes something removes at least two characters, which bounds the fold.
+    Suffixes are compared, not searched for: no white space is left that a pattern would mind.
     """
-    more = r".(?:公司|集团|控股)$"
+    # every suffix ends in one of these
+    endings = [F.lit(s) for s in ("公司", "集团", "控股")]
 
     def stripped(unmarked: Column) -> Column:
         return F.aggregate(
             F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(unmarked) / 2).cast("int"))),
             unmarked,
-            lambda acc, _: F.when(acc.rlike(more), _strip_suffixes_once(acc)).otherwise(acc),
+            lambda acc, _: F.when(_ends(acc, *endings), _strip_suffixes_once(acc)).otherwise(acc),
         )
 
     def key(upper: Column) -> Column:
         return _let(
             F.regexp_replace(upper, K.ST_PREFIX, ""),
             lambda unmarked: F.when(unmarked == "", upper)
-            .when(unmarked.rlike(more), stripped(unmarked))
+            .when(_ends(unmarked, *endings), stripped(unmarked))
             .otherwise(unmarked),
         )
 

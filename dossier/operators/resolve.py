@@ -151,23 +151,32 @@ def fuzzy_stage(
     keys = cut_lineage(dictionary.select("key").distinct(), "name-keys")
     codes = dictionary.withColumnRenamed("key", "entry")
 
-    def best_codes(left: DataFrame, threshold: float, entries: DataFrame) -> DataFrame:
+    def best(left: DataFrame, threshold: float, entries: DataFrame, of: str) -> DataFrame:
+        """Best score per name and per code or set (``of``) of the entries."""
         seen = Observation()
         pairs = similar_pairs(left, keys, threshold, seen).join(entries, "entry")
-        best = pairs.groupBy(F.col("name").alias("key"), "code").agg(F.max("score").alias("score"))
-        best = cut_lineage(best, "fuzzy-hits")
+        hits = pairs.groupBy(F.col("name").alias("key"), of).agg(F.max("score").alias("score"))
+        hits = cut_lineage(hits, "fuzzy-hits")
         if work is not None:
             work.append({"threshold": threshold, "names": left.count(), "pairs": seen.get["pairs"]})
-        return best
-
-    hits = best_codes(names, K.FUZZY_RATIO, codes)
-    per_name = hits.groupBy("key").agg(F.count("*").alias("n"), F.min("code").alias("code"))
+        return hits
+
+    # codes of equal names score alike: names meet the sets of names, and a set is spelled out as
+    # its codes only where they are listed
+    owners = dictionary.groupBy("code").agg(F.array_sort(F.collect_set("key")).alias("owned"))
+    owners = cut_lineage(owners, "code-names")
+    sets = owners.groupBy("owned").agg(F.count("*").alias("n"), F.min("code").alias("code"))
+    sets = cut_lineage(sets, "name-sets")
+    high = best(names, K.FUZZY_RATIO, sets.select("owned", F.explode("owned").alias("entry")), "owned")
+    per_name = high.join(sets, "owned").groupBy("key").agg(F.sum("n").alias("n"), F.min("code").alias("code"))
+    per_name = cut_lineage(per_name, "fuzzy-names")
     found = per_name.select(
         "key",
         F.when(F.col("n") == 1, F.col("code")).alias("code"),
         F.when(F.col("n") > 1, "multi_candidate").alias("reason"),
     )
-    several = hits.join(found.where("reason IS NOT NULL").select("key"), "key", "left_semi")
+    many = high.join(found.where("reason IS NOT NULL").select("key"), "key", "left_semi")
+    several = owners.join(many, "owned").select("key", "code", "score")
 
     missed = cut_lineage(names.join(per_name, "key", "left_anti"), "names-missed")
     listed, left = several, missed
@@ -180,7 +189,7 @@ def fuzzy_stage(
         bands = K.NEAR_BANDS
     nearest = W.partitionBy("key").orderBy(F.desc("score"), "code")
     for threshold in bands:
-        near = best_codes(left, threshold, entries)
+        near = best(left, threshold, entries, "code")
         if threshold == bands[-1]:
             near = near.where(F.col("score") > K.NEAR_RATIO)
         else:
@@ -257,9 +266,7 @@ def inferred_candidates(
     The own code leads if the master knows it and the name did not already bring it; an
     automatic hit of the name counts 1.0; then the hints of the name in their order.
     """
-    asked = (
-        routed.where("reason = 'inferred_code'").select("key", "raw_code", "in_master").distinct()
-    )
+    asked = routed.where("raw_code IS NOT NULL AND reason = 'inferred_code'").select("key", "raw_code", "in_master").distinct()
     automatic = verdicts.where("code IS NOT NULL").select("key", "code", F.lit(1.0).alias("score"))
     listed = candidates.select("key", "code", "score").join(
         verdicts.select("key", "reason"), "key"
@@ -272,15 +279,26 @@ def inferred_candidates(
     short = by_name.withColumn("rank", F.row_number().over(in_list)).drop("place")
     if hints is not None:
         short = short.where(F.col("rank") <= hints)
-    from_name = asked.join(short, "key").select("key", "raw_code", "code", "score", "rank")
-    # whether the name already brought the own code is asked of the whole list
-    own = (
-        asked.where("in_master")
-        .join(by_name.select("key", F.col("code").alias("raw_code")), ["key", "raw_code"], "left_anti")
-        .select("key", "raw_code", F.col("raw_code").alias("code"), F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
+    # whether the name already brought the own code is asked of the whole list; the mentions are
+    # routed once, so each asks for its own code and for the list of its name in one row each
+    brought = by_name.select("key", F.col("code").alias("raw_code")).distinct().withColumn("brought", F.lit(True))
+    alone = F.col("in_master") & F.col("brought").isNull()
+    asked = asked.join(brought, ["key", "raw_code"], "left").withColumn(
+        "own", F.explode(F.when(alone, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
+    )
+    listed = (
+        asked.join(short.withColumnsRenamed({"key": "_key"}), (F.col("key") == F.col("_key")) & ~F.col("own"), "left")
+        .where(F.col("own") | F.col("_key").isNotNull())
+        .select(
+            "key",
+            "raw_code",
+            F.when(F.col("own"), F.col("raw_code")).otherwise(F.col("code")).alias("code"),
+            F.when(F.col("own"), F.lit(1.0)).otherwise(F.col("score")).alias("score"),
+            F.when(F.col("own"), F.lit(0)).otherwise(F.col("rank")).alias("rank"),
+        )
     )
     per_mention = W.partitionBy("key", "raw_code").orderBy("rank")
-    listed = from_name.unionByName(own).withColumn("rank", F.row_number().over(per_mention))
+    listed = listed.withColumn("rank", F.row_number().over(per_mention))
     return listed if hints is None else listed.where(F.col("rank") <= hints)
 
 
